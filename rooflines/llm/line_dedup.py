@@ -175,6 +175,14 @@ def apply_keep(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return both.mapInArrow(_kept, StructType([f for f in both.schema.fields if f.name != "__keep"]))
 
 
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs with the kept lines as text; n_chars, where there is one, is the new length. A document stays, if without lines."""
+    out = apply_keep(docs, line_keep_bitmaps(docs))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_keep(docs, line_keep_bitmaps(docs)).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, secrets, warc
+from . import decontaminate, jaccard, line_dedup, media, mixing, pii, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -12,8 +12,13 @@ def queries() -> dict:
         "op3_audio_features": media.op3_audio_features,
         "op4_poisson_mix": mixing.op4_poisson_mix,
         "op5_warc": warc.op5_warc,
+        "op6_url_filter": url_filter.op6_url_filter,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_jaccard_join": jaccard.op9_jaccard_join,
+        "op10_pii_pseudonyms": pii.op10_pii_pseudonyms,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**mixing.ORACLES, **warc.ORACLES}
+    return {**mixing.ORACLES, **warc.ORACLES, **url_filter.ORACLES}
