@@ -308,3 +308,26 @@ def scaled_values(value, factor: float, floor: float) -> Column:
     """Positive values times factor, at least floor."""
     v = geo.col(value)
     return F.when(v > 0, F.greatest(v * factor, F.lit(floor))).otherwise(v)
+
+
+def palette_class(pixels: DataFrame, palette: list[tuple[int, int, int]], unknown: int = 255) -> DataFrame:
+    """pixels (r, g, b) with class, the colour's place in the palette; colours are told apart by 2r + 3g + 4b."""
+    code = lambda r, g, b: 2 * r + 3 * g + 4 * b
+    table = pixels.sparkSession.createDataFrame([(code(*c), i) for i, c in enumerate(palette)], "__code int, class int")
+    out = pixels.withColumn("__code", code(F.col("r"), F.col("g"), F.col("b")).cast("int")).join(F.broadcast(table), "__code", "left")
+    return out.drop("__code").withColumn("class", F.coalesce("class", F.lit(unknown)))
+
+
+def window_of_bounds(b: Column, origin_x, origin_y, pixel) -> Column:
+    """struct<row, col, height, width> in whole pixels of bounds on a north-up raster that begins at (origin_x, origin_y)."""
+    at = lambda v: F.round(v / geo.col(pixel)).cast("int")
+    col, row = at(b["x1"] - geo.col(origin_x)), at(geo.col(origin_y) - b["y2"])
+    return F.struct(row.alias("row"), col.alias("col"), at(b["y2"] - b["y1"]).alias("height"), at(b["x2"] - b["x1"]).alias("width"))
+
+
+def dissolved_area(boxes: DataFrame, group: str, size: float) -> DataFrame:
+    """The area that a group's boxes cover together, on a grid of the given pixel size; exact where edges lie on the grid."""
+    b = F.col("lbox")
+    span = lambda lo, hi: F.sequence(F.floor(b[lo] / size), F.greatest(F.floor(b[lo] / size), F.ceil(b[hi] / size) - 1))
+    px = boxes.select(group, F.explode(span("y1", "y2")).alias("row"), "lbox").select(group, "row", F.explode(span("x1", "x2")).alias("col")).distinct()
+    return px.groupBy(group).agg((F.count("*") * F.lit(size * size)).alias("area"))

@@ -112,3 +112,13 @@ def only_one(df: DataFrame, column: str):
     if len(found) != 1:
         raise ValueError(f"{column} has {'no value' if not found else 'more than one value'}")
     return found[0]
+
+
+def parent_name(name, separator: str = "_patch") -> Column:
+    """What stands before the separator: the picture that a patch was cut from."""
+    return F.split(F.col(name) if isinstance(name, str) else name, separator)[0]
+
+
+def with_parent(patches: DataFrame, parents: DataFrame, name: str, key: str) -> DataFrame:
+    """Patches with the columns of their parent, whose key is a text."""
+    return patches.withColumn("__parent", parent_name(name)).join(parents, F.col("__parent") == F.col(key)).drop("__parent")
