@@ -186,3 +186,16 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_keep(docs, line_keep_bitmaps(docs)).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: Blanks by number, so that the pattern is plain in any dialect.
+_BLANKS = " || ".join(f"chr({b})" for b in BLANKS)
+ORACLES = {
+    "op2_line_dedup": f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d, unnest(range(1, len(lines) + 1)) AS t(i)),
+f AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= {LEAST} GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+k AS (SELECT l.*, f.key IS NULL OR l.doc_id = f.first AS keep FROM l LEFT JOIN f ON l.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep), '')) AS kept_sha256
+FROM k GROUP BY doc_id""",
+}
