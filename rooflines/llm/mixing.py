@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_enough
+from .common import cut, read, small_enough
 
 SEED = 17
 MOST_SOURCES = 10_000
@@ -58,7 +58,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
 
 def poisson_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, seed: int = SEED) -> DataFrame:
     """docs, each row as often as drawn, with rate, copies, copy (from 1) and mix_key, in the order of mix_key within each partition."""
-    table = rates(docs, weights, total)
+    table = cut(rates(docs, weights, total))
     if small_enough(table, MOST_SOURCES):
         both = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source")))
     else:
