@@ -20,17 +20,24 @@ def take_in(spark: SparkSession, source: str, schema: str, checkpoint: str, stat
             row = spark.createDataFrame([(number, state, rows, reason)], "batch long, state string, rows long, reason string")
             row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(status)
 
+        batch.persist()  # the files are read once for the work and the count
         try:
             process(batch, number)
+            rows = batch.count()
         except Exception as e:
             note("failed", 0, str(e)[:300])
             raise
-        note("finished", batch.count(), None)
+        finally:
+            batch.unpersist()
+        note("finished", rows, None)
+        taken.append(rows)
+
+    taken: list[int] = []
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(file_format).load(source)
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return sum(taken)
 
 
 def latest_status(status: DataFrame, key: str = "batch") -> DataFrame:

@@ -14,7 +14,7 @@ from rooflines.operators import evaluation, fusion, lod1, raster, rings, samplin
 
 
 def boxes(spark, rows):
-    df = spark.createDataFrame(rows, "fid long, source string, x1 double, y1 double, x2 double, y2 double")
+    df = spark.createDataFrame([(i, s, *map(float, b)) for i, s, *b in rows], "fid long, source string, x1 double, y1 double, x2 double, y2 double")
     return df.withColumn("lbox", geo.box("x1", "y1", "x2", "y2"))
 
 
@@ -75,7 +75,7 @@ HOOK = [(0.5, 0.5), (3, 0.5), (3, 3), (2.5, 3), (2.5, 0.75), (0.5, 0.75)]
 
 @pytest.mark.parametrize("shift", [(0, 0), (1.5e7, 4e6)])
 def test_l_and_hook(spark, shift):
-    ring = lambda pts: [[{"x": x + shift[0], "y": y + shift[1]} for x, y in [*pts, pts[0]]]]
+    ring = lambda pts: [[{"x": float(x + shift[0]), "y": float(y + shift[1])} for x, y in [*pts, pts[0]]]]
     kind = "array<array<struct<x:double,y:double>>>"
     df = spark.createDataFrame([(ring(L), ring(HOOK))], f"a {kind}, b {kind}")
     got = df.select(polygons.intersection_area("a", "b").alias("i"), polygons.intersects("a", "b").alias("m"), polygons.valid("a").alias("v")).first()
