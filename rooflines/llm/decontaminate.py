@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, cut, read
+from .common import WORD_BYTES, cut, read, tidy
 
 WINDOW = 10
 MOST_BYTES = 4 << 20
@@ -78,6 +78,7 @@ def _pairs(found: np.ndarray) -> list[dict]:
 
 
 def _scanner(shared, window: int):
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, made = automaton(shared.value, window)
         get = number.get
@@ -152,6 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 
 def _cleaner(shared, window: int):
+    @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, made = automaton(shared.value, window)
         for batch in batches:

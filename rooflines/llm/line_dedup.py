@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, tidy
 
 #: What is stripped from a line's ends; the least length of a key in code points.
 BLANKS = b"\x20\t\n\x0b\x0c\r"
@@ -49,6 +49,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, MARKS, strict=True)], schema=MARKS)
 
 
+@tidy
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     firsts: dict[bytes, tuple] = {}
 
@@ -144,12 +145,14 @@ def line_keep_bitmaps(docs: DataFrame) -> DataFrame:
     return lists.mapInArrow(_bitmap, "doc_id long, text_hash long, n_lines long, n_dropped long, keep binary")
 
 
+@tidy
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [xxhash.xxh3_64_intdigest(t.as_py() or b"") - 2**63 for t in batch.column("text").cast(pa.binary())]
         yield batch.append_column("__text_hash", pa.array(keys, pa.int64()))
 
 
+@tidy
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
