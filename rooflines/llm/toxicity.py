@@ -10,9 +10,10 @@ A document's two log-likelihoods are compared for a word: over all its words, an
 words, so that a few toxic words in a long text aren't thinned out. A logistic curve over the two differences, fitted
 by cross-validation (each sampled row is scored by models that weren't counted on it), gives the score.
 
-Corpus counts cover all documents and are gathered by partial aggregation. The classes' counts and the curve come from
-a bounded sample of labelled rows: MOST_ROWS for each class, in the order of a hash of the id. What is collected and
-broadcast has at most MOST_GRAMS entries, the most frequent; the rest falls back as unseen expressions do.
+Corpus counts cover all documents and all their grams, rare ones too, and are gathered by partial aggregation. The
+classes' counts and the curve come from a bounded sample of labelled rows: MOST_ROWS for each class, in the order of a
+hash of the id. Of the corpus counts those are collected that the sample's grams fall back on, and no others are needed:
+what is collected and broadcast grows with the sample's text, not with the corpus.
 
 Defined cases: null or empty text has no words and both differences are 0; a null doc_id is never held out; rows that
 are the same score the same; without toxic or without ordinary labels every score is 0 and nothing is predicted toxic;
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read, tidy
 
-MOST_ROWS, MOST_GRAMS, FOLDS = 4000, 600_000, 3
+MOST_ROWS, FOLDS = 4000, 3
 ORDER, DISCOUNT, PEAK, THRESHOLD = 5, 0.75, 3, 0.3
 #: A-Z to a-z; digits and ASCII signs to a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -85,16 +86,15 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_gram_counts, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Of counts (n) the largest, at most so many rows, equal ones all or none. A histogram finds the limit, so nothing is sorted in one task."""
-    step = F.floor(F.log2("n") * 16).cast("int")
-    kept, limit = 0, 0
-    for at, rows in sorted(counts.groupBy(step.alias("at")).count().collect(), reverse=True):  # 16 rows for each doubling
-        if kept + rows > most:
-            limit = at + 1
-            break
-        kept += rows
-    return counts.where(step >= limit)
+def _tails(longest: Column, shortest: int) -> Column:
+    """The ends of gram of shortest to longest letters."""
+    return F.transform(F.sequence(F.lit(shortest), longest), lambda k: F.substr("gram", F.length("gram") - k + 1, k))
+
+
+def continuations(found: DataFrame) -> DataFrame:
+    """gram, n: of each expression of 1 to ORDER-1 letters in found (gram, distinct) how many letters, or a word's begin, stand before it."""
+    longer = found.select(F.explode(_tails(F.length("gram"), 2)).alias("gram")).distinct().select(F.substr("gram", F.lit(2)).alias("gram"))
+    return longer.union(found.where(F.length("gram") < ORDER).select("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
@@ -125,6 +125,24 @@ class Shared:
         self.letters = len({g[-1:] for g in found}) + 1
         self.known: dict[bytes, float] = {}
 
+    @classmethod
+    def counted(cls, found: DataFrame, needed: DataFrame) -> Shared:
+        """The same for needed (gram) of found (gram, distinct): counted over all of found by Spark, and only what needed falls back on is collected."""
+        every, before = continuations(found), F.substr("gram", F.lit(1), F.length("gram") - 1).alias("gram")
+        wanted = needed.select(F.explode(_tails(F.least(F.length("gram"), F.lit(ORDER - 1)), 1)).alias("gram")).distinct()
+        contexts = every.groupBy(before).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        counts = every.select("gram", "n", F.lit(None).cast("long").alias("kinds")).join(wanted, "gram", "left_semi")
+        out = cls([])
+        for gram, n, kinds in cut(counts.union(contexts.join(wanted.select(before).distinct(), "gram", "left_semi"))).coalesce(1).toLocalIterator():
+            gram = bytes(gram)
+            if kinds is None:
+                out.levels[len(gram)][0][gram] = n
+            else:
+                _, total, kinds_of = out.levels[len(gram) + 1]
+                total[gram], kinds_of[gram] = n, kinds
+        out.letters = out.levels[1][2][b""] + 1
+        return out
+
     def p(self, gram: bytes) -> float:
         """Of gram's last letter after those before it, of which ORDER-2 count."""
         gram = gram[-(ORDER - 1) :]
@@ -225,13 +243,12 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     rows = sample(docs, labels, most_rows).cache()
     counted = cut(rows.mapInArrow(_gram_counts, "toxic int, fold int, gram binary, n long").groupBy("toxic", "fold", "gram").agg(F.sum("n").alias("n")))
     by: dict[tuple[int, int], Counter[bytes]] = defaultdict(Counter)
-    for toxic, fold, gram, n in most_frequent(counted, MOST_GRAMS).coalesce(1).toLocalIterator():
+    for toxic, fold, gram, n in counted.coalesce(1).toLocalIterator():
         by[toxic, fold][bytes(gram)] = n
     if not all(any(c == toxic for c, _ in by) for toxic in (0, 1)):
         rows.unpersist()
         return None
-    frequent = most_frequent(cut(corpus_grams(docs)), MOST_GRAMS).select("gram").coalesce(1)
-    shared = Shared([bytes(g) for (g,) in frequent.toLocalIterator()])
+    shared = Shared.counted(cut(corpus_grams(docs).select("gram")), counted.select("gram"))
     all_of = lambda toxic, but=None: sum((by[toxic, f] for f in range(FOLDS) if f != but), Counter())
     folds = [Model(all_of(0, f), all_of(1, f), shared) for f in range(FOLDS)]
     seen = rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(folds), ["toxic"], by_fold=True), f"toxic int, {SCORED}").select("toxic", "difference", "peak").collect()

@@ -356,6 +356,23 @@ def test_backoff_is_a_distribution():
         assert sum(shared.p(h + c) for c in letters) == pytest.approx(1)
 
 
+def test_backoff_counts_every_gram_of_the_corpus(spark, table):
+    of = lambda texts: sorted({g for t in texts for w in toxicity.words((t or "").encode()) for g in toxicity.grams(w)})
+    table_of = lambda g: spark.createDataFrame([(bytearray(x),) for x in g], "gram binary").repartition(3)
+    found, needed = of([*table["text"], "\u4e2d\u6587\u5b57\u7b26 x"]), of([*table["text"][:20], "\u4e2d\u6587"])
+    plain, got = toxicity.Shared(found), toxicity.Shared.counted(table_of(found), table_of(needed))
+    assert got.letters == plain.letters and [got.p(g) for g in needed] == [plain.p(g) for g in needed]
+    assert {g: n for g, n in toxicity.continuations(table_of(found)).collect()} == {g: n for k, (counts, _, _) in plain.levels.items() for g, n in counts.items() if len(g) == k}
+
+
+def test_toxicity_has_no_cap_on_grams(spark, monkeypatch):
+    d, l = toxic_corpus(spark, 300)
+    scores = lambda: sorted(map(tuple, toxicity.score_toxicity(d, l).collect()))
+    before = scores()
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 100, raising=False)
+    assert scores() == before
+
+
 def test_toxicity_odd_rows(spark):
     d, l = toxic_corpus(spark, 300)
     both = d.unionByName(odd(spark).withColumn("doc_id", F.col("doc_id") + 10_000))
