@@ -23,9 +23,11 @@ from .components import connected_components
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Up to so many rules become one expression; more are joined by host suffix.
 MOST_IN_LINE = 200
-CANONICAL = r"""(?i)<link\b[^>]{0,400}?\brel\s*=\s*["']?canonical\b[^>]*>"""
+#: Whole tags, or what an unclosed one leaves of the text, so that each letter is read once; then what one must say.
+LINK, META = r"(?i)<link\b[^>]*(?:>|\z)", r"(?i)<meta\b[^>]*(?:>|\z)"
+CANONICAL = r"""(?i)\brel\s*=\s*["']?canonical\b"""
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?i)<meta\b[^>]{0,400}?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+REFRESH = r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""
 TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
@@ -68,7 +70,8 @@ def _absolute(base: Column, link: Column) -> Column:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """u, v: each page's url and the url that its canonical link or refresh names."""
-    found = F.array(F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1))
+    first = lambda tag, says: F.get(F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.endswith(">") & t.rlike(says)), 0)
+    found = F.array(F.regexp_extract(first(LINK, CANONICAL), HREF, 1), F.regexp_extract(first(META, REFRESH), TARGET, 1))
     named = pages.where(F.col("url").contains("://") & (F.lower(F.col("html")).contains("canonical") | F.lower(F.col("html")).contains("refresh"))).select("url", F.explode(found).alias("link")).where("link <> ''")
     return named.select(F.col("url").alias("u"), _absolute(F.col("url"), F.col("link")).alias("v"))
 

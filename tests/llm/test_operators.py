@@ -253,6 +253,18 @@ def test_aliases_take_their_class_decision(spark):
     assert url_filter.filter_urls(pages(spark, texts).limit(0), url_filter.RULES).count() == 0
 
 
+def test_tags_of_any_length_name_aliases(spark):
+    far = "http://bad.net/" + "x" * 600
+    texts = [
+        (1, "http://ok.com/1", f'<link rel=icon href="/i"><link href="{far}" rel="canonical">'),
+        (2, "http://ok.com/2", f"<meta content='0; url={far}' http-equiv=refresh>"),
+        (3, "http://ok.com/3", f"<link title='{'y' * 500}' rel=canonical href='{far}'"),  # never closed
+        (4, "http://ok.com/4", f"<link {'<link ' * 20000} rel=canonical"),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages(spark, texts), url_filter.RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
 def test_joined_rules_are_the_same(spark, small, monkeypatch):
     urls = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url")
     a = rows(url_filter.judge_by_rules(urls, url_filter.RULES)).sort_values("page_id").reset_index(drop=True)
