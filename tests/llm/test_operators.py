@@ -491,6 +491,42 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
     assert other.pii[0].value != v[0]
 
 
+def with_check_digit(body):
+    return next(body + c for c in "0123456789" if luhn(body + c))
+
+
+def test_cards_in_printed_groups(spark):
+    texts = {}
+    for groups in [(4, 6, 4), (4, 6, 5), (4, 4, 4, 1), (4, 4, 4, 4), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3)]:
+        for signs in ("    ", "----", " - -", "-  -"):
+            digits, at, printed = with_check_digit("4041894974608795123"[: sum(groups) - 1]), 0, ""
+            for k, n in enumerate(groups):
+                printed, at = printed + (signs[k - 1] if k else "") + digits[at : at + n], at + n
+            texts[len(texts)] = printed
+    for r in pii.pseudonymise(docs(spark, [(i, f"pay {t}, now") for i, t in texts.items()])).collect():
+        (p,), printed = r.pii, texts[r.doc_id]
+        assert p.kind == "card" and p.value != printed and luhn(re.sub(r"\D", "", p.value)) and re.sub(r"\d", "0", p.value) == re.sub(r"\d", "0", printed)
+
+
+def test_a_card_with_a_number_after_it(spark):
+    texts = [(i, f"4041 8949 7460 8795 {i:03d}") for i in range(1000)]
+    seen = {r.doc_id: r for r in pii.pseudonymise(docs(spark, texts)).collect()}
+    whole = {i for i, t in texts if luhn(t.replace(" ", ""))}
+    assert 50 < len(whole) < 150
+    for i, t in texts:
+        (p,), d = seen[i].pii, seen[i].text.replace(" ", "")
+        assert p.kind == "card" and p.value == seen[i].text != t and luhn(d) == (i in whole)
+        assert i in whole or (luhn(d[:16]) and d[16:] == f"{i:03d}")
+    assert len({r.text for r in seen.values()}) == 1000
+
+
+def test_mail_names_may_begin_with_any_sign(spark):
+    got = pii.pseudonymise(docs(spark, [(i, f"to {c}jo@x.org now") for i, c in enumerate("_.%+-")])).collect()
+    assert len(got) == 5
+    for r in got:
+        assert re.fullmatch(r"to user-[0-9a-f]{16}@x.org now", r.text) and r.pii[0].kind == "email"
+
+
 def test_permutations_are_one_to_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert df.select(pii.permute_digits("k", F.lit("t"), F.col("d")).alias("p")).distinct().count() == 1000
