@@ -121,6 +121,12 @@ def upsample(pixels: DataFrame, height: int, width: int, out_height: int, out_wi
     return pixels.withColumn("__r", F.explode(spread("row", height, out_height))).withColumn("__c", F.explode(spread("col", width, out_width))).select(F.col("__r").alias("row"), F.col("__c").alias("col"), "value")
 
 
+def height_of(pixels: DataFrame) -> int:
+    """Rows from 0 to the last one that pixels has."""
+    last = pixels.agg(F.max("row")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def mosaic(pixels: DataFrame, nodata: float, bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
     """pixels (file_order, row, col, value) of many rasters: the first file's value that isn't nodata; bounds are half-open rows and columns."""
     seen = pixels.where(F.col("value") != nodata)

@@ -304,6 +304,27 @@ def block_resample_positive_avg(t: Tables) -> DataFrame:
     return raster.downsample(_signed(t), 50, 300, 7, 11, "mean").withColumn("value", R6(F.col("value")))
 
 
+def _whole_blocks(t: Tables, how: str) -> DataFrame:
+    p = t.pixels().select("row", "col", (F.col("h") - 20).alias("value"))
+    return raster.downsample(p, max(raster.height_of(p), 1), 300, 7, 11, how)
+
+
+@query()
+def whole_resample_max(t: Tables) -> DataFrame:
+    """block_resample_max over the whole raster, as high as it is; so are the next two."""
+    return _whole_blocks(t, "max")
+
+
+@query()
+def whole_resample_positive_sum(t: Tables) -> DataFrame:
+    return _whole_blocks(t, "sum")
+
+
+@query()
+def whole_resample_positive_avg(t: Tables) -> DataFrame:
+    return _whole_blocks(t, "mean").withColumn("value", R6(F.col("value")))
+
+
 @query(with_tables("SELECT row, col, arg_min(value, k) AS value FROM (SELECT row, col, k, CASE WHEN (row + col * k) % 3 = 0 THEN -1 ELSE h + k END AS value FROM pixels, range(1, 4) AS f(k)) WHERE value <> -1 AND row >= 5 AND row < 40 AND col >= 10 AND col < 250 GROUP BY ALL", "pixels"))
 def mosaic(t: Tables) -> DataFrame:
     files = t.pixels().withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
@@ -362,6 +383,14 @@ def nearest_label_fill(t: Tables) -> DataFrame:
     return near.select("row", "col", F.col("label").alias("near"))
 
 
+@query()
+def whole_label_fill(t: Tables) -> DataFrame:
+    """nearest_label_fill over all rows and columns."""
+    p = t.pixels()
+    near = raster.nearest_fill(p.where("col % 4 <> 0"), p.where("col % 4 = 0").select("row", "col", F.col("col").alias("label")), 2)
+    return near.select("row", "col", F.col("label").alias("near"))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS points, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS outside FROM (SELECT c_custkey, CASE WHEN floor((50 - lat) / 0.5) BETWEEN 0 AND 39 AND floor((lon - 10) / 0.5) BETWEEN 0 AND 39 THEN 1 END AS value FROM (SELECT c_custkey, 8.03 + c_custkey % 240 / 10.0 AS lon, 28.03 + c_custkey % 230 / 10.0 AS lat FROM customer))")
 def mercator_reprojection(t: Tables) -> DataFrame:
     """Points of the Mercator plane that find a pixel of a geographic raster, 40 by 40 half degrees."""

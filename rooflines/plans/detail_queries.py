@@ -61,6 +61,15 @@ def upsampled_pixels(t: Tables) -> DataFrame:
     return up.groupBy(F.col("row").cast("long").alias("row")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+@query()
+def whole_upsampled_pixels(t: Tables) -> DataFrame:
+    """upsampled_pixels over the whole raster, to twice as many rows less one."""
+    p = t.pixels().select("row", "col", F.col("h").alias("value"))
+    n = raster.height_of(p)
+    up = raster.upsample(p, n, 300, max(2 * n - 1, 1), 450)
+    return up.groupBy(F.col("row").cast("long").alias("row")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 @query(with_tables("SELECT fid, CAST(y1 - (x2 - x1) / 2.0 AS DOUBLE) AS y_low, CAST(y1 + (x2 - x1) / 2.0 AS DOUBLE) AS y_high, CAST(round(x1 / 4.0) AS INT) AS col, CAST(round((6000 - y1 - (x2 - x1) / 2.0) / 4.0) AS INT) AS row FROM footprints", "footprints"))
 def square_windows(t: Tables) -> DataFrame:
     """Squares around footprints as windows of a north-up raster of four-metre pixels."""
