@@ -44,6 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found or sc.getCheckpointDir()
 
 
+def free(name: str, df: DataFrame) -> str:
+    """name, with signs _ before it until df has no column so called: its own columns stay."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of any file system that Spark knows."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder; a lost executor doesn't lose them."""
     shared_dir(df.sparkSession)

@@ -1,17 +1,25 @@
 """PII pseudonyms by format-preserving Feistel permutations, in DataFrame functions only.
 
 Numbers and dates that prove valid are replaced by others of the same format: a keyed Feistel network permutes them
-within their format, so equal values stay equal in all documents, different ones stay different, and who holds the
-key can go back. Kinds: payment cards (Luhn digit, made anew so that the result is valid too), telephone numbers,
-social security numbers, IPv4 addresses, calendar dates (permuted within their block of 400 Gregorian years), and
-mail addresses, whose local part becomes a keyed name. All else stays as it is, byte for byte.
-
-A text is split at the matches and joined again in its row: nothing is shuffled or collected, and texts without a
-match are handed on.
+within the valid ones of their format, so equal values stay equal in all documents, different ones stay different, and
+who holds the key can go back. Kinds and what proves them:
+
+* payment cards: Luhn digit, made anew so that the result is valid too
+* telephone numbers: of ten digits, area and exchange not 000 (an area code that isn't in use may be a slip of the pen
+  and is treated like any other); international ones (+ and 8 to 15 digits), which keep their first two digits
+* social security numbers: area not 000, 666 or over 899, group not 00, serial not 0000
+* IPv4 addresses: four bytes
+* calendar dates, permuted within their block of 400 Gregorian years
+* mail addresses: no empty label in the domain, which stays; letters of the name become letters and digits digits.
+  Names are taken in lower case, as mail is delivered.
+
+All else stays as it is, byte for byte. A text is split at the matches and joined again in its row: nothing is
+shuffled or collected, and texts without a match are handed on. No pattern repeats a group without bound, so a match
+takes the same stack however long the text is.
 
 Defined cases: null text stays null, without values; an empty text stays; rows that are the same give the same; an
-empty table gives no rows; extra columns are kept; numbers that fail their check (Luhn digit, calendar, bytes of an
-address) stay.
+empty table gives no rows; extra columns are kept, one named pii too: the operator's own is then called _pii; numbers
+that fail their check stay.
 """
 
 from __future__ import annotations
@@ -21,16 +29,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free, read
 
 KEY = "not a secret: set your own"
 ROUNDS = 8
 #: The kinds, each a pattern of its own; the first that fits a match from start to end names it.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "date": r"(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|(?<![0-9])[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])",
-    "phone": r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])",
+    "phone": r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])|(?<![0-9+])\+(?:1[0-9]{10}|[2-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,5})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
 }
@@ -102,8 +110,32 @@ def _card(key: str, value: Column) -> Column:
     return F.when(valid(digits), in_format(value, made(digits))).when(value.rlike(FOLLOWED) & valid(card), in_format(value, F.concat(alone, rest))).otherwise(value)
 
 
-def _plain(kind: str) -> Callable[[str, Column], Column]:
-    return lambda key, value: in_format(value, permute_digits(key, F.lit(kind), _digits(value)))
+def _joined(pair: Column, text: Callable[[Column], Column]) -> Column:
+    """text of a pair that is worked out once."""
+    return F.aggregate(F.array(pair), F.lit(""), lambda _, s: text(s))
+
+
+def _phone(key: str, value: Column) -> Column:
+    digits = _digits(value)
+    ten = F.right(digits, F.lit(10))
+    part = lambda at, n: F.substr(ten, F.lit(at), F.lit(n)).cast("long")
+    out = feistel(key, F.lit("phone"), part(1, 3) - 1, F.lit(999), (part(4, 3) - 1) * 10000 + part(7, 4), F.lit(9_990_000))
+    made = _joined(out, lambda s: F.concat(F.lpad((s["a"] + 1).cast("string"), 3, "0"), F.lpad((F.floor(s["b"] / 10000) + 1).cast("string"), 3, "0"), F.lpad((s["b"] % 10000).cast("string"), 4, "0")))
+    far = value.startswith("+") & ~value.startswith("+1")
+    abroad = in_format(value, F.concat(F.left(digits, F.lit(2)), permute_digits(key, F.lit("abroad"), F.substr(digits, F.lit(3)))))
+    return (
+        F.when(far & F.length(digits).between(8, 15), abroad)
+        .when(~far & (part(1, 3) > 0) & (part(4, 3) > 0), in_format(value, F.concat(F.when(value.startswith("+"), "1").otherwise(""), made)))
+        .otherwise(value)
+    )
+
+
+def _ssn(key: str, value: Column) -> Column:
+    area, group, serial = (F.substr(value, F.lit(at), F.lit(n)).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    out = feistel(key, F.lit("ssn"), area - F.when(area > 666, 2).otherwise(1), F.lit(898), (group - 1) * 9999 + serial - 1, F.lit(99 * 9999))
+    three = lambda a: F.lpad((a + F.when(a >= 665, 2).otherwise(1)).cast("string"), 3, "0")
+    made = _joined(out, lambda s: F.concat_ws("-", three(s["a"]), F.lpad((F.floor(s["b"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((s["b"] % 9999 + 1).cast("string"), 4, "0")))
+    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), made).otherwise(value)
 
 
 def _ip(key: str, value: Column) -> Column:
@@ -135,10 +167,28 @@ def _date(key: str, value: Column) -> Column:
 
 
 def _email(key: str, value: Column) -> Column:
-    return F.concat(F.lit("user-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256), 1, 16), F.lit("@"), F.substring_index(value, "@", -1))
+    """The name's places are dealt into even and odd ones; by turns each of the one kind is moved on by what the others decide."""
+    name, domain = F.lower(F.substring_index(value, "@", 1)), F.substring_index(value, "@", -1)
+    tweak = F.concat(F.lit("email "), F.lower(domain))
+
+    def coded(c: Column) -> Column:
+        size = F.when(c.rlike("^[0-9]$"), 10).when(c.rlike("^[a-z]$"), 26).otherwise(1)
+        return F.struct(c.alias("c"), size.alias("size"), F.when(size > 1, F.ascii(c) - F.when(size == 10, ord("0")).otherwise(ord("a"))).otherwise(0).alias("x"))
+
+    def turn(acc: Column, i: Column) -> Column:
+        moves = lambda p: p % 2 == i % 2
+        others = F.array_join(F.transform(F.filter(acc, lambda s, p: ~moves(p)), lambda s: s["x"].cast("string")), ",")
+        drawn = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), others), 256)
+        step = lambda s, p, h: F.conv(F.substr(h, F.floor(p / 2).cast("int") * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        moved = lambda h: F.transform(acc, lambda s, p: F.struct(s["c"].alias("c"), s["size"].alias("size"), F.when(moves(p), (s["x"] + step(s, p, h)) % s["size"]).otherwise(s["x"]).alias("x")))
+        return F.element_at(F.transform(F.array(drawn), moved), 1)
+
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.transform(F.filter(F.split(name, "(?!^)"), lambda c: c != ""), coded), turn)
+    letter = lambda s: F.when(s["size"] == 1, s["c"]).otherwise(F.char(s["x"] + F.when(s["size"] == 10, ord("0")).otherwise(ord("a"))))
+    return F.when(F.instr(domain, "..") == 0, F.concat(F.array_join(F.transform(out, letter), ""), F.lit("@"), domain)).otherwise(value)
 
 
-MAKERS: dict[str, Callable[[str, Column], Column]] = {"email": _email, "date": _date, "ip": _ip, "phone": _plain("phone"), "ssn": _plain("ssn"), "card": _card}
+MAKERS: dict[str, Callable[[str, Column], Column]] = {"email": _email, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
 def _named(kind: str, before: Column) -> Callable[[Column], Column]:
@@ -157,12 +207,12 @@ def pseudonym(key: str, value: Column) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with the new text, and pii: array<struct<kind, value>>, what now stands at each match (kind null: stayed)."""
-    text = F.col("text")
-    matched = docs.withColumn("__found", F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    made = matched.withColumn("pii", F.when(F.col("__found").isNotNull(), F.transform("__found", lambda v: pseudonym(key, v))).otherwise(F.array().cast("array<struct<kind:string,value:string>>")))
+    text, pii, found = F.col("text"), free("pii", docs), free("__found", docs)
+    matched = docs.withColumn(found, F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    made = matched.withColumn(pii, F.when(F.col(found).isNotNull(), F.transform(found, lambda v: pseudonym(key, v))).otherwise(F.array().cast("array<struct<kind:string,value:string>>")))
     pieces = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(pieces, "pii", lambda s, p: F.concat(s, F.coalesce(p["value"], F.lit("")))), "")
-    return made.withColumn("text", F.when(F.col("__found").isNotNull(), joined).otherwise(text)).drop("__found")
+    joined = F.array_join(F.zip_with(pieces, pii, lambda s, p: F.concat(s, F.coalesce(p["value"], F.lit("")))), "")
+    return made.withColumn("text", F.when(F.col(found).isNotNull(), joined).otherwise(text)).drop(found)
 
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
