@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**line_dedup.ORACLES, **mixing.ORACLES, **warc.ORACLES, **url_filter.ORACLES, **decontaminate.ORACLES, **jaccard.ORACLES}
+    return {**secrets.ORACLES, **line_dedup.ORACLES, **mixing.ORACLES, **warc.ORACLES, **url_filter.ORACLES, **decontaminate.ORACLES, **jaccard.ORACLES}

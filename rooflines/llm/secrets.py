@@ -4,18 +4,20 @@ A part is an access identifier, a secret or an endpoint. Strong parts (the base
 reported as they stand. Weak ones (bare tokens that may be secrets, login names, endpoints) are reported only when a
 complementary part lies within `reach` code points in the same scope, a block of text between blank lines.
 
-The link is an interval join of each weak part's reach with the complementary parts of its scope. It is done as one
-sorted sweep (a running latest end before, a running earliest start behind), so no pairs are made and a scope with
-very many parts costs no more than its sort. Only the parts are shuffled, never texts.
+The link is an interval join of each weak part's reach with the complementary parts of its scope. It is done as two
+sorted sweeps, onward with a running latest end and backward with a running earliest start, so no pairs are made and a
+scope with very many parts costs no more than its two sorts. Only the parts are shuffled, never texts.
 
 Defined cases: null text counts as empty; an empty text has no spans; null doc_id is a value like any other; rows that
-are the same are each returned; an empty table gives no rows; extra columns are ignored.
+are the same are each returned; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -49,17 +51,14 @@ def parts(text: bytes) -> list[tuple[int, int, int, int]]:
     weak += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     if not strong and not weak:
         return []
-    taken, until, at = [], 0, 0
-    for start, kind, end in sorted(weak):
-        while at < len(strong) and strong[at][0] < end:
-            until, at = max(until, strong[at][2]), at + 1
-        if start >= until:
-            taken.append((start, kind, end))
-    found = sorted(strong + taken)
+    begins, until = [s for s, _, _ in strong], [0, *accumulate((e for _, _, e in strong), max)]
+    # the latest end of the strong ones that begin before this one's end
+    found = sorted(strong + [(s, k, e) for s, k, e in weak if s >= until[bisect_left(begins, e)]])
     places = {0: 0}  # bytes to code points, walked once
     seen = points = 0
+    plain = text.isascii()
     for at in sorted({x for s, _, e in found for x in (s, e)}):
-        points += at - seen if text.isascii() else len(text[seen:at].decode("utf-8", "replace"))
+        points += at - seen if plain else len(text[seen:at].decode("utf-8", "replace"))
         places[at], seen = points, at
     blanks, scope, out = iter([m.start() for m in BLANK.finditer(text)] + [len(text) + 1]), 0, []
     nearest = next(blanks)
@@ -86,8 +85,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linked_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """A row for each row of docs: doc_id and spans, array<struct<start, kind, end>> by start and kind (a place in KINDS)."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, text_hash long, kind int, scope int, start int, end int").repartition("doc_id", "text_hash")
-    scope = Window.partitionBy("doc_id", "text_hash", "scope").orderBy("start", "kind", "end")
-    before, behind = scope.rowsBetween(Window.unboundedPreceding, -1), scope.rowsBetween(1, Window.unboundedFollowing)
+    scope = Window.partitionBy("doc_id", "text_hash", "scope")
+    # what lies behind is what lies before in the reversed order: a frame that ends with the partition is recomputed for each row
+    before, behind = (scope.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in (("start", "kind", "end"), (F.desc("start"), F.desc("kind"), F.desc("end"))))
     roles = {"id": (1, 4), "secret": (0, 2, 3), "endpoint": (5,)}
 
     def near(*names: str):
@@ -122,3 +122,31 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["kind"] > 2)).cast("long").alias("n_linked"),
     )
+
+
+def _at(name: str, pattern: str, group: int, where: str = "true") -> str:
+    """Rows doc_id, kind, s, e of a pattern's matches: the pieces between them, added up, tell where they are."""
+    kind, quoted = KINDS.index(name), pattern.replace("'", "''")
+    return f"""SELECT doc_id, {kind} AS kind, pos AS s, pos + length(m) AS e FROM (SELECT doc_id, m, g, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos
+FROM (SELECT doc_id, i, p, ms, ms[i] AS m, gs[i] AS g FROM (SELECT doc_id, regexp_split_to_array(text, '{quoted}') AS p, regexp_extract_all(text, '{quoted}', 0) AS ms, regexp_extract_all(text, '{quoted}', {group}) AS gs FROM d), unnest(range(1, len(ms) + 1)) AS t(i))) WHERE {where}"""
+
+
+def _sql() -> str:
+    of = lambda p: p.pattern.decode()
+    parts = [_at("assign", of(ASSIGN), 2, "length(g) >= 6"), _at("access", of(ACCESS), 0), _at("hex", of(HEX), 0)]
+    weak = [_at("secret", of(TOKEN), 0, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"), _at("login", of(LOGIN), 0), _at("endpoint", of(ENDPOINT), 0)]
+    near = "b.doc_id = a.doc_id AND b.scope = a.scope AND (((b.s, b.kind, b.e) < (a.s, a.kind, a.e) AND b.e >= a.s - {0}) OR ((b.s, b.kind, b.e) > (a.s, a.kind, a.e) AND b.s <= a.e + {0}))".format(REACH)
+    names = f"{KINDS!r}[kind + 1]"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+strong AS ({" UNION ALL ".join(parts)}), weak AS ({" UNION ALL ".join(weak)}), blank AS ({_at("assign", of(BLANK), 0)}),
+f AS (SELECT * FROM strong UNION ALL SELECT * FROM weak w WHERE NOT EXISTS (SELECT 1 FROM strong x WHERE x.doc_id = w.doc_id AND x.s < w.e AND x.e > w.s)),
+a AS (SELECT f.*, (SELECT count(*) FROM blank WHERE blank.doc_id = f.doc_id AND blank.s < f.s) AS scope FROM f),
+k AS (SELECT * FROM a WHERE kind < 3 OR (kind = 3 AND EXISTS (SELECT 1 FROM a b WHERE b.kind IN (1, 4, 5) AND {near})) OR (kind > 3 AND EXISTS (SELECT 1 FROM a b WHERE b.kind IN (0, 2, 3) AND {near}))),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind > 2) AS n_linked,
+  string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_linked, 0) AS n_linked, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
+
+
+ORACLES = {"op1_secret_scan": _sql()}
