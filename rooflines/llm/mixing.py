@@ -11,7 +11,8 @@ source with a third of all rows is spread over SALTS tasks.
 
 Defined cases: null text counts as no code points, and a source without any has rate 0; a null source is a source of
 its own; a source without a target weight has weight 0; a null doc_id draws like any other value; rows that are the same draw the
-same count; an empty table gives no rows; extra columns are kept.
+same count; an empty table gives no rows; extra columns are kept. Where docs has a column named rate, copies, copy or
+mix_key, it stays and the operator's own has _ before its name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, small_enough
+from .common import cut, free, read, small_enough
 
 SEED = 17
 MOST_SOURCES = 10_000
@@ -58,18 +59,19 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
 
 def poisson_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, seed: int = SEED) -> DataFrame:
     """docs, each row as often as drawn, with rate, copies, copy (from 1) and mix_key, in the order of mix_key within each partition."""
-    table = cut(rates(docs, weights, total))
+    rate, copies, copy, mix_key, source, cdf, salt, other = (free(c, docs) for c in ("rate", "copies", "copy", "mix_key", "__source", "__cdf", "__salt", "__other_salt"))
+    table = cut(rates(docs, weights, total)).select(F.col("__source").alias(source), F.col("rate").alias(rate), F.col("cdf").alias(cdf))
     if small_enough(table, MOST_SOURCES):
-        both = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source")))
+        both = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col(source)))
     else:
-        salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        both = docs.withColumn("__s", salt).join(salted, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__s") == F.col("__salt"))).drop("__s", "__salt")
+        salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        of_row = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        both = docs.withColumn(other, of_row).join(salted, F.col("source").eqNullSafe(F.col(source)) & (F.col(other) == F.col(salt))).drop(salt, other)
     u = uniform(F.lit(seed), "doc_id")
-    drawn = both.withColumn("copies", F.size(F.filter("cdf", lambda c: c <= u)).cast("long")).drop("__source", "cdf")
-    copies = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    keyed = copies.withColumn("mix_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed} mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "copy")), 1, 15), 16, 10).cast("long"))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    drawn = both.withColumn(copies, F.size(F.filter(cdf, lambda c: c <= u)).cast("long")).drop(source, cdf)
+    repeated = drawn.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed} mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), copy)), 1, 15), 16, 10).cast("long")
+    return repeated.withColumn(mix_key, key).repartition(mix_key).sortWithinPartitions(mix_key)
 
 
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
