@@ -60,12 +60,24 @@ def judge_by_rules(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFram
     return split.join(by_host, "host", "left").withColumn("__r", best).select(*split.columns, "__r.rule", "__r.action")
 
 
+def _without_dots(url: Column) -> Column:
+    """url with the segments . and .. of its path taken out, as browsers do."""
+    site = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"([?#].*)$", 1)
+    parts = F.split(path, "/")
+    ends = F.element_at(parts, -1).isin(".", "..")
+    climb = lambda acc, p: F.when(p == ".", acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(p)))
+    clean = F.aggregate(parts, F.array().cast("array<string>"), climb)
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(site, F.array_join(clean, "/"), F.when(ends, "/").otherwise(""), rest)).otherwise(url)
+
+
 def _absolute(base: Column, link: Column) -> Column:
-    """link as seen from base: absolute, //host, /path or relative to base's folder."""
+    """link as seen from base: absolute, //host, /path, ?query or relative to base's folder."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
     site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(site, link)).otherwise(F.concat(F.rtrim(folder), link))
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(site, link)).when(link.startswith("?"), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), link)).otherwise(F.concat(F.when(folder == site, F.concat(site, F.lit("/"))).otherwise(folder), link))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -73,7 +85,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     first = lambda tag, says: F.get(F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.endswith(">") & t.rlike(says)), 0)
     found = F.array(F.regexp_extract(first(LINK, CANONICAL), HREF, 1), F.regexp_extract(first(META, REFRESH), TARGET, 1))
     named = pages.where(F.col("url").contains("://") & (F.lower(F.col("html")).contains("canonical") | F.lower(F.col("html")).contains("refresh"))).select("url", F.explode(found).alias("link")).where("link <> ''")
-    return named.select(F.col("url").alias("u"), _absolute(F.col("url"), F.col("link")).alias("v"))
+    return named.select(F.col("url").alias("u"), _without_dots(_absolute(F.col("url"), F.regexp_replace("link", "(?i)&amp;", "&"))).alias("v"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
