@@ -2,16 +2,20 @@
 
 Each task writes its records to an archive of its own in the shared folder, every record a gzip member, and returns an
 index row for each: archive, offset, length, url and digest. The index is kept by a checkpoint; a task that is run
-again writes another archive, and the index only names the archives of tasks that ended well. Reading sorts the index
-rows wanted by archive and offset, joins neighbouring ranges into one read of bounded size and parses the records.
+again writes another archive, and the index only names the archives of tasks that ended well. Reading deals the index
+rows wanted into as many tasks as their bytes ask for, sorts them by archive and offset, joins neighbouring ranges
+into one read of bounded size and parses the records.
+
+A target header holds the url as it is, but for control signs, blanks and what isn't ASCII, which are escaped; a % stays
+one. A url that had to be escaped is kept in a header of its own too, so that it comes back exactly.
 
 A payload's first page (the smallest page_id) is the response; pages with an equal payload become revisit records
 without payload that refer to it. The join on the payload's digest is a sort-merge join, which Spark splits where one
 payload has very many pages.
 
 Defined cases: null html counts as empty; a null page_id ranks after all others; rows that repeat the smallest
-page_id of a payload are all responses; a null url leaves the target header out; line breaks in urls are escaped; an
-empty table gives an empty index; extra columns are ignored.
+page_id of a payload are all responses; a null url leaves the target header out; an empty table gives an empty index; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,19 +25,22 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, shared_dir
+from .common import cut, read, remove, shared_dir
 
 #: Payloads of at least so many bytes are replaced by revisits; ranges this near are read at once, up to so many bytes.
 LEAST, GAP, MOST = 0, 65536, 8 << 20
+#: Bytes of archives that a reading task gets, more where there would be over so many tasks.
+PER_TASK, MOST_TASKS = 4 << 20, 20_000
 INDEX = "archive string, offset long, length long, url string, digest string, page_id long, record_type string"
-#: Fixed values of the records.
+#: Fixed values of the records; the signs that a target header holds as they are: all of ASCII that can be seen.
+SEEN = "".join(map(chr, range(0x21, 0x7F)))
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 DATE = b"1970-01-01T00:00:00Z"
 
@@ -43,7 +50,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, fi
     block = (HTTP % len(payload)) + payload if kind == "response" else HTTP % len(payload)
     lines = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:page:%s>" % str(page_id).encode(), b"WARC-Date: " + DATE]
     if url is not None:
-        lines.append(b"WARC-Target-URI: " + quote(url, safe="!#$&'()*+,/:;=?@[]~").encode())
+        escaped = quote(url, safe=SEEN)
+        lines.append(b"WARC-Target-URI: " + escaped.encode())
+        if escaped != url:
+            lines.append(b"X-Source-URL: " + base64.b64encode(url.encode()))
     if kind == "revisit":
         lines += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: <urn:page:%s>" % str(first).encode()]
     lines += [b"WARC-Payload-Digest: sha1:" + digest.encode(), b"Content-Type: application/http;msgtype=response", b"Content-Length: %d" % len(block)]
@@ -124,11 +134,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, at, n in run:
             r = parse(zlib.decompress(data[at - first : at - first + n], 31))
             full = int(r["http"]["content-length"])
-            url = r.get("warc-target-uri")
+            url = base64.b64decode(r["x-source-url"]).decode() if "x-source-url" in r else r.get("warc-target-uri")
             digest = base32_sha1(r["payload"]) if r["warc-type"] == "response" else r["warc-payload-digest"].removeprefix("sha1:")
             if digest != r["warc-payload-digest"].removeprefix("sha1:"):
                 raise ValueError(f"{archive}: the record at {at} doesn't have the payload that it names")
-            rows.append((_number(r["warc-record-id"]), None if url is None else unquote(url), r["payload"] if r["warc-type"] == "response" else None, full, digest, r["warc-type"], _number(r.get("warc-refers-to"))))
+            rows.append((_number(r["warc-record-id"]), url, r["payload"] if r["warc-type"] == "response" else None, full, digest, r["warc-type"], _number(r.get("warc-refers-to"))))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     run: list[tuple[str, int, int]] = []
@@ -146,15 +156,22 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(index: DataFrame) -> DataFrame:
     """The records that these index rows name. A task gets neighbouring ranges; a long archive is split over tasks."""
-    spread = index.select("archive", "offset", "length").repartition("archive", F.expr(f"offset div {4 * MOST}")).sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = min(MOST_TASKS, max(1, -(-total // PER_TASK)))
+    # a number of partitions that is asked for isn't merged again by the few bytes of the index rows themselves
+    spread = index.select("archive", "offset", "length").repartition(tasks, "archive", F.expr(f"offset div {max(PER_TASK, total // tasks)}")).sortWithinPartitions("archive", "offset")
     return spread.mapInArrow(_reader, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     folder = f"{folder if ':/' in folder else 'file://' + folder}/warc-{uuid.uuid4().hex}"
-    index = write_archives(read(spark, sf_dir, "pages"), folder)
-    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    try:
+        index = write_archives(read(spark, sf_dir, "pages"), folder)
+        # what was read back is kept, the archives of this query aren't
+        return cut(read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"))
+    finally:
+        remove(spark, folder)
 
 
 ORACLES = {

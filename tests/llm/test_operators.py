@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import io
 import json
+import os
 import random
 import re
 import time
@@ -219,6 +220,20 @@ def test_mixing_odd_rows_and_many_sources(spark, monkeypatch):
     assert mixing.poisson_mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_mixing_keeps_columns_with_its_own_names(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", most)
+    names = ["rate", "cdf", "copies", "copy", "mix_key", "mass", "weight", "__source", "__salt", "__cdf"]
+    df = docs(spark, [(i, "x" * 9) for i in range(50)])
+    for c in names:
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    got = rows(mixing.poisson_mix(df))
+    assert all((got[c] == f"own {c}").all() for c in names) and got.columns[: len(df.columns)].tolist() == df.columns
+    want = rows(mixing.poisson_mix(df.drop(*names)))
+    cols = ["rate", "copies", "copy", "mix_key"]
+    assert sorted(map(tuple, got[["doc_id", *(f"_{c}" for c in cols)]].values.tolist())) == sorted(map(tuple, want[["doc_id", *cols]].values.tolist()))
+
+
 def test_large_means_invert(spark):
     df = docs(spark, [(i, "x") for i in range(300)])
     n = mixing.poisson_mix(df, total=300 * 900.0).groupBy("doc_id").count().toPandas()["count"]
@@ -232,7 +247,7 @@ def pages(spark, texts):
     return spark.createDataFrame([(i, u, h, "z", 1) for i, u, h in texts], "page_id long, url string, html string, archive string, digest int")
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
     texts = [(3, "http://a/é?x=%20\r\n", "<p>é</p>\r\n\r\nWARC/1.1\r\n"), (1, "http://b/", "same"), (2, None, "same"), (5, "http://c/", None), (4, "http://d", ""), (6, "http://e", "y" * 300_000), (6, "http://e", "y" * 300_000), (None, "http://f", "same")]
     folder = f"file://{tmp_path}/warc"
     index = warc.write_archives(pages(spark, texts), folder)
@@ -247,14 +262,61 @@ def test_warc_round_trip(spark, tmp_path):
         assert r["record_type"] == ("revisit" if i in (2, 5, None) else "response")
         assert (None if pd.isna(r["refers_to"]) else int(r["refers_to"])) == {2: 1, 5: 4, None: 1}.get(i)
         assert r["record_type"] == "revisit" or bytes(r["payload"]) == payload
+    assert warc.read_records(index).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(warc, "PER_TASK", 100)
+    many = warc.read_records(index)
+    assert many.rdd.getNumPartitions() > 10 and sorted(map(str, rows(many).values.tolist())) == sorted(map(str, got[many.columns].values.tolist()))
+    monkeypatch.setattr(warc, "MOST_TASKS", 3)
+    assert warc.read_records(index).rdd.getNumPartitions() == 3 and warc.read_records(index).count() == 8
     some = warc.read_records(index.where("page_id in (1, 3)"))
     assert {r.page_id for r in some.collect()} == {1, 3}
     assert warc.read_records(warc.write_archives(pages(spark, texts).limit(0), folder)).count() == 0
 
 
+@pytest.mark.parametrize("url,stored", [("http://x.org/a%20b?q=%E9#f|\"<>^`{}\\", None), ("http://x.org/a%20b c\u00e9\n", "http://x.org/a%20b%20c%C3%A9%0A"), ("", None)])
+def test_target_headers_hold_urls_as_they_are(url, stored):
+    r = warc.parse(warc.record(1, url, b"p", "D", 1, "response"))
+    assert r["warc-target-uri"] == (url if stored is None else stored)
+    assert ("x-source-url" in r) == (stored is not None) and base64.b64decode(r.get("x-source-url", "")).decode() in ("", url)
+
+
+def test_warc_query_leaves_no_archives(spark, small, tmp_path):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert queries.queries()["op5_warc"](spark, small).count() > 0
+    assert not [x for x in os.listdir(folder) if x.startswith("warc-")]
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 
+def test_a_linked_table_matches_the_sql(spark, duck, same, tmp_path):
+    """Chains, hubs, loops and long tags through the components, held against the recursive SQL."""
+    r = random.Random(11)
+    sites = ["http://a.net/", "https://sub.example.net/en/", "http://example.net/de/", "http://example.com/de/", "http://x.org/fr/", "http://y.org/", "http://z.com/", "HTTP://Q.example.com/de/"]
+    urls = [f"{r.choice(sites)}{i}" for i in range(400)] + [None, "no scheme"]
+    texts = []
+    for i, u in enumerate(urls):
+        to = r.choice([None, None, urls[7] if i % 3 else urls[8], urls[max(0, i - 1)], r.choice(urls[:400]), u])
+        tag = r.choice(["<link rel=canonical href='{}'>", "<LINK data-x='" + "y" * 500 + "' href='{}' REL='canonical'>", "<meta http-equiv=refresh content='0; url={}'>"])
+        texts.append((i, u, None if i % 17 == 0 else "<html>" + (tag.format(to) if to else "") + "<p>"))
+    df = pages(spark, texts)
+    folder = with_files(tmp_path, pages=df)
+    duck = duck.cursor()
+    duck.sql("create schema linked; set schema = 'linked'")
+    duck.sql(f"create view pages as select * from '{folder}/pages.parquet/*.parquet'")
+    same(rows(queries.queries()["op6_url_filter"](spark, folder)), duck.sql(queries.oracle_sql()["op6_url_filter"]).df())
+    found = rows(url_filter.filter_urls(df, url_filter.RULES))
+    assert (found["alias_verdict"].notna() & found["rule"].isna()).sum() > 20
+
+
+def test_links_are_resolved_as_browsers_do(spark):
+    base = "http://a.com/x/y?q=1"
+    links = {"../z": "http://a.com/z", "../../../z": "http://a.com/z", "./z?a=1&amp;b=2": "http://a.com/x/z?a=1&b=2", "?p=2": "http://a.com/x/y?p=2", "/k/../m/.": "http://a.com/m/", "//b.net/..": "http://b.net/", "http://c.net/a..b/.c": "http://c.net/a..b/.c", "z": "http://a.com/x/z"}
+    texts = [(i, base, f'<link rel="canonical" href="{x}">') for i, x in enumerate(links)] + [(99, "http://d.com", '<link rel=canonical href="z">')]
+    got = sorted(x.v for x in url_filter.page_links(pages(spark, texts)).collect())
+    assert got == sorted([*links.values(), "http://d.com/z"])
+
+
 def test_aliases_take_their_class_decision(spark):
     link = lambda u: f'<html><link rel="canonical" href="{u}"><p>'
     refresh = lambda u: f"<META HTTP-EQUIV=refresh CONTENT='0; URL={u}'>"
