@@ -523,9 +523,10 @@ def near_copies(n_families=6, per=14, seed=3):
     return list(enumerate(texts, 1))
 
 
-@pytest.mark.parametrize("block,frequent,ids", [(512, 1000, 200_000), (3, 4, 0)])
-def test_jaccard_join(spark, table, monkeypatch, block, frequent, ids):
+@pytest.mark.parametrize("block,blocks,frequent,ids", [(512, 16, 1000, 200_000), (3, 16, 4, 0), (3, 1, 1000, 200_000), (512, 0, 4, 200_000)])
+def test_jaccard_join(spark, table, monkeypatch, block, blocks, frequent, ids):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "MOST_BLOCKS", blocks)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "MOST_IDS", ids)
     texts = near_copies() + [(1000 + int(i), t) for i, t in zip(table["doc_id"], table["text"], strict=True)] + [(5001, "A b\tC"), (5002, "a B c"), (5003, "a b c d"), (5004, None), (5005, "\x0b ")]
@@ -540,7 +541,7 @@ def test_frequencies_over_batches(monkeypatch):
     h = [1, 2, 2, 3, 3, 3, 3, 3, 4, 5, 5]
     node = [1, 1, 2, 1, 2, 3, 4, 5, 1, 7, 8]
     for cut in range(1, len(h)):
-        make = lambda a, b: pa.RecordBatch.from_arrays([pa.array(h[a:b], pa.int64()), pa.array(node[a:b], pa.int64()), pa.array([9] * (b - a), pa.int32())], schema=jaccard.HASHES)
+        make = lambda a, b: pa.RecordBatch.from_arrays([pa.array(h[a:b], pa.int64()), pa.array(node[a:b], pa.int64()), pa.array([9] * (b - a), pa.int64())], schema=jaccard.HASHES)
         out = [r for b in jaccard._shared(iter([make(0, cut), make(cut, len(h))])) for r in b.to_pylist()]
         assert [(r["h"], r["node"]) for r in out] == [(a, b) for a, b in zip(h, node, strict=True) if h.count(a) > 1]
         assert all(r["df"] == min(3, h.count(r["h"])) for r in out)
@@ -554,6 +555,26 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.keep_one(odd(spark)).columns == odd(spark).columns
 
 
+def test_keep_one_judges_each_row_by_its_own_text(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "uno due tre quattro cinque sei", "un deux trois quatre cinq six")
+    texts = [(1, a), (None, a), (2, a), (2, b), (None, b), (3, b), (None, c), (None, c), (None, d), (4, None), (None, None), (5, ""), (5, a)]
+    want = [(1, a), (2, b), (None, c), (None, c), (None, d), (4, None), (None, None), (5, "")]
+    df = docs(spark, texts).withColumn("node", F.lit(1)).withColumn("nx", F.lit("x")).withColumn("text_hash", F.lit(2)).withColumn("component_id", F.lit(3)).withColumn("__id", F.lit(4)).withColumn("__text", F.lit(5))
+    got = jaccard.keep_one(df)
+    assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_nodes_are_known_by_more_than_64_bits(spark, monkeypatch):
+    """With all lower digests equal, different texts are still different nodes."""
+    monkeypatch.setattr(jaccard, "node_of", lambda found: (7, int(found[0]) >> 33 << 32 & 2**62 - 1 | len(found)))
+    sets = [jaccard.node_of(jaccard.shingle_hashes(t)) for t in (b"a b c d e f", b"g h i j k l")]
+    assert sets[0] != sets[1] and [jaccard.size_of(x) for _, x in sets] == [2, 2]
+    h = [1, 1, 2, 2, 2]
+    rows_ = [pa.array(h, pa.int64()), pa.array([7] * 5, pa.int64()), pa.array([sets[0][1], sets[1][1], sets[0][1], sets[0][1], sets[1][1]], pa.int64())]
+    out = [r for b in jaccard._shared(iter([pa.RecordBatch.from_arrays(rows_, schema=jaccard.HASHES)])) for r in b.to_pylist()]
+    assert [(r["h"], r["df"]) for r in out] == [(1, 2), (1, 2), (2, 2), (2, 2)]
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 
 
