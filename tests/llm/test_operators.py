@@ -412,12 +412,33 @@ def test_decontamination(spark, small, table, most):
     assert {r.doc_id for r in clean.collect()} == {i for i, w in want.items() if not w[1]}
 
 
+def test_both_ways_of_decontamination_are_the_same(spark, monkeypatch):
+    """Repeated and null ids, repeated texts, windows that touch, items of every length, a bitmap that lets nearly all pass."""
+    r = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(12)] + ["Ünï"]
+    some = lambda n: " ".join(r.choices(vocabulary, k=n))
+    items = [(i % 40, some(r.choice([1, 2, 3, 5, 9, 10, 11, 14]))) for i in range(60)] + [(None, some(4)), (None, some(12))]
+    items = [(i, t) for i, t in items if len(t.split()) > 2] + [(77, "w1 w1"), (78, "ünï w0")]
+    texts = [(r.choice([None, 1, 2, 3]), some(r.randint(0, 60)) if r.random() < 0.8 else " ".join(f"x{i}" for i in range(30))) for _ in range(120)]
+    texts += [(1, "clean text"), (1, "w1, w1 ünï--w0!"), (None, "clean text"), (None, "w1 w1"), (5, "w1 w1"), (5, "w1 w1"), (6, None), (None, "")]
+    d = docs(spark, texts).withColumn("first", F.lit(1)).withColumn("h1", F.lit("x")).withColumn("__id", F.lit(3)).withColumn("text_hash", F.lit(4)).withColumn("item", F.lit(5)).repartition(5)
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit("x")).withColumn("item", F.lit("y"))
+    way = lambda most: [sorted(map(str, decontaminate.contamination(d, b, most_bytes=most).collect())), sorted(map(str, decontaminate.drop_contaminated(d, b, most_bytes=most).collect()))]
+    small = way(1 << 22)
+    assert way(0) == small and len(small[0]) == len(texts) and 5 < len(small[1]) < len(texts)
+    monkeypatch.setattr(decontaminate, "BITS", 6)
+    monkeypatch.setattr(decontaminate, "PART", 4)
+    assert way(0) == small
+
+
 def test_decontamination_odd_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = rows(decontaminate.contamination(odd(spark), none))
     assert len(got) == 9 and not got["n_hit"].any()
     assert decontaminate.drop_contaminated(odd(spark), none).columns == odd(spark).columns
     assert decontaminate.contamination(odd(spark).limit(0), none).count() == 0
+    assert decontaminate.contamination(odd(spark), none, most_bytes=-1).where("n_hit = 0").count() == 9
+    assert decontaminate.drop_contaminated(odd(spark), none, most_bytes=-1).count() == 9
 
 
 # 8 -----------------------------------------------------------------------------------------------------------------
