@@ -1,21 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of the letters of words, one of toxic and one of ordinary documents: each predicts a letter from the ORDER-1
-before it, words being set apart by marks at their ends. A class's counts of ORDER letters are discounted by DISCOUNT;
-what that frees goes to backoff counts that both classes share: in how many contexts shorter expressions stand in the
-whole corpus (Kneser-Ney continuation counts, level by level). So an expression that a class has rarely or never seen
-differs little between the models, and one that toxic documents repeat differs much, in any of its forms.
-
-A document's two log-likelihoods are compared for a word: over all its words, and over its PEAK strongest distinct
-words, so that a few toxic words in a long text aren't thinned out. A logistic curve over the two differences, fitted
-by cross-validation (each sampled row is scored by models that weren't counted on it), gives the score.
-
-Corpus counts cover all documents and all their grams, rare ones too, and are gathered by partial aggregation. The
-classes' counts and the curve come from a bounded sample of labelled rows: MOST_ROWS for each class, in the order of a
-hash of the id. Of the corpus counts those are collected that the sample's grams fall back on, and no others are needed:
-what is collected and broadcast grows with the sample's text, not with the corpus.
-
-Defined cases: null or empty text has no words and both differences are 0; a null doc_id is never held out; rows that
+Two models of expressions, one of toxic and one of ordinary documents. Each predicts a word from the one before it: a
+class's counts of pairs of words are discounted by DISCOUNT and what that frees goes to its counts of single words,
+whose freed part goes to its model of letters. That predicts a letter from the ORDER-1 before it, words being set apart
+by marks at their ends, and what its discounts free goes to backoff counts that both classes share: in how many contexts
+shorter runs of letters stand in the whole corpus (Kneser-Ney continuation counts, level by level). So an expression
+that a class has rarely or never seen differs little between the models, and one that toxic documents repeat differs
+much, in any of its forms. Words and pairs that a class has fewer than LEAST times count by what they are made of.
+
+A document's two log-likelihoods are compared for a word, that is, normalised by length: of its expressions (words after
+words), of its words' letters, and of the letters of its PEAK strongest distinct words, so that a few toxic words in a
+long text aren't thinned out. A logistic curve over the three differences, fitted by cross-validation (each sampled row
+is scored by models that weren't counted on it), gives the score.
+
+Corpus counts cover all documents and all their words, rare ones too. Spark counts the distinct words and what stands in
+them. The classes' counts and the curve come from a bounded sample of labelled rows: MOST_ROWS for each class, in the
+order of a hash of the id. Of the corpus counts those are collected that the sample's grams fall back on, and no others
+are needed: what is collected and broadcast grows with the sample's text, not with the corpus.
+
+Defined cases: null or empty text has no words and all differences are 0; a null doc_id is never held out; rows that
 are the same score the same; without toxic or without ordinary labels every score is 0 and nothing is predicted toxic;
 an empty table gives no rows; extra columns are ignored; of several labels of an id the most toxic counts.
 """
@@ -25,21 +28,23 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, tidy
+from .common import ascii_lower, cut, read, tidy
 
 MOST_ROWS, FOLDS = 4000, 3
-ORDER, DISCOUNT, PEAK, THRESHOLD = 5, 0.75, 3, 0.3
+ORDER, DISCOUNT, LEAST, PEAK, THRESHOLD = 5, 0.75, 2, 3, 0.3
 #: A-Z to a-z; digits and ASCII signs to a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: A task's tables are written out, or forgotten, and begun anew at so many words.
 MOST_HELD = 100_000
-SCORED = "n_words long, difference double, peak double, score double"
+SCORED = "n_words long, difference double, letters double, peak double, score double"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -56,34 +61,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def held_words(text: Column) -> Column:
+    """The same words as an array of strings."""
+    return F.filter(F.split(ascii_lower(text), "[\\x00-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
+
+
 @tidy
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the grams of the texts, by the other columns' values; a gram once for each full table of words."""
+def _grams_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the grams of rows (other columns, word, n), by the other columns' values."""
     keys: list[str] = []
     held: dict[tuple, Counter[bytes]] = defaultdict(Counter)
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for key, counted in held.items():
-            found: Counter[bytes] = Counter()
-            for word, n in counted.items():
-                for g in grams(word):
-                    found[g] += n
+        for key, found in held.items():
             cols = [pa.array([k] * len(found), pa.int32()) for k in key]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([*found], pa.binary()), pa.array([*found.values()], pa.int64())], names=[*keys, "gram", "n"])
         held.clear()
 
     for batch in batches:
-        keys = [c for c in batch.schema.names if c != "text"]
-        for text, *key in zip(batch.column("text").cast(pa.binary()), *(batch.column(c).to_pylist() for c in keys), strict=True):
-            held[tuple(key)].update(words(text.as_py() or b""))
-            if sum(map(len, held.values())) >= MOST_HELD:
-                yield from rows()
+        keys = [c for c in batch.schema.names if c not in ("word", "n")]
+        for word, n, *key in zip(batch.column("word").cast(pa.binary()).to_pylist(), batch.column("n").to_pylist(), *(batch.column(c).to_pylist() for c in keys), strict=True):
+            found = held[tuple(key)]
+            for g in grams(word):
+                found[g] += n
+        if sum(map(len, held.values())) >= MOST_HELD:
+            yield from rows()
     yield from rows()
 
 
+def word_counts(docs: DataFrame, *keys: str) -> DataFrame:
+    """keys, word, n: how often each word stands in the texts."""
+    return docs.select(*keys, F.explode(held_words(F.col("text"))).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+
+
 def corpus_grams(docs: DataFrame) -> DataFrame:
-    """gram (binary), n: how often each gram stands in all of docs; a task sends a gram once for each full table."""
-    return docs.select("text").mapInArrow(_gram_counts, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    """gram (binary), n: how often each gram stands in all of docs; expanded from the distinct words."""
+    return word_counts(docs).mapInArrow(_grams_of_words, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def phrase_counts(rows: DataFrame) -> DataFrame:
+    """toxic, fold, phrase, n: words and pairs of words (a blank between them) that a class has at least LEAST times; phrase null: all words."""
+    of = lambda words_: F.concat(words_, F.zip_with(F.slice(words_, 1, F.greatest(F.size(words_) - 1, F.lit(0))), F.slice(words_, 2, F.size(words_)), lambda a, b: F.concat_ws(" ", a, b)))
+    found = rows.select("toxic", "fold", held_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    counted = found.select("toxic", "fold", F.explode(of(F.col("w"))).alias("phrase")).groupBy("toxic", "phrase").pivot("fold", list(range(FOLDS))).count().fillna(0)
+    enough = counted.where(sum(F.col(str(f)) for f in range(FOLDS)) >= LEAST)
+    by_fold = enough.select("toxic", "phrase", F.explode(F.array(*(F.struct(F.lit(f).alias("fold"), F.col(str(f)).alias("n")) for f in range(FOLDS)))).alias("x"))
+    return by_fold.select("toxic", "x.fold", "phrase", "x.n").where("n > 0").union(found.groupBy("toxic", "fold").agg(F.lit(None).cast("string"), F.sum(F.size("w").cast("long"))))
 
 
 def _tails(longest: Column, shortest: int) -> Column:
@@ -156,84 +179,137 @@ class Shared:
         return out
 
 
-class Model:
-    """Differences of the toxic and the ordinary log-likelihood, for grams that a class has and for contexts."""
+class Side:
+    """What a class has of grams (letters) and of phrases (words, pairs); phrases without a key: how many words in all."""
 
-    def __init__(self, ordinary: Counter[bytes], toxic: Counter[bytes], shared: Shared):
-        sides = []
-        for counted in (ordinary, toxic):
-            total: Counter[bytes] = Counter()
-            freed: Counter[bytes] = Counter()
-            for g, n in counted.items():
-                total[g[:-1]] += n
-                freed[g[:-1]] += min(n, DISCOUNT)
-            sides.append((counted, total, freed))
-        self.rest: dict[bytes, float] = {}
+    def __init__(self, found: Counter[bytes], phrases: Counter):
+        self.found, self.total, self.freed = found, Counter(), Counter()
+        for g, n in found.items():
+            self.total[g[:-1]] += n
+            self.freed[g[:-1]] += min(n, DISCOUNT)
+        self.n = phrases[None]
+        self.words = Counter({p: n for p, n in phrases.items() if p is not None and b" " not in p})
+        self.pairs = Counter({p: n for p, n in phrases.items() if p is not None and b" " in p})
+        kept: Counter[bytes] = Counter()
+        for p, n in self.pairs.items():
+            kept[p[: p.index(b" ")]] += max(n - DISCOUNT, 0)
+        #: what is left for what a context hasn't been seen with
+        self.after = {h: 1 - k / self.words[h] for h, k in kept.items() if self.words[h]}
+        self.left = 1 - sum(max(n - DISCOUNT, 0) for n in self.words.values()) / self.n if self.n else 1.0
+
+    def rest(self, h: bytes) -> float:
+        return self.freed[h] / self.total[h] if self.total.get(h) else 1.0
+
+    def letter(self, g: bytes, shared: float) -> float:
+        h = g[:-1]
+        return self.rest(h) * shared + (max(self.found.get(g, 0) - DISCOUNT, 0) / self.total[h] if self.total.get(h) else 0)
+
+    def word(self, w: bytes, letters: float) -> float:
+        """letters: the word's probability by its letters."""
+        return self.left * letters + (max(self.words.get(w, 0) - DISCOUNT, 0) / self.n if self.n else 0)
+
+    def pair(self, p: bytes, word: float) -> float:
+        h = p[: p.index(b" ")]
+        return self.after.get(h, 1.0) * word + (max(self.pairs.get(p, 0) - DISCOUNT, 0) / self.words[h] if self.words.get(h) else 0)
+
+
+class Model:
+    """Differences of the toxic and the ordinary log-likelihood, for what a class has and for contexts."""
+
+    def __init__(self, ordinary: Side, toxic: Side, shared: Shared):
+        sides = ordinary, toxic
+        by_letter: dict[bytes, tuple[float, float]] = {}
+
+        def letters(w: bytes, k: int) -> float:
+            out = 0.0
+            for g in grams(w):
+                p = by_letter.get(g)
+                if p is None:
+                    base = shared.p(g)
+                    p = by_letter[g] = tuple(log(side.letter(g, base)) for side in sides)
+                out += p[k]
+            return out
+
+        apart = lambda f: log(f(toxic)) - log(f(ordinary))
+        self.rest: dict[bytes, float] = {h: apart(lambda side: side.rest(h)) for h in {*ordinary.total, *toxic.total}}  # noqa: B023
         self.gram: dict[bytes, float] = {}
-        left = lambda side, h: side[2][h] / side[1][h] if side[1].get(h) else 1.0
-        for h in {*sides[0][1], *sides[1][1]}:
-            self.rest[h] = float(np.log(left(sides[1], h)) - np.log(left(sides[0], h)))
-        for g in {*ordinary, *toxic}:
-            base, p = shared.p(g), []
-            for side in sides:
-                n = side[1].get(g[:-1], 0)
-                p.append(left(side, g[:-1]) * base + (max(side[0].get(g, 0) - DISCOUNT, 0) / n if n else 0))
-            self.gram[g] = float(np.log(p[1]) - np.log(p[0]))
-        self.curve = np.zeros(3)
+        for g in {*ordinary.found, *toxic.found}:
+            base = shared.p(g)
+            self.gram[g] = apart(lambda side: side.letter(g, base))  # noqa: B023
+        self.unseen = apart(lambda side: side.left)
+        by_word: dict[bytes, tuple[float, float]] = {}
+        for w in {*ordinary.words, *toxic.words}:
+            by_word[w] = tuple(side.word(w, exp(letters(w, k))) for k, side in enumerate(sides))
+        self.words = {w: log(b) - log(a) for w, (a, b) in by_word.items()}
+        self.after: dict[bytes, float] = {h: apart(lambda side: side.after.get(h, 1.0)) for h in {*ordinary.after, *toxic.after}}  # noqa: B023
+        #: what a pair adds to what its words have by themselves
+        self.pairs: dict[bytes, float] = {}
+        for p in {*ordinary.pairs, *toxic.pairs}:
+            h, _, w = p.partition(b" ")
+            if w in by_word:
+                a, b = (side.pair(p, x) for side, x in zip(sides, by_word[w], strict=True))
+                self.pairs[p] = log(b) - log(a) - self.after.get(h, 0.0) - self.words[w]
+        self.curve = np.zeros(4)
 
     def word(self, word: bytes) -> float:
-        """Where neither class has a gram, both fall back on the same shared probability and only their rests differ."""
+        """By its letters. Where neither class has a gram, both fall back on the same shared probability and only their rests differ."""
         out = 0.0
         for g in grams(word):
             d = self.gram.get(g)
             out += self.rest.get(g[:-1], 0.0) if d is None else d
         return out
 
-    def differences(self, text: bytes, known: dict[bytes, float]) -> tuple[int, float, float]:
-        """Number of words, and the difference for a word over all and over the strongest. known: the words met before."""
+    def differences(self, text: bytes, known: dict[bytes, float]) -> tuple[int, float, float, float]:
+        """Number of words, and the difference for a word: of expressions, of letters, and of letters over the strongest. known: the words met before."""
         found = words(text)
         if not found:
-            return 0, 0.0, 0.0
+            return 0, 0.0, 0.0, 0.0
         if len(known) > MOST_HELD:
             known.clear()
         distinct = set(found)
         for w in distinct:
             if w not in known:
                 known[w] = self.word(w)
-        get = known.__getitem__
+        get, kept = known.__getitem__, self.words
+        letters = sum(map(get, found))
+        counted = Counter(found)
+        alone = sum(n * (kept[w] if w in kept else self.unseen + known[w]) for w, n in counted.items())
+        counted[found[-1]] -= 1  # nothing follows it
+        after = sum(n * self.after[w] for w, n in counted.items() if w in self.after)
+        pairs = sum(filter(None, map(self.pairs.get, map(b" ".join, zip(found, found[1:], strict=False)))))
         strongest = heapq.nlargest(PEAK, map(get, distinct))
-        return len(found), sum(map(get, found)) / len(found), sum(strongest) / PEAK
+        return len(found), (alone + after + pairs) / len(found), letters / len(found), sum(strongest) / PEAK
 
-    def scores(self, difference: np.ndarray, peak: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_features(difference, peak) @ self.curve, -30, 30)))
+    def scores(self, *differences: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_features(*differences) @ self.curve, -30, 30)))
 
 
-def _features(difference: np.ndarray, peak: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(peak)), np.clip(difference, -5, 5), np.clip(peak, -30, 30)], 1)
+def _features(difference: np.ndarray, letters: np.ndarray, peak: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(peak)), np.clip(difference, -5, 5), np.clip(letters, -5, 5), np.clip(peak, -30, 30)], 1)
 
 
-def fit_curve(difference: np.ndarray, peak: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def fit_curve(differences: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Newton's steps for the logistic curve, with a little ridge."""
-    x, y, b = _features(difference, peak), toxic.astype(float), np.zeros(3)
+    x, y = _features(*differences), toxic.astype(float)
+    b = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (y - p) - 1e-3 * b)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(b)), x.T @ (y - p) - 1e-3 * b)
         b = b + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
     return b
 
 
-def _scorer(shared, extra: list[str], by_fold: bool = False):
+def _scorer(shared, extra: list[str]):
     @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models: list[Model] = shared.value
-        known: list[dict[bytes, float]] = [{} for _ in models]
+        model: Model = shared.value
+        known: dict[bytes, float] = {}
         for batch in batches:
-            at = batch.column("fold").to_pylist() if by_fold else [0] * batch.num_rows
-            found = [models[k].differences(t.as_py() or b"", known[k]) for k, t in zip(at, batch.column("text").cast(pa.binary()), strict=True)]
-            n, difference, peak = (np.array(x) for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), pa.array(n.astype("i8")), pa.array(difference, pa.float64()), pa.array(peak, pa.float64()), pa.array(models[0].scores(difference, peak))], names=[*extra, "n_words", "difference", "peak", "score"])
+            found = [model.differences(t.as_py() or b"", known) for t in batch.column("text").cast(pa.binary())]
+            n, *apart = (np.array(x, "f8") for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 4
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), pa.array(n.astype("i8")), *map(pa.array, apart), pa.array(model.scores(*apart))], names=[*extra, "n_words", "difference", "letters", "peak", "score"])
 
     return score
 
@@ -241,42 +317,53 @@ def _scorer(shared, extra: list[str], by_fold: bool = False):
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
     """The fitted model; None if the sample lacks toxic or ordinary rows."""
     rows = sample(docs, labels, most_rows).cache()
-    counted = cut(rows.mapInArrow(_gram_counts, "toxic int, fold int, gram binary, n long").groupBy("toxic", "fold", "gram").agg(F.sum("n").alias("n")))
+    counted = cut(word_counts(rows, "toxic", "fold").mapInArrow(_grams_of_words, "toxic int, fold int, gram binary, n long").groupBy("toxic", "fold", "gram").agg(F.sum("n").alias("n")))
     by: dict[tuple[int, int], Counter[bytes]] = defaultdict(Counter)
     for toxic, fold, gram, n in counted.coalesce(1).toLocalIterator():
         by[toxic, fold][bytes(gram)] = n
     if not all(any(c == toxic for c, _ in by) for toxic in (0, 1)):
         rows.unpersist()
         return None
+    phrases: dict[tuple[int, int], Counter] = defaultdict(Counter)
+    for toxic, fold, phrase, n in cut(phrase_counts(rows)).coalesce(1).toLocalIterator():
+        phrases[toxic, fold][None if phrase is None else phrase.encode()] = n
     shared = Shared.counted(cut(corpus_grams(docs).select("gram")), counted.select("gram"))
-    all_of = lambda toxic, but=None: sum((by[toxic, f] for f in range(FOLDS) if f != but), Counter())
-    folds = [Model(all_of(0, f), all_of(1, f), shared) for f in range(FOLDS)]
-    seen = rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(folds), ["toxic"], by_fold=True), f"toxic int, {SCORED}").select("toxic", "difference", "peak").collect()
+
+    def side(toxic: int, but: int | None = None) -> Side:
+        all_of = lambda x: sum((x[toxic, f] for f in range(FOLDS) if f != but), Counter())
+        # what a model without a fold has too rarely may not show through that fold's counts either
+        return Side(all_of(by), Counter({p: n for p, n in all_of(phrases).items() if n >= LEAST or p is None}))
+
+    sc, parts = docs.sparkSession.sparkContext, []
+    for f in range(FOLDS):  # one model at a time: the driver holds no more than that
+        scorer = _scorer(sc.broadcast(Model(side(0, f), side(1, f), shared)), ["toxic"])
+        parts.append(rows.where(F.col("fold") == f).select("toxic", "text").mapInArrow(scorer, f"toxic int, {SCORED}").select("toxic", "difference", "letters", "peak"))
+    seen = reduce(DataFrame.union, parts).collect()
     rows.unpersist()
-    toxic, difference, peak = np.array(sorted(tuple(r) for r in seen), "f8").reshape(-1, 3).T  # sorted: the same sums on any cluster
-    model = Model(all_of(0), all_of(1), shared)
-    model.curve = fit_curve(difference, peak, toxic)
+    toxic, *apart = np.array(sorted(tuple(r) for r in seen), "f8").reshape(-1, 4).T  # sorted: the same sums on any cluster
+    model = Model(side(0), side(1), shared)
+    model.curve = fit_curve(apart, toxic)
     return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    """doc_id, n_words, difference, peak, score for each row of docs."""
+    """doc_id, n_words, difference, letters, peak, score for each row of docs."""
     model = train(docs, labels, most_rows)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if model is None:
-        return plain.select("doc_id", F.lit(0).cast("long").alias("n_words"), *(F.lit(0.0).alias(c) for c in ("difference", "peak", "score")))
-    return plain.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast([model]), ["doc_id"]), f"doc_id long, {SCORED}")
+        return plain.select("doc_id", F.lit(0).cast("long").alias("n_words"), *(F.lit(0.0).alias(c) for c in ("difference", "letters", "peak", "score")))
+    return plain.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), ["doc_id"]), f"doc_id long, {SCORED}")
 
 
 def _keeper(shared, threshold: float):
     @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (model,) = shared.value
+        model: Model = shared.value
         known: dict[bytes, float] = {}
         for batch in batches:
             found = [model.differences(t.as_py() or b"", known) for t in batch.column("text").cast(pa.binary())]
-            _, difference, peak = (np.array(x, "f8") for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
-            yield batch.filter(pa.array(model.scores(difference, peak) < threshold, pa.bool_()))
+            _, *apart = (np.array(x, "f8") for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 4
+            yield batch.filter(pa.array(model.scores(*apart) < threshold, pa.bool_()))
 
     return keep
 
@@ -286,9 +373,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     model = train(docs, labels, most_rows)
     if model is None:
         return docs
-    return docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast([model]), threshold), docs.schema)
+    return docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", "difference", "peak")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", "difference", "letters", "peak")

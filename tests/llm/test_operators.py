@@ -10,7 +10,8 @@ import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -468,6 +469,76 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.doc_id for r in toxicity.drop_toxic(d, l).collect()} == set(got[got["score"] < toxicity.THRESHOLD]["doc_id"])
 
 
+def plain_differences(classes, corpus, text):
+    """The lengths' mean log-likelihoods of a text under both classes, each probability by its formula, and the three differences."""
+    d, every = toxicity.DISCOUNT, {g for t in corpus for w in toxicity.words(t.encode()) for g in toxicity.grams(w)}
+    levels, now = {}, set(every)
+    for k in range(toxicity.ORDER - 1, 0, -1):
+        behind = defaultdict(set)
+        for g in now:
+            behind[g[1:] if len(g) > k else g].add(g)
+        levels[k] = {g: len(x) for g, x in behind.items()}
+        now = set(behind)
+
+    def backoff(g):
+        g = g[-(toxicity.ORDER - 1) :]
+        if not g:
+            return 1 / (len({x[-1:] for x in every}) + 1)
+        n = levels[len(g)]
+        same = [c for x, c in n.items() if x[:-1] == g[:-1]]
+        return max(n.get(g, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * backoff(g[1:]) if same else backoff(g[1:])
+
+    def log_words(texts):
+        found = [toxicity.words(t.encode()) for t in texts]
+        letters = [g for ws in found for w in ws for g in toxicity.grams(w)]
+        n_letters, n_words, n_pairs = Counter(letters), Counter(w for ws in found for w in ws), Counter(p for ws in found for p in zip(ws, ws[1:]))
+        n = sum(n_words.values())
+        kept, kept_pairs = {w: c for w, c in n_words.items() if c >= toxicity.LEAST}, {p: c for p, c in n_pairs.items() if c >= toxicity.LEAST}
+
+        def letter(g):
+            same = [c for x, c in n_letters.items() if x[:-1] == g[:-1]]
+            return max(n_letters[g] - d, 0) / sum(same) + sum(min(c, d) for c in same) / sum(same) * backoff(g) if same else backoff(g)
+
+        by_letters = cache(lambda w: sum(np.log(letter(g)) for g in toxicity.grams(w)))
+        alone = cache(lambda w: (max(kept.get(w, 0) - d, 0) + (n - sum(c - d for c in kept.values())) * np.exp(by_letters(w))) / n)
+
+        def pair(h, w):
+            if h not in kept:
+                return alone(w)
+            used = sum(c - d for (a, _), c in kept_pairs.items() if a == h)
+            return (max(kept_pairs.get((h, w), 0) - d, 0) + (kept[h] - used) * alone(w)) / kept[h]
+
+        return by_letters, alone, pair
+
+    (l0, w0, p0), (l1, w1, p1) = map(log_words, classes)
+    ws = toxicity.words(text.encode())
+    expressions = np.log(w1(ws[0]) / w0(ws[0])) + sum(np.log(p1(a, b) / p0(a, b)) for a, b in zip(ws, ws[1:]))
+    apart = {w: l1(w) - l0(w) for w in ws}
+    return expressions / len(ws), sum(apart[w] for w in ws) / len(ws), sum(sorted(apart.values())[-toxicity.PEAK :]) / toxicity.PEAK
+
+
+def test_toxicity_matches_a_plain_version(spark):
+    d, l = toxic_corpus(spark, 120)
+    texts, toxic = {r.doc_id: r.text for r in d.collect()}, {r.doc_id: r.toxic for r in l.collect()}
+    classes = [[t for i, t in texts.items() if toxic[i] == c and zlib.crc32(str(i).encode()) % 4 != 2] for c in (0, 1)]
+    model = toxicity.train(d, l)
+    wanted = [texts[0], texts[1], texts[2] + " Moron clownish, idiotest", "unheard-of wörds the an", "the"]
+    for t in wanted:
+        n, *got = model.differences(t.encode(), {})
+        assert n == len(toxicity.words(t.encode())) and got == pytest.approx(plain_differences(classes, texts.values(), t), rel=1e-6, abs=1e-9)
+    scored = {r.doc_id: (r.difference, r.letters, r.peak, r.score) for r in toxicity.score_toxicity(d, l).collect()}
+    for i in (0, 1, 7):
+        apart = plain_differences(classes, texts.values(), texts[i])
+        x = np.array([1, *apart])
+        assert scored[i] == pytest.approx((*apart, 1 / (1 + np.exp(-x @ model.curve))), rel=1e-5, abs=1e-9)
+
+
+def test_words_are_the_same_in_the_jvm(spark, table):
+    texts = [*table["text"], "A-b\x00c\x7fD{e}~É\u212aß9z_", "", " ", None]
+    got = docs(spark, list(enumerate(texts))).select("doc_id", toxicity.held_words(F.col("text")).alias("w")).collect()
+    assert {r.doc_id: [w.encode() for w in r.w or []] for r in got} == {i: toxicity.words((t or "").encode()) for i, t in enumerate(texts)}
+
+
 def test_backoff_is_a_distribution():
     g = [x for w in (b"abc", b"abd", b"bcd", b"cab") for x in toxicity.grams(w)]
     shared = toxicity.Shared(g)
