@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
+from .raster import checkpointed
+from .spatial import grid_join
+
 #: Recall levels of the average.
 RECALLS = [i / 100 for i in range(101)]
 
@@ -49,37 +55,103 @@ def top_detections(detections: DataFrame, most: int) -> DataFrame:
     return detections.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def greedy_matches(candidates: DataFrame, threshold: float) -> DataFrame:
+def pair_ious(detections: DataFrame, truths: DataFrame, side: float) -> DataFrame:
+    """Pairs of an image and category whose boxes meet, with iou (of a crowd: the part of the detection that it covers).
+
+    detections: image, category, det, score, lbox; truths: image, category, truth, crowd, ignored, rbox. Pairs that don't meet have an
+    IoU of 0 and match nothing, so the grid join makes no others.
+    """
+    right = truths.select(F.col("image").alias("__image"), F.col("category").alias("__category"), "truth", "crowd", "ignored", "rbox")
+    pairs = grid_join(detections, right, side, on=lambda a, b: (a["image"] == b["__image"]) & (a["category"] == b["__category"]), small_right=False)
+    b, c = F.col("lbox"), F.col("rbox")
+    iou = F.when(F.col("crowd"), geo.shared_area(b, c) / F.nullif(geo.box_area(b), F.lit(0.0))).otherwise(geo.box_iou(b, c))
+    return pairs.select(*detections.columns, "truth", "crowd", "ignored", "rbox", F.coalesce(iou, F.lit(0.0)).alias("iou"))
+
+
+def greedy_matches(candidates: DataFrame, threshold: float | Column, *keys: str) -> DataFrame:
     """candidates (image, category, det, score, truth, iou, ignored, crowd): det and the truth it takes.
 
-    In the order of score each detection takes the best free truth of its image and category with an IoU of threshold and more; counted
-    truths go before ignored ones, and crowds may be taken again. The order matters, so an image's category is worked on together.
+    In the order of score each detection takes the best free truth of its image and category (and keys) with an IoU of threshold and more;
+    counted truths go before ignored ones, and crowds may be taken again. The order matters, so an image's category is worked on together.
     """
+    names = ["image", "category", *keys]
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
-        for det, rows in pdf.sort_values(["score", "det"], ascending=[False, True]).groupby("det", sort=False):
-            rows = rows.sort_values(["ignored", "iou", "truth"], ascending=[True, False, True])
-            for truth, crowd, ignored in zip(rows["truth"], rows["crowd"], rows["ignored"], strict=True):
-                if crowd or truth not in used:
-                    used.add(truth)
-                    out.append((pdf["image"].iat[0], pdf["category"].iat[0], det, truth, bool(ignored)))
-                    break
-        return pd.DataFrame(out, columns=["image", "category", "det", "truth", "ignored"])
+        rows = pdf.sort_values(["score", "det", "ignored", "iou", "truth"], ascending=[False, True, True, False, True])
+        done = None
+        for det, truth, crowd, ignored in zip(rows["det"], rows["truth"], rows["crowd"], rows["ignored"], strict=True):
+            if det != done and (crowd or truth not in used):
+                done = det
+                used.add(truth)
+                out.append((*(pdf[c].iat[0] for c in names), det, truth, bool(ignored)))
+        return pd.DataFrame(out, columns=[*names, "det", "truth", "ignored"])
 
-    fair = candidates.where(F.col("iou") >= min(threshold, 1 - 1e-10))
-    image, category, det, truth = (candidates.schema[c].dataType.simpleString() for c in ("image", "category", "det", "truth"))
-    return fair.groupBy("image", "category").applyInPandas(lambda pdf: match(pdf), f"image {image}, category {category}, det {det}, truth {truth}, ignored boolean")
+    fair = candidates.where(F.col("iou") >= F.least(F.lit(threshold) if isinstance(threshold, float) else threshold, F.lit(1 - 1e-10)))
+    schema = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in (*names, "det", "truth"))
+    return fair.select(*names, "det", "score", "truth", "iou", "ignored", "crowd").groupBy(*names).applyInPandas(lambda pdf: match(pdf), f"{schema}, ignored boolean")
+
+
+def matched_detections(detections: DataFrame, truths: DataFrame, side: float, thresholds: list[float], areas: dict[str, tuple[float, float]], most: int) -> tuple[DataFrame, DataFrame]:
+    """Detections as the precision curve wants them, and the counted truths: for each category, area range and IoU threshold.
+
+    Of each image and category the most detections by score count. Truths that are ignored, crowds, or outside the area range [low, high]
+    aren't counted, nor are detections that take one of them, nor unmatched ones outside the range.
+    """
+    ranges = F.array(*(F.struct(F.lit(n).alias("area_range"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for n, (a, b) in areas.items()))
+    steps = F.array(*(F.lit(float(x)).alias("t") for x in thresholds))
+    outside = lambda b: ~geo.box_area(F.col(b)).between(F.col("low"), F.col("high"))
+    ranged = lambda df: df.withColumn("__a", F.explode(ranges)).select("*", "__a.*").drop("__a")
+    top = top_detections(detections, most).drop("rank")
+    pairs = ranged(pair_ious(top, truths, side)).withColumn("ignored", F.col("ignored") | F.col("crowd") | outside("rbox"))
+    found = greedy_matches(pairs.withColumn("threshold", F.explode(steps)), F.col("threshold"), "area_range", "threshold")
+    keys = ["image", "category", "det", "area_range", "threshold"]
+    rows = ranged(top).withColumn("threshold", F.explode(steps)).join(found.select(*keys, F.col("truth").isNotNull().alias("hit"), F.col("ignored").alias("on_ignored")), keys, "left")
+    left_out = F.when(F.col("hit"), F.col("on_ignored")).otherwise(outside("lbox"))
+    counted = rows.where(~left_out).select(*keys, "score", F.coalesce("hit", F.lit(False)).cast("int").alias("tp"))
+    fair = ranged(truths).where(~(F.col("ignored") | F.col("crowd") | outside("rbox"))).groupBy("category", "area_range").agg(F.count("*").alias("positives"))
+    return counted, fair
+
+
+def mean_average_precision(detections: DataFrame, truths: DataFrame, side: float, thresholds: list[float], areas: dict[str, tuple[float, float]], most: int) -> DataFrame:
+    """category, area_range, threshold, ap, max_recall from boxes: pairs, greedy matches, curve, average. Without counted truths there's no row."""
+    counted, fair = matched_detections(detections, truths, side, thresholds, areas, most)
+    keys = ["category", "area_range", "threshold"]
+    # a row for each category and area range
+    curve = precision_curve(counted.join(fair, ["category", "area_range"]), F.col("positives"), *keys)
+    every = fair.withColumn("threshold", F.explode(F.array(*(F.lit(float(x)) for x in thresholds))))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return every.join(average_precision(curve, *keys), keys, "left").select(*keys, zero("ap"), zero("max_recall"))
 
 
 def precision_curve(detections: DataFrame, positives: Column, *groups: str) -> DataFrame:
-    """detections (score, image, det, tp) of groups: running tp, fp, recall, precision and the precision's envelope from the right."""
+    """detections (score, image, det, tp) of groups: running tp, fp, recall (and the one before), precision and its envelope from the right.
+
+    Rows are dealt out by ranges of group and score, so a large group is a slice in each of many partitions. Sums and maxima run within
+    a slice and are put together by a table of one row for each slice, of which there are no more than partitions and groups.
+    """
     order = [F.desc("score"), F.col("image"), F.col("det")]
-    upto = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = detections.withColumn("tps", F.sum("tp").over(upto)).withColumn("rank", F.count("*").over(upto)).withColumn("fps", F.col("rank") - F.col("tps"))
-    out = out.withColumn("recall", F.col("tps") / positives).withColumn("precision", F.col("tps") / F.col("rank"))
-    return out.withColumn("envelope", F.max("precision").over(onward))
+    ranged = detections.withColumn("__pos", positives).repartitionByRange(*groups, *order)
+    dealt = checkpointed(ranged.withColumn("__p", F.spark_partition_id()))
+    within = Window.partitionBy("__p", *groups)
+    upto = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = dealt.withColumn("tps", F.sum("tp").over(upto)).withColumn("rank", F.count("*").over(upto))
+    of_group = Window.partitionBy(*groups)
+    before = of_group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    slices = dealt.groupBy("__p", *groups).agg(F.sum("tp").alias("__tp"), F.count("*").alias("__n"))
+    starts = slices.select("__p", *groups, F.coalesce(F.sum("__tp").over(before), F.lit(0)).alias("__tps"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rank"))
+    same = lambda a, b: reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in ("__p", *groups)])
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, same(a, b)).drop(*(b[c] for c in ("__p", *groups)))
+
+    out = joined(local, starts).withColumn("tps", F.col("tps") + F.col("__tps")).withColumn("rank", F.col("rank") + F.col("__rank")).withColumn("fps", F.col("rank") - F.col("tps"))
+    out = out.withColumn("recall", F.col("tps") / F.col("__pos")).withColumn("recall_before", F.when(F.col("rank") == 1, -1.0).otherwise((F.col("tps") - F.col("tp")) / F.col("__pos")))
+    out = out.withColumn("precision", F.col("tps") / F.col("rank")).drop("__tps", "__rank", "__pos")
+    behind = of_group.orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)
+    later = out.groupBy("__p", *groups).agg(F.max("precision").alias("__m")).select("__p", *groups, F.max("__m").over(behind).alias("__m"))
+    onward = within.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return joined(out, later).withColumn("envelope", F.greatest(F.max("precision").over(onward), F.col("__m"))).drop("__m", "__p")
 
 
 def average_precision(curve: DataFrame, *groups: str) -> DataFrame:
@@ -87,12 +159,9 @@ def average_precision(curve: DataFrame, *groups: str) -> DataFrame:
 
     Each row serves the levels that it is the first to reach: those above the recall before it.
     """
-    order = Window.partitionBy(*groups).orderBy("rank")
-    before = F.coalesce(F.lag("recall").over(order), F.lit(-1.0))
     levels = F.array(*map(F.lit, RECALLS))
-    served = F.size(F.filter(levels, lambda r: (r > F.col("__b")) & (r <= F.col("recall"))))
-    rows = curve.withColumn("__b", before).withColumn("__k", served)
-    return rows.groupBy(*groups).agg((F.sum(F.col("__k") * F.col("envelope")) / len(RECALLS)).alias("ap"), F.max("recall").alias("max_recall"))
+    served = F.size(F.filter(levels, lambda r: (r > F.col("recall_before")) & (r <= F.col("recall"))))
+    return curve.groupBy(*groups).agg((F.sum(served * F.col("envelope")) / len(RECALLS)).alias("ap"), F.max("recall").alias("max_recall"))
 
 
 def complexity_iou(iou, n, n_truth) -> Column:

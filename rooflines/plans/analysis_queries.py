@@ -203,15 +203,65 @@ def top_detections(t: Tables) -> DataFrame:
     return evaluation.top_detections(t.detections(), 3).select("image", "category", "det", "score")
 
 
-@query()
+def _greedy(keys: str) -> str:
+    """m (keys, det, pick): of g (keys, det, k: its place by score, c: its candidates, the best first) what each det takes, one after the other."""
+    return f"""m AS (SELECT {keys}, CAST(0 AS BIGINT) AS k, NULL::BIGINT AS det, NULL::STRUCT(truth BIGINT, crowd BOOLEAN, ignored BOOLEAN) AS pick, []::BIGINT[] AS used FROM (SELECT DISTINCT {keys} FROM g)
+  UNION ALL SELECT {keys}, k, det, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.truth) END FROM (SELECT g.*, used, list_filter(c, lambda x: x.crowd OR NOT list_contains(used, x.truth))[1] AS pick FROM g JOIN (SELECT {keys}, k + 1 AS k, used FROM m) USING ({keys}, k)))"""
+
+
+def _candidates(keys: str, pairs: str) -> str:
+    return f"""g AS (SELECT {keys}, det, row_number() OVER (PARTITION BY {keys} ORDER BY max(score) DESC, det) AS k, list({{'truth': truth, 'crowd': crowd, 'ignored': ignored}} ORDER BY ignored, iou DESC, truth) AS c FROM ({pairs}) GROUP BY {keys}, det)"""
+
+
+_IC = "image, category"
+
+
+@query(with_tables(f"""SELECT image, category, det, pick.truth AS truth, pick.ignored AS ignored FROM m WHERE pick IS NOT NULL""", "detections").replace("WITH detections", "WITH RECURSIVE detections", 1).replace("\nSELECT", ", " + _candidates(_IC, "SELECT d.image, d.category, d.det, d.score, t.det AS truth, 1 / (1 + abs(d.score - t.score)) AS iou, t.det % 4 = 0 AS ignored, t.det % 10 = 0 AS crowd FROM detections d JOIN detections t ON d.image = t.image AND d.category = t.category WHERE d.det % 3 <> 0 AND t.det % 3 = 0 AND 1 / (1 + abs(d.score - t.score)) >= 0.5") + ", " + _greedy(_IC) + "\nSELECT", 1))
 def greedy_matching(t: Tables) -> DataFrame:
-    """Detections of each image and category matched to the next days' ones as truths; the order decides, so it's tested by hand-made cases."""
+    """Detections of each image and category matched to the next days' ones as truths."""
     d = t.detections()
     truths = d.where(F.col("det") % 3 == 0).select("image", "category", F.col("det").alias("truth"), F.col("score").alias("t_score"))
     pairs = d.where(F.col("det") % 3 != 0).join(truths, ["image", "category"]).withColumn("iou", 1 / (1 + F.abs(F.col("score") - F.col("t_score"))))
     return evaluation.greedy_matches(pairs.withColumn("ignored", F.col("truth") % 4 == 0).withColumn("crowd", F.col("truth") % 10 == 0), 0.5)
 
 
+#: Boxes by picture: an order is a truth, and, moved a little, a detection.
+_BOXED = ["CAST(floor(o_orderkey / 500.0) AS BIGINT) AS image", "o_orderkey AS id", "o_orderkey * 7919 % 200 AS x", "o_orderkey * 104729 % 200 AS y", "5 + o_orderkey % 23 AS w", "5 + o_orderkey % 17 AS h"]
+_AREAS, _STEPS, _MOST_DETS = {"all": (0, 1e10), "large": (150, 1e10), "small": (0, 149)}, [0.5, 0.75], 20
+
+
+def boxed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Detections and truths with boxes."""
+    rows = t.orders.selectExpr(*_BOXED, "substr(o_orderpriority, 1, 1) AS category")
+    at = lambda x, y: geo.box(x, y, x + F.col("w"), y + F.col("h"))
+    dets = rows.where("id % 7 <> 0").select("image", "category", F.col("id").alias("det"), (F.col("id") * 37 % 100 / 100).alias("score"), at(F.col("x") + F.col("id") % 4, F.col("y") + F.col("id") % 3).alias("lbox"))
+    truths = rows.where("id % 5 <> 0").select("image", "category", F.col("id").alias("truth"), (F.col("id") % 31 == 0).alias("crowd"), (F.col("id") % 29 == 0).alias("ignored"), at(F.col("x"), F.col("y")).alias("rbox"))
+    return dets, truths
+
+
+_K4 = "image, category, area_range, threshold"
+_COCO = f"""WITH RECURSIVE o AS (SELECT {", ".join(_BOXED)}, substr(o_orderpriority, 1, 1) AS category FROM orders),
+d AS (SELECT * FROM (SELECT image, category, id AS det, id * 37 % 100 / 100.0 AS score, x + id % 4 AS x1, y + id % 3 AS y1, w, h, row_number() OVER (PARTITION BY image, category ORDER BY id * 37 % 100 DESC, id) AS place FROM o WHERE id % 7 <> 0) WHERE place <= {_MOST_DETS}),
+t AS (SELECT image, category, id AS truth, x AS x1, y AS y1, w, h, id % 31 = 0 AS crowd, id % 29 = 0 AS ignored FROM o WHERE id % 5 <> 0),
+a AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {x}, {y})" for n, (x, y) in _AREAS.items())}) AS v(area_range, low, high)), s AS (SELECT unnest({_STEPS}::DOUBLE[]) AS threshold),
+p AS (SELECT d.image, d.category, det, score, truth, crowd, ignored, t.w * t.h AS t_area, greatest(0, least(d.x1 + d.w, t.x1 + t.w) - greatest(d.x1, t.x1)) * greatest(0, least(d.y1 + d.h, t.y1 + t.h) - greatest(d.y1, t.y1)) AS i, d.w * d.h AS d_area FROM d JOIN t ON d.image = t.image AND d.category = t.category),
+q AS (SELECT image, category, area_range, threshold, det, score, truth, crowd, ignored OR crowd OR t_area NOT BETWEEN low AND high AS ignored, CASE WHEN crowd THEN i / d_area ELSE i / (d_area + t_area - i) END AS iou FROM p, a, s),
+{_candidates(_K4, "SELECT * FROM q WHERE iou >= threshold")}, {_greedy(_K4)},
+r AS (SELECT d.image, d.category, d.det, d.score, area_range, threshold, coalesce(CAST(pick IS NOT NULL AS INT), 0) AS tp, CASE WHEN pick IS NOT NULL THEN pick.ignored ELSE w * h NOT BETWEEN low AND high END AS out FROM d CROSS JOIN a CROSS JOIN s LEFT JOIN m USING (image, category, det, area_range, threshold)),
+f AS (SELECT category, area_range, count(*) AS positives FROM t, a WHERE NOT (ignored OR crowd OR w * h NOT BETWEEN low AND high) GROUP BY ALL),
+c AS (SELECT *, sum(tp) OVER v / positives AS recall, row_number() OVER v AS n, sum(tp) OVER v / row_number() OVER v AS prec FROM r JOIN f USING (category, area_range) WHERE NOT out WINDOW v AS (PARTITION BY category, area_range, threshold ORDER BY score DESC, image, det ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, max(prec) OVER (PARTITION BY category, area_range, threshold ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS envelope FROM c),
+l AS (SELECT category, area_range, threshold, r, arg_min(envelope, n) AS y FROM e, unnest(range(0, 101)) AS x(r) WHERE recall >= r / 100.0 GROUP BY ALL)
+SELECT category, area_range, threshold, round(coalesce((SELECT sum(y) FROM l WHERE l.category = f.category AND l.area_range = f.area_range AND l.threshold = s.threshold), 0) / 101, 6) AS ap, round(coalesce((SELECT max(recall) FROM e WHERE e.category = f.category AND e.area_range = f.area_range AND e.threshold = s.threshold), 0), 6) AS max_recall FROM f, s"""
+
+
+@query(_COCO)
+def coco_average_precision(t: Tables) -> DataFrame:
+    """From boxes to average precision: pairs, greedy matches, curve; by category, area range and IoU threshold, at most 20 detections a picture."""
+    out = evaluation.mean_average_precision(*boxed(t), 32.0, _STEPS, _AREAS, _MOST_DETS)
+    return out.select("category", "area_range", "threshold", R6(F.col("ap")).alias("ap"), R6(F.col("max_recall")).alias("max_recall"))
+
+
 @query(with_tables("SELECT h.fid AS pred, arg_min(f.fid, f.fid) AS truth FROM houses h JOIN footprints f ON f.x1 <= h.x2 AND h.x1 <= f.x2 AND f.y1 <= h.y2 AND h.y1 <= f.y2 WHERE (least(f.x2, h.x2) - greatest(f.x1, h.x1)) * (least(f.y2, h.y2) - greatest(f.y1, h.y1)) / ((h.x2 - h.x1) * (h.y2 - h.y1)) > 0.3 GROUP BY 1", "footprints", "houses"))
 def first_fitting_truth(t: Tables) -> DataFrame:
     from ..operators.spatial import grid_join
