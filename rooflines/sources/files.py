@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +59,8 @@ def checksum_mismatches(files: DataFrame, expected: DataFrame) -> DataFrame:
 
 def labelled_folder(files: DataFrame, root: str, extensions: list[str] | None = None) -> DataFrame:
     """Files below root with category, the first folder under it, and label, its place among the sorted names; files at the top are dropped."""
-    below = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
+    tail = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/")  # file:/a and file:///a are the same folder
+    below = F.substring_index(F.col("path"), tail + "/", -1)
     rows = files.withColumn("__parts", F.split(below, "/")).where(F.size("__parts") > 1)
     if extensions:
         rows = rows.where(F.lower(F.concat(F.lit("."), F.substring_index("path", ".", -1))).isin([e.lower() for e in extensions]))
@@ -119,3 +123,39 @@ def to_coco(polygons: DataFrame, category: int = 100) -> DataFrame:
     flat = F.transform("rings", lambda r: F.flatten(F.transform(r, lambda p: F.array(p["x"], p["y"]))))
     w, h = F.col("__b.x2") - F.col("__b.x1"), F.col("__b.y2") - F.col("__b.y1")
     return ranked.join(starts, "image_id").select((F.col("id") + F.col("__from")).alias("id"), "image_id", F.lit(category).alias("category_id"), flat.alias("segmentation"), "area", F.array(F.col("__b.x1") + w / 2, F.col("__b.y1") + h / 2, w, h).alias("bbox"), F.lit(0).alias("iscrowd"), "score")
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """rows (name, data) as files of those names below folder, written by the tasks that hold them; their number. A name may have folders."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, data in zip(batch.column("name").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                path = f"{root}/{name}"
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(path, compression=None) as out:
+                    out.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("name", "data").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def packed(rows: DataFrame, archive: str, kind: str = "zip") -> DataFrame:
+    """rows (archive's column, member, data) as one zip or tar for each archive: name, data. An archive is made in one task."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, pdf = io.BytesIO(), pdf.sort_values("member")
+        if kind == "zip":
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for member, data in zip(pdf["member"], pdf["data"], strict=True):
+                    z.writestr(member, data)
+        else:
+            with tarfile.open(fileobj=out, mode="w") as t:
+                for member, data in zip(pdf["member"], pdf["data"], strict=True):
+                    info = tarfile.TarInfo(member)
+                    info.size = len(data)
+                    t.addfile(info, io.BytesIO(data))
+        return pd.DataFrame({"name": [f"{pdf[archive].iat[0]}.{kind}"], "data": [out.getvalue()]})
+
+    return rows.groupBy(archive).applyInPandas(lambda pdf: pack(pdf), "name string, data binary")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from rooflines.plans import analysis_queries, detail_queries, footprint_queries  # noqa: F401
+from rooflines.plans import analysis_queries, detail_queries, footprint_queries, source_queries  # noqa: F401
 from rooflines.plans.registry import ORACLES, QUERIES
 
 
