@@ -175,6 +175,70 @@ def winding_number(ring: Column, x, y) -> Column:
     return F.aggregate(edges(ring), F.lit(0), lambda acc, e: acc + F.when(up(e), 1).when(down(e), -1).otherwise(0))
 
 
+def covers_point(rings: Column, x, y) -> Column:
+    """Whether a point lies inside a polygon and in none of its holes; points on an edge may count either way."""
+    turns = F.transform(rings, lambda r: (winding_number(r, x, y) != 0).cast("int"))
+    return F.aggregate(turns, F.lit(0), lambda acc, v: acc + v) % 2 == 1
+
+
+def _all_edges(rings: Column) -> Column:
+    return F.flatten(F.transform(rings, edges))
+
+
+def polygons_meet(a: Column, b: Column) -> Column:
+    """Whether two polygons have a point in common, touching included: edges that meet, or one inside the other."""
+    inside = lambda p, q: covers_point(p, q[0][0]["x"], q[0][0]["y"])
+    return F.exists(_all_edges(a), lambda e: F.exists(_all_edges(b), lambda f: segments_cross(e["a"], e["b"], f["a"], f["b"]))) | inside(a, b) | inside(b, a)
+
+
+def polygon_shared_area(a: Column, b: Column) -> Column:
+    """The area that two polygons share; holes count against it, whatever way rings run.
+
+    A polygon is the sum of what lies under its edges, those that run to the left counted plus and the others minus; what two edges share
+    is what lies under the lower of them, over the part of the axis that both span. The places are taken from a's first point.
+    """
+    ox, oy = a[0][0]["x"], a[0][0]["y"]
+
+    def spans(rings: Column) -> Column:
+        turned = F.transform(rings, lambda r, i: F.when(i == 0, oriented(r)).otherwise(oriented(r, clockwise=True)))
+        flat = F.filter(F.flatten(F.transform(turned, edges)), lambda e: e["a"]["x"] != e["b"]["x"])
+
+        def one(e: Column) -> Column:
+            left = e["b"]["x"] < e["a"]["x"]
+            low, high = F.when(left, e["b"]).otherwise(e["a"]), F.when(left, e["a"]).otherwise(e["b"])
+            slope = (high["y"] - low["y"]) / (high["x"] - low["x"])
+            return F.struct((low["x"] - ox).alias("from"), (high["x"] - ox).alias("to"), (low["y"] - oy).alias("y"), slope.alias("slope"), F.when(left, 1.0).otherwise(-1.0).alias("sign"))
+
+        return F.transform(flat, one)
+
+    def both(e: Column, f: Column) -> Column:
+        low, high = F.greatest(e["from"], f["from"]), F.least(e["to"], f["to"])
+        at = lambda s, x: s["y"] + s["slope"] * (x - s["from"])
+        d0, d1 = at(e, low) - at(f, low), at(e, high) - at(f, high)
+        m0, m1 = F.least(at(e, low), at(f, low)), F.least(at(e, high), at(f, high))
+        t = d0 / F.nullif(d0 - d1, F.lit(0.0))
+        middle = at(e, low + t * (high - low))
+        mean = F.when(d0 * d1 < 0, (m0 + middle) / 2 * t + (middle + m1) / 2 * (1 - t)).otherwise((m0 + m1) / 2)
+        return F.when(low < high, e["sign"] * f["sign"] * mean * (high - low)).otherwise(0.0)
+
+    inner = lambda e: F.aggregate(spans(b), F.lit(0.0), lambda acc, f: acc + both(e, f))
+    return F.greatest(F.lit(0.0), F.aggregate(spans(a), F.lit(0.0), lambda acc, e: acc + inner(e)))
+
+
+def polygon_crosses_box(rings: Column, b: Column) -> Column:
+    """Whether a polygon and a box share more than an edge or a point."""
+
+    def through(e: Column) -> Column:
+        p, q = e["a"], e["b"]
+        wide = (F.least(p["x"], q["x"]) < b["x2"]) & (F.greatest(p["x"], q["x"]) > b["x1"]) & (F.least(p["y"], q["y"]) < b["y2"]) & (F.greatest(p["y"], q["y"]) > b["y1"])
+        side = lambda x, y: (q["x"] - p["x"]) * (b[y] - p["y"]) - (q["y"] - p["y"]) * (b[x] - p["x"])
+        corners = [side(x, y) for x in ("x1", "x2") for y in ("y1", "y2")]
+        return wide & (F.least(*corners) < 0) & (F.greatest(*corners) > 0)
+
+    # where no edge runs through the box, it lies wholly inside or wholly outside
+    return F.exists(_all_edges(rings), through) | covers_point(rings, (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2)
+
+
 def any_point_inside(ring: Column, b: Column) -> Column:
     return F.exists(ring, lambda p: p["x"].between(b["x1"], b["x2"]) & p["y"].between(b["y1"], b["y2"]))
 

@@ -205,16 +205,6 @@ def simplify_cyclic(p: np.ndarray, per_vertex: float = 5.0, max_step: int = 128)
     return p[again] if len(again) >= 3 else p
 
 
-@F.pandas_udf(T.DoubleType())
-def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([shared_area(as_rings(x), as_rings(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-@F.pandas_udf(T.BooleanType())
-def intersects(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([meet(as_rings(x), as_rings(y)) for x, y in zip(a, b, strict=True)], dtype="bool")
-
-
 @F.pandas_udf(T.BooleanType())
 def valid(a: pd.Series) -> pd.Series:
     return pd.Series([is_valid(as_rings(x)) for x in a], dtype="bool")

@@ -1,27 +1,40 @@
 """Fusion of footprint sources: crop to districts, score each source against the main one, choose, merge without overlap.
 
-footprints: fid, source, lbox (and area; exact polygons may be refined first). districts: roi_id, region, rbox.
+footprints: fid, source, lbox, districts: roi_id, region, rbox. Where both have their polygons too (rings and rrings), boxes
+only make the candidates: what meets, what is shared and how large it is are the polygons' own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .spatial import grid_join
+from .raster import checkpointed
+from .spatial import grid_join, refined
 
 #: The candidates in the order that settles ties.
 CANDIDATES = ["ms", "osm", "ours2", "google"]
 NO_DISTRICT = "total"
 
 
+def exact(footprints: DataFrame) -> bool:
+    return "rings" in footprints.columns
+
+
+def area(footprints: DataFrame) -> Column:
+    return geo.polygon_area(F.col("rings")) if exact(footprints) else geo.box_area(F.col("lbox"))
+
+
 def crop(footprints: DataFrame, districts: DataFrame, side: float, keep_outside: bool = False) -> DataFrame:
     """A row for each footprint and district that meet, so a footprint on a border comes more than once.
 
     keep_outside: footprints without a district form the district NO_DISTRICT.
     """
-    pairs = grid_join(footprints, districts, side).drop("rbox")
+    pairs = grid_join(footprints, districts, side)
+    if exact(footprints) and "rrings" in districts.columns:
+        pairs = refined(pairs, "rings", "rrings")
+    pairs = pairs.drop("rbox", "rrings")
     if not keep_outside:
         return pairs
     ids = pairs.select("fid").distinct()
@@ -37,16 +50,19 @@ def without_repeats(cropped: DataFrame) -> DataFrame:
 
 def overlaps(cropped: DataFrame, main: str, side: float) -> DataFrame:
     """Pairs of a district's main and other features that meet: roi_id, source, fid, main_fid, shared (0 where they touch)."""
-    others = cropped.where(F.col("source") != main).select("roi_id", "source", "fid", "lbox")
-    mains = cropped.where(F.col("source") == main).select(F.col("roi_id").alias("main_roi"), F.col("fid").alias("main_fid"), F.col("lbox").alias("rbox"))
+    shapes, right = (["rings"], [F.col("rings").alias("rrings")]) if exact(cropped) else ([], [])
+    others = cropped.where(F.col("source") != main).select("roi_id", "source", "fid", "lbox", *shapes)
+    mains = cropped.where(F.col("source") == main).select(F.col("roi_id").alias("main_roi"), F.col("fid").alias("main_fid"), F.col("lbox").alias("rbox"), *right)
     pairs = grid_join(others, mains, side, on=lambda a, b: a["roi_id"] == b["main_roi"], small_right=False)
-    return pairs.select("roi_id", "source", "fid", "main_fid", geo.shared_area(F.col("lbox"), F.col("rbox")).alias("shared"))
+    if not exact(cropped):
+        return pairs.select("roi_id", "source", "fid", "main_fid", geo.shared_area(F.col("lbox"), F.col("rbox")).alias("shared"))
+    return refined(pairs, "rings", "rrings").select("roi_id", "source", "fid", "main_fid", geo.polygon_shared_area(F.col("rings"), F.col("rrings")).alias("shared"))
 
 
 def source_quality(cropped: DataFrame, pairs: DataFrame) -> DataFrame:
     """By district and other source: features, area, matched features, overlap (pairs summed), added (area of what meets no main feature), quality."""
     matched = pairs.groupBy("roi_id", "source", "fid").agg(F.sum("shared").alias("overlap"))
-    rows = cropped.select("roi_id", "source", "fid", geo.box_area(F.col("lbox")).alias("area")).join(matched, ["roi_id", "source", "fid"], "left")
+    rows = cropped.select("roi_id", "source", "fid", area(cropped).alias("area")).join(matched, ["roi_id", "source", "fid"], "left")
     return rows.groupBy("roi_id", "source").agg(
         F.count("*").alias("features"),
         F.sum("area").alias("area"),
@@ -70,7 +86,9 @@ def best_source(quality: DataFrame, main: str, candidates: list[str] | None = No
 
 def fuse(cropped: DataFrame, main: str, side: float, candidates: list[str] | None = None) -> DataFrame:
     """Main features, and of each district's best other source those that meet no main feature (all where there is none)."""
-    pairs = overlaps(cropped, main, side)
+    # the crop and the pairs feed quality, choice and merge: each is worked out once
+    cropped = checkpointed(cropped)
+    pairs = checkpointed(overlaps(cropped, main, side))
     best = best_source(source_quality(cropped, pairs), main, candidates)
     chosen = cropped.join(best.select("roi_id", F.col("best").alias("source")), ["roi_id", "source"], "left_semi")
     rest = chosen.join(pairs.select("roi_id", "source", "fid").distinct(), ["roi_id", "source", "fid"], "left_anti")

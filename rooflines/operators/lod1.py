@@ -23,12 +23,15 @@ def sub_cells(tiles: DataFrame, per_side: int = 25, tenths: int = 2) -> DataFram
 def zonal_pixels(footprints: DataFrame, pixels: DataFrame, size: float) -> DataFrame:
     """footprints (fid, lbox) by the pixels under them, those only partly covered included, with h and v; OUTSIDE where the raster has none.
 
-    A footprint lists its pixels' places, and these join the raster's (row, col) by hash; a footprint's rectangle is
-    read whole, so pixels beyond the raster count as OUTSIDE.
+    A footprint lists its pixels' places, and these join the raster's (row, col) by hash; pixels beyond the raster count as
+    OUTSIDE. With the polygon (rings) only the pixels that it covers in part or whole are listed, else those of its rectangle.
     """
     b = F.col("lbox")
     span = lambda lo, hi: F.sequence(F.floor(b[lo] / size), F.greatest(F.floor(b[lo] / size), F.ceil(b[hi] / size) - 1))
     places = footprints.withColumn("col", F.explode(span("x1", "x2"))).withColumn("row", F.explode(span("y1", "y2")))
+    if "rings" in footprints.columns:
+        x, y = F.col("col") * size, F.col("row") * size
+        places = places.where(geo.polygon_crosses_box(F.col("rings"), geo.box(x, y, x + size, y + size))).drop("rings")
     values = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "h", "v")
     out = places.join(values, ["row", "col"], "left")
     return out.withColumn("h", F.coalesce(F.col("h").cast("double"), F.lit(OUTSIDE))).withColumn("v", F.coalesce(F.col("v").cast("double"), F.lit(OUTSIDE)))

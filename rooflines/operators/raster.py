@@ -289,10 +289,13 @@ def polygons(labelled: DataFrame) -> DataFrame:
 
 
 def rasterised(boxes: DataFrame, value: str, size: float) -> DataFrame:
-    """Boxes (lbox, value) burnt onto a grid of the given pixel size: each touched pixel gets the largest value; uncovered ones are absent (-1 in an export)."""
+    """Boxes (lbox, value), or polygons where there are rings, burnt onto a grid of the given pixel size: each pixel that is covered in part or whole gets the largest value; others are absent (-1 in an export)."""
     b = F.col("lbox")
     span = lambda lo, hi: F.sequence(F.floor(b[lo] / size), F.greatest(F.floor(b[lo] / size), F.ceil(b[hi] / size) - 1))
     px = boxes.withColumn("row", F.explode(span("y1", "y2"))).withColumn("col", F.explode(span("x1", "x2")))
+    if "rings" in boxes.columns:
+        x, y = F.col("col") * size, F.col("row") * size
+        px = px.where(geo.polygon_crosses_box(F.col("rings"), geo.box(x, y, x + size, y + size)))
     return px.groupBy("row", "col").agg(F.max(value).alias("value"))
 
 

@@ -33,8 +33,10 @@ def grid_join(left: DataFrame, right: DataFrame, side: float, how: str = "inner"
     """
     if small_right is None:
         small_right = few_rows(right)
-    a = left.withColumn("__l", F.explode(cells(F.col("lbox"), side))).select("*", F.col("__l.cx").alias("__lx"), F.col("__l.cy").alias("__ly")).drop("__l")
-    b = right.withColumn("__r", F.explode(cells(F.col("rbox"), side))).select("*", F.col("__r.cx").alias("__rx"), F.col("__r.cy").alias("__ry")).drop("__r")
+    # column by column, then cell by cell: no row ever holds all the cells of a large box
+    span = lambda b, lo, hi: F.explode(F.sequence(F.floor(F.col(b)[lo] / side), F.floor(F.col(b)[hi] / side)))
+    a = left.withColumn("__lx", span("lbox", "x1", "x2")).withColumn("__ly", span("lbox", "y1", "y2"))
+    b = right.withColumn("__rx", span("rbox", "x1", "x2")).withColumn("__ry", span("rbox", "y1", "y2"))
     lb, rb = F.col("lbox"), F.col("rbox")
     home = (F.floor(F.greatest(lb["x1"], rb["x1"]) / side) == F.col("__lx")) & (F.floor(F.greatest(lb["y1"], rb["y1"]) / side) == F.col("__ly"))
     meets = (F.col("__lx") == F.col("__rx")) & (F.col("__ly") == F.col("__ry")) & geo.boxes_meet(lb, rb) & home
@@ -48,9 +50,7 @@ def grid_join(left: DataFrame, right: DataFrame, side: float, how: str = "inner"
 
 def refined(pairs: DataFrame, left_rings: str = "lrings", right_rings: str = "rrings") -> DataFrame:
     """Pairs of boxes whose polygons meet, touching included."""
-    from ..functions.polygons import intersects
-
-    return pairs.where(intersects(F.col(left_rings), F.col(right_rings)))
+    return pairs.where(geo.polygons_meet(F.col(left_rings), F.col(right_rings)))
 
 
 def nearest(points: DataFrame, targets: DataFrame, side: float, rings: int = 1) -> DataFrame:

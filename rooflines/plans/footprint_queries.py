@@ -220,7 +220,7 @@ def polygon_iou(t: Tables) -> DataFrame:
     right = t.houses().select(F.col("fid").alias("hid"), F.col("lbox").alias("rbox"))
     pairs = spatial.grid_join(t.footprints(), right, SIDE, small_right=False)
     a, b = F.array(geo.ring_of_box(F.col("lbox"))), F.array(geo.ring_of_box(F.col("rbox")))
-    rows = pairs.withColumn("i", polygons.intersection_area(a, b)).withColumn("a", geo.box_area(F.col("lbox"))).withColumn("u", F.col("a") + geo.box_area(F.col("rbox")) - F.col("i"))
+    rows = pairs.withColumn("i", geo.polygon_shared_area(a, b)).withColumn("a", geo.box_area(F.col("lbox"))).withColumn("u", F.col("a") + geo.box_area(F.col("rbox")) - F.col("i"))
     return rows.groupBy("source").agg(F.count("*").alias("pairs"), R6(F.sum(F.when(F.col("u") > 0, F.col("i") / F.col("u")).otherwise(0.0))).alias("iou"), R6(F.sum(F.col("i") / F.col("a"))).alias("half_iou"))
 
 
@@ -295,3 +295,80 @@ def simplified_shapes(t: Tables) -> DataFrame:
     rows = shapes(t).withColumn("dense", F.array(F.concat(halves, F.array(F.col("ring")[0]))))
     done = rows.select("source", polygons.simplified("dense", 0.01).alias("s"), polygons.simplified_cyclic("dense", 0.01).alias("c"))
     return done.where(polygons.valid("s") & polygons.valid("c")).groupBy("source").agg(F.count("*").alias("valid"), F.sum(F.size(F.col("s")[0]).cast("long")).alias("points"), F.sum(F.size(F.col("c")[0]).cast("long")).alias("cyclic_points"))
+
+
+# polygons all the way ---------------------------------------------------------------------------------------------
+
+#: Two rectangles that make an L-shape: the lower half and the upper left quarter.
+_RECTS = "rects AS (SELECT fid, source, x1 AS a1, y1 AS b1, x2 AS a2, (y1 + y2) / 2.0 AS b2 FROM footprints UNION ALL SELECT fid, source, x1, (y1 + y2) / 2.0, (x1 + x2) / 2.0, y2 FROM footprints)"
+_MEET = "{0}.a1 <= {1}.a2 AND {1}.a1 <= {0}.a2 AND {0}.b1 <= {1}.b2 AND {1}.b1 <= {0}.b2"
+_SHARED = "greatest(0, least({0}.a2, {1}.a2) - greatest({0}.a1, {1}.a1)) * greatest(0, least({0}.b2, {1}.b2) - greatest({0}.b1, {1}.b1))"
+_SHAPES = f"""{_RECTS},
+box AS (SELECT rx1 AS a1, ry1 AS b1, rx2 AS a2, ry2 AS b2, roi_id, region FROM districts),
+lcrop AS (SELECT DISTINCT r.fid, r.source, box.roi_id, box.region FROM rects r JOIN box ON {_MEET.format("r", "box")}),
+lpairs AS (SELECT c.roi_id, c.source, c.fid, m.fid AS main_fid, CAST(sum({_SHARED.format("p", "q")}) AS DOUBLE) AS shared FROM lcrop c JOIN rects p ON p.fid = c.fid JOIN rects q ON {_MEET.format("p", "q")} JOIN lcrop m ON m.fid = q.fid AND m.roi_id = c.roi_id WHERE c.source <> 'osm' AND m.source = 'osm' GROUP BY ALL),
+larea AS (SELECT l.*, (x2 - x1) * (y2 - y1) * 0.75 AS area, o.overlap FROM lcrop l JOIN footprints f ON l.fid = f.fid LEFT JOIN (SELECT roi_id, fid, sum(shared) AS overlap FROM lpairs GROUP BY ALL) o ON o.roi_id = l.roi_id AND o.fid = l.fid),
+lquality AS (SELECT roi_id, source, count(*) AS features, CAST(sum(area) AS DOUBLE) AS area, count(overlap) AS matched, coalesce(sum(overlap), 0.0::DOUBLE) AS overlap, CAST(sum(CASE WHEN overlap IS NULL THEN area ELSE 0 END) AS DOUBLE) AS added FROM larea GROUP BY ALL),
+lbest AS (SELECT roi_id, source FROM (SELECT *, row_number() OVER (PARTITION BY roi_id ORDER BY overlap + added DESC, list_position(['ms', 'ours2', 'google'], source)) AS n FROM lquality WHERE source IN ('ms', 'ours2', 'google')) WHERE n = 1)"""
+
+
+def shape_crop(t: Tables) -> DataFrame:
+    left = shapes(t).select("fid", "source", "lbox", F.array("ring").alias("rings"))
+    return fusion.crop(left, t.districts().withColumn("rrings", F.array(geo.ring_of_box(F.col("rbox")))), SIDE)
+
+
+def _shapes_sql(sql: str) -> str:
+    head, _, tail = with_tables(sql, "footprints", "districts").rpartition("\n" + sql)
+    return f"{head},\n{_SHAPES}\n{sql}{tail}"
+
+
+@query(_shapes_sql("SELECT *, overlap + added AS quality FROM lquality WHERE source <> 'osm'"))
+def shape_quality(t: Tables) -> DataFrame:
+    """Crop, overlap and area of L-shapes, not of their boxes."""
+    c = shape_crop(t)
+    return fusion.source_quality(c, fusion.overlaps(c, "osm", SIDE)).where("source <> 'osm'")
+
+
+@query(_shapes_sql("SELECT region, source, count(*) AS features, CAST(sum(area) AS DOUBLE) AS area FROM (SELECT region, source, area FROM larea WHERE source = 'osm' UNION ALL SELECT region, l.source, area FROM larea l JOIN lbest b ON l.roi_id = b.roi_id AND l.source = b.source WHERE overlap IS NULL) GROUP BY ALL"))
+def fuse_shapes(t: Tables) -> DataFrame:
+    """The whole fusion by polygons."""
+    fused = fusion.fuse(shape_crop(t), "osm", SIDE)
+    return fused.groupBy("region", "source").agg(F.count("*").alias("features"), F.sum(geo.polygon_area(F.col("rings"))).alias("area"))
+
+
+_HOUSE = "house AS (SELECT fid AS hid, x1 AS a1, y1 AS b1, x2 AS a2, y2 AS b2 FROM houses)"
+
+
+@query(with_tables(f"SELECT source, count(*) AS pairs, round(sum(i), 6) AS shared, round(sum(i / (area + (a2 - a1) * (b2 - b1) - i)), 6) AS iou FROM (SELECT r.source, r.fid, house.*, sum({_SHARED.format('r', 'house')}) AS i, any_value((x2 - x1) * (y2 - y1) * 0.75) AS area FROM rects r JOIN house ON {_MEET.format('r', 'house')} JOIN footprints f ON f.fid = r.fid GROUP BY ALL) GROUP BY source", "footprints", "houses").replace("\nSELECT", f", {_RECTS}, {_HOUSE}\nSELECT", 1))
+def shape_iou(t: Tables) -> DataFrame:
+    """L-shapes and boxes that meet, touching included, and their IoU."""
+    left = shapes(t).select("source", "lbox", F.array("ring").alias("rings"))
+    right = t.houses().select(F.col("lbox").alias("rbox"), F.array(geo.ring_of_box(F.col("lbox"))).alias("rrings"))
+    pairs = spatial.refined(spatial.grid_join(left, right, SIDE, small_right=False), "rings", "rrings")
+    rows = pairs.withColumn("i", geo.polygon_shared_area(F.col("rings"), F.col("rrings")))
+    u = geo.polygon_area(F.col("rings")) + geo.box_area(F.col("rbox")) - F.col("i")
+    return rows.groupBy("source").agg(F.count("*").alias("pairs"), R6(F.sum("i")).alias("shared"), R6(F.sum(F.col("i") / u)).alias("iou"))
+
+
+def lshaped_houses(t: Tables) -> DataFrame:
+    b, p = F.col("lbox"), geo.point
+    mx, my = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2
+    ring = F.array(p(b["x1"], b["y1"]), p(b["x2"], b["y1"]), p(b["x2"], my), p(mx, my), p(mx, b["y2"]), p(b["x1"], b["y2"]), p(b["x1"], b["y1"]))
+    return t.houses().select("fid", "lbox", F.array(ring).alias("rings"))
+
+
+_COVERED = "SELECT DISTINCT fid, r.row, c.col FROM (SELECT fid, x1 AS a1, y1 AS b1, x2 AS a2, (y1 + y2) / 2.0 AS b2 FROM houses UNION ALL SELECT fid, x1, (y1 + y2) / 2.0, (x1 + x2) / 2.0, y2 FROM houses), LATERAL unnest(range(CAST(floor(b1 / 10.0) AS BIGINT), CAST(ceil(b2 / 10.0) AS BIGINT))) AS r(row), LATERAL unnest(range(CAST(floor(a1 / 10.0) AS BIGINT), CAST(ceil(a2 / 10.0) AS BIGINT))) AS c(col)"
+
+
+@query(with_tables(f"SELECT fid, max(h) AS height, arg_min(v, (-h, row, col)) AS var, count(*) AS n FROM (SELECT z.*, coalesce(CAST(p.h AS DOUBLE), -1) AS h, coalesce(CAST(p.v AS DOUBLE), -1) AS v FROM ({_COVERED}) z LEFT JOIN pixels p ON z.row = p.row AND z.col = p.col) GROUP BY fid", "pixels", "houses"))
+def lod1_shape_height(t: Tables) -> DataFrame:
+    """Height of the pixels that an L-shape covers in part or whole, not of its rectangle."""
+    zonal = lod1.zonal_pixels(lshaped_houses(t), t.pixels(), 10.0)
+    return lod1.heights(zonal, "at_max").join(zonal.groupBy("fid").agg(F.count("*").alias("n")), "fid")
+
+
+@query(with_tables(f"SELECT row, col, max(fid % 60) AS value FROM ({_COVERED}) GROUP BY ALL", "houses"))
+def rasterised_shapes(t: Tables) -> DataFrame:
+    from ..operators import raster
+
+    return raster.rasterised(lshaped_houses(t).withColumn("value", F.col("fid") % 60), "value", 10.0)

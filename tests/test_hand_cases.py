@@ -78,7 +78,7 @@ def test_l_and_hook(spark, shift):
     ring = lambda pts: [[{"x": float(x + shift[0]), "y": float(y + shift[1])} for x, y in [*pts, pts[0]]]]
     kind = "array<array<struct<x:double,y:double>>>"
     df = spark.createDataFrame([(ring(L), ring(HOOK))], f"a {kind}, b {kind}")
-    got = df.select(polygons.intersection_area("a", "b").alias("i"), polygons.intersects("a", "b").alias("m"), polygons.valid("a").alias("v")).first()
+    got = df.select(geo.polygon_shared_area(F.col("a"), F.col("b")).alias("i"), geo.polygons_meet(F.col("a"), F.col("b")).alias("m"), polygons.valid("a").alias("v")).first()
     assert got.i == pytest.approx(0.75, abs=1e-6) and got.m and got.v
 
 
@@ -207,3 +207,32 @@ def test_a_large_group_is_dealt_out_and_takes_no_square_time(spark):
     began = time.time()
     big = spark.range(200_000).select(F.lit(1).alias("grp"), (F.col("id") % 1000).alias("image"), F.col("id").alias("det"), F.rand(1).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("tp"))
     assert evaluation.average_precision(evaluation.precision_curve(big, F.lit(66_667), "grp"), "grp").first().max_recall == 1 and time.time() - began < 60
+
+
+def test_polygon_expressions_match_the_plain_ones(spark):
+    """Star-shaped rings of any turn with holes: shared area and meeting by expressions, against triangles and edges in numpy."""
+    r = np.random.default_rng(4)
+
+    def star(cx, cy, size, n):
+        at = np.sort(r.uniform(0, 2 * np.pi, n))
+        far = r.uniform(0.4, 1, n) * size
+        pts = np.stack([cx + far * np.cos(at), cy + far * np.sin(at)], 1)
+        return pts if r.random() < 0.5 else pts[::-1]
+
+    def polygon():
+        cx, cy, size = *r.uniform(0, 10, 2), r.uniform(1, 5)
+        shell = star(cx, cy, size, 9)
+        return [shell, star(cx, cy, size * 0.1, 4)] if r.random() < 0.5 and polygons.inside([shell], np.array([cx, cy])) else [shell]
+
+    pairs = [(polygon(), polygon()) for _ in range(150)]
+    rows = [(i, polygons.as_value(a), polygons.as_value(b)) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "i int, a array<array<struct<x:double,y:double>>>, b array<array<struct<x:double,y:double>>>")
+    got = df.select("i", geo.polygon_shared_area(F.col("a"), F.col("b")).alias("s"), geo.polygons_meet(F.col("a"), F.col("b")).alias("m"), geo.polygon_crosses_box(F.col("a"), geo.box(F.lit(3), F.lit(3), F.lit(5), F.lit(5))).alias("c")).collect()
+    box = [np.array([(3, 3), (5, 3), (5, 5), (3, 5)], float)]
+    for x in got:
+        a, b = pairs[x.i]
+        if all(len(p) == 1 or polygons.signed_area(p[1]) for p in (a, b)):
+            assert x.s == pytest.approx(polygons.shared_area(a, b), abs=1e-6)
+        assert x.m == polygons.meet(a, b)
+        assert x.c == (polygons.shared_area(a, box) > 1e-12)
+    assert 20 < sum(x.m for x in got) < 150
