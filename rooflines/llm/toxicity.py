@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, read, tidy
 
 MOST_ROWS, FOLDS = 4000, 3
-ORDER, DISCOUNT, LEAST, PEAK, THRESHOLD = 5, 0.75, 2, 3, 0.3
+ORDER, DISCOUNT, LEAST, PEAK, THRESHOLD = 5, 0.75, 3, 3, 0.3
 #: A-Z to a-z; digits and ASCII signs to a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: A task's tables are written out, or forgotten, and begun anew at so many words.
+#: A task's tables of counts are written out and begun anew at so many words; of the words' scores so many are kept.
 MOST_HELD = 100_000
 SCORED = "n_words long, difference double, letters double, peak double, score double"
 
@@ -53,8 +53,8 @@ def words(text: bytes) -> list[bytes]:
 
 def grams(word: bytes) -> list[bytes]:
     """What ends with each letter of the word, and with its end: ORDER letters, fewer near its begin."""
-    word = b"^" + word + b"$"
-    return [word[max(0, i - ORDER) : i] for i in range(2, len(word) + 1)]
+    word = b"^%b$" % word
+    return [word[:i] for i in range(2, min(ORDER, len(word)) + 1)] + [word[i - ORDER : i] for i in range(ORDER + 1, len(word) + 1)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,6 +109,25 @@ def phrase_counts(rows: DataFrame) -> DataFrame:
     return by_fold.select("toxic", "x.fold", "phrase", "x.n").where("n > 0").union(found.groupBy("toxic", "fold").agg(F.lit(None).cast("string"), F.sum(F.size("w").cast("long"))))
 
 
+class Table:
+    """Counts of a sample's grams or phrases, held once, with a column for each class and fold."""
+
+    def __init__(self, counted: DataFrame, key: str):
+        cells = [F.coalesce(F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n"))), F.lit(0)) for c in (0, 1) for f in range(FOLDS)]
+        rows = counted.groupBy(key).agg(F.array(*cells).alias("n")).select(F.col(key).cast("binary").alias(key), "n")
+        self.keys: list[bytes | None] = []
+        found = []
+        for k, n in cut(rows).toLocalIterator():
+            self.keys.append(None if k is None else bytes(k))
+            found.append(np.array(n, "i8"))
+        self.counts = np.stack(found).reshape(-1, 2, FOLDS) if found else np.zeros((0, 2, FOLDS), "i8")
+
+    def of(self, toxic: int, but: int | None = None, least: int = 1) -> Counter:
+        """A class's counts of all folds but one, of what it has at least so often there."""
+        n = self.counts[:, toxic].sum(1) - (0 if but is None else self.counts[:, toxic, but])
+        return Counter({self.keys[i]: int(n[i]) for i in np.flatnonzero(n) if n[i] >= least or self.keys[i] is None})
+
+
 def _tails(longest: Column, shortest: int) -> Column:
     """The ends of gram of shortest to longest letters."""
     return F.transform(F.sequence(F.lit(shortest), longest), lambda k: F.substr("gram", F.length("gram") - k + 1, k))
@@ -242,43 +261,49 @@ class Model:
             by_word[w] = tuple(side.word(w, exp(letters(w, k))) for k, side in enumerate(sides))
         self.words = {w: log(b) - log(a) for w, (a, b) in by_word.items()}
         self.after: dict[bytes, float] = {h: apart(lambda side: side.after.get(h, 1.0)) for h in {*ordinary.after, *toxic.after}}  # noqa: B023
-        #: what a pair adds to what its words have by themselves
-        self.pairs: dict[bytes, float] = {}
+        #: what a pair adds to what its words have by themselves, by its first word
+        self.pairs: dict[bytes, dict[bytes, float]] = {}
         for p in {*ordinary.pairs, *toxic.pairs}:
             h, _, w = p.partition(b" ")
             if w in by_word:
                 a, b = (side.pair(p, x) for side, x in zip(sides, by_word[w], strict=True))
-                self.pairs[p] = log(b) - log(a) - self.after.get(h, 0.0) - self.words[w]
+                self.pairs.setdefault(h, {})[w] = log(b) - log(a) - self.after.get(h, 0.0) - self.words[w]
         self.curve = np.zeros(4)
 
     def word(self, word: bytes) -> float:
         """By its letters. Where neither class has a gram, both fall back on the same shared probability and only their rests differ."""
-        out = 0.0
+        out, get, rest = 0.0, self.gram.get, self.rest.get
         for g in grams(word):
-            d = self.gram.get(g)
-            out += self.rest.get(g[:-1], 0.0) if d is None else d
+            d = get(g)
+            out += rest(g[:-1], 0.0) if d is None else d
         return out
 
-    def differences(self, text: bytes, known: dict[bytes, float]) -> tuple[int, float, float, float]:
+    def differences(self, text: bytes, known: dict[bytes, tuple[float, float]]) -> tuple[int, float, float, float]:
         """Number of words, and the difference for a word: of expressions, of letters, and of letters over the strongest. known: the words met before."""
         found = words(text)
         if not found:
             return 0, 0.0, 0.0, 0.0
-        if len(known) > MOST_HELD:
-            known.clear()
-        distinct = set(found)
-        for w in distinct:
-            if w not in known:
-                known[w] = self.word(w)
-        get, kept = known.__getitem__, self.words
-        letters = sum(map(get, found))
-        counted = Counter(found)
-        alone = sum(n * (kept[w] if w in kept else self.unseen + known[w]) for w, n in counted.items())
-        counted[found[-1]] -= 1  # nothing follows it
-        after = sum(n * self.after[w] for w, n in counted.items() if w in self.after)
-        pairs = sum(filter(None, map(self.pairs.get, map(b" ".join, zip(found, found[1:], strict=False)))))
-        strongest = heapq.nlargest(PEAK, map(get, distinct))
-        return len(found), (alone + after + pairs) / len(found), letters / len(found), sum(strongest) / PEAK
+        letters = total = 0.0
+        apart = []
+        for w, n in Counter(found).items():
+            of_word = known.get(w)
+            if of_word is None:
+                x = self.word(w)
+                alone = self.words.get(w)
+                of_word = x, (self.unseen + x if alone is None else alone) + self.after.get(w, 0.0)
+                if len(known) < MOST_HELD:  # what is met often is met early
+                    known[w] = of_word
+            x, y = of_word
+            apart.append(x)
+            letters += n * x
+            total += n * y
+        total -= self.after.get(found[-1], 0.0)  # nothing follows it
+        get, before = self.pairs.get, None
+        for w in found:
+            if before is not None:
+                total += before.get(w, 0.0)
+            before = get(w)
+        return len(found), total / len(found), letters / len(found), sum(heapq.nlargest(PEAK, apart)) / PEAK
 
     def scores(self, *differences: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_features(*differences) @ self.curve, -30, 30)))
@@ -305,7 +330,7 @@ def _scorer(shared, extra: list[str]):
     @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        known: dict[bytes, float] = {}
+        known: dict[bytes, tuple[float, float]] = {}
         for batch in batches:
             found = [model.differences(t.as_py() or b"", known) for t in batch.column("text").cast(pa.binary())]
             n, *apart = (np.array(x, "f8") for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 4
@@ -318,21 +343,16 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     """The fitted model; None if the sample lacks toxic or ordinary rows."""
     rows = sample(docs, labels, most_rows).cache()
     counted = cut(word_counts(rows, "toxic", "fold").mapInArrow(_grams_of_words, "toxic int, fold int, gram binary, n long").groupBy("toxic", "fold", "gram").agg(F.sum("n").alias("n")))
-    by: dict[tuple[int, int], Counter[bytes]] = defaultdict(Counter)
-    for toxic, fold, gram, n in counted.coalesce(1).toLocalIterator():
-        by[toxic, fold][bytes(gram)] = n
-    if not all(any(c == toxic for c, _ in by) for toxic in (0, 1)):
+    letters = Table(counted, "gram")
+    if not letters.counts.sum((0, 2)).all():
         rows.unpersist()
         return None
-    phrases: dict[tuple[int, int], Counter] = defaultdict(Counter)
-    for toxic, fold, phrase, n in cut(phrase_counts(rows)).coalesce(1).toLocalIterator():
-        phrases[toxic, fold][None if phrase is None else phrase.encode()] = n
+    phrases = Table(phrase_counts(rows), "phrase")
     shared = Shared.counted(cut(corpus_grams(docs).select("gram")), counted.select("gram"))
 
     def side(toxic: int, but: int | None = None) -> Side:
-        all_of = lambda x: sum((x[toxic, f] for f in range(FOLDS) if f != but), Counter())
         # what a model without a fold has too rarely may not show through that fold's counts either
-        return Side(all_of(by), Counter({p: n for p, n in all_of(phrases).items() if n >= LEAST or p is None}))
+        return Side(letters.of(toxic, but), phrases.of(toxic, but, LEAST))
 
     sc, parts = docs.sparkSession.sparkContext, []
     for f in range(FOLDS):  # one model at a time: the driver holds no more than that
@@ -359,7 +379,7 @@ def _keeper(shared, threshold: float):
     @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        known: dict[bytes, float] = {}
+        known: dict[bytes, tuple[float, float]] = {}
         for batch in batches:
             found = [model.differences(t.as_py() or b"", known) for t in batch.column("text").cast(pa.binary())]
             _, *apart = (np.array(x, "f8") for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 4
