@@ -115,19 +115,20 @@ def inside(rings: list[np.ndarray], p: np.ndarray) -> bool:
     return bool((at > p[0]).sum() % 2)
 
 
-def _edges_meet(x: np.ndarray, y: np.ndarray) -> bool:
+def _crossings(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which edges of x meet which of y, touching included."""
     a, b, c, d = x[:, None, 0], x[:, None, 1], y[None, :, 0], y[None, :, 1]
     turn = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
     on = lambda p, q, r, t: (t == 0) & (np.minimum(p, q) <= r).all(-1) & (np.maximum(p, q) >= r).all(-1)
     s1, s2, s3, s4 = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
-    return bool((((s1 * s2 < 0) & (s3 * s4 < 0)) | on(a, b, c, s1) | on(a, b, d, s2) | on(c, d, a, s3) | on(c, d, b, s4)).any())
+    return ((s1 * s2 < 0) & (s3 * s4 < 0)) | on(a, b, c, s1) | on(a, b, d, s2) | on(c, d, a, s3) | on(c, d, b, s4)
 
 
 def meet(a: list[np.ndarray], b: list[np.ndarray]) -> bool:
     """Touching counts."""
     if not a or not b or (a[0].min(0) > b[0].max(0)).any() or (b[0].min(0) > a[0].max(0)).any():
         return False
-    return _edges_meet(_edges(a), _edges(b)) or inside(a, b[0][0]) or inside(b, a[0][0])
+    return bool(_crossings(_edges(a), _edges(b)).any()) or inside(a, b[0][0]) or inside(b, a[0][0])
 
 
 def is_valid(rings: list[np.ndarray]) -> bool:
@@ -135,11 +136,10 @@ def is_valid(rings: list[np.ndarray]) -> bool:
     for r in rings:
         if len(r) < 3 or signed_area(r - r[0]) == 0:
             return False
-        e = _edges([r])
-        for i in range(len(e)):
-            others = [j for j in range(i + 1, len(e)) if j != i + 1 and not (i == 0 and j == len(e) - 1)]
-            if others and _edges_meet(e[i : i + 1], e[others]):
-                return False
+        e, at = _edges([r]), np.arange(len(r))
+        apart = at[None, :] - at[:, None]
+        if (_crossings(e, e) & (apart > 1) & (apart < len(r) - 1)).any():
+            return False
     return bool(rings)
 
 
@@ -170,39 +170,53 @@ def douglas_peucker(p: np.ndarray, tolerance: float) -> np.ndarray:
     return p[keep]
 
 
+def _skipping(p: np.ndarray, steps: int) -> np.ndarray:
+    """Of rings of equally many points (rings, points, 2): how far the points between i and i + s lie from their line, added up; rings by i by s."""
+    m, n, _ = p.shape
+    q, out = np.concatenate([p, p], 1), np.zeros((m, n, steps + 1))
+    for s in range(2, steps + 1):
+        d = q[:, s : s + n] - p
+        long = np.hypot(d[..., 0], d[..., 1])
+        for k in range(1, s):
+            v = q[:, k : k + n] - p
+            off = np.abs(d[..., 0] * v[..., 1] - d[..., 1] * v[..., 0])
+            out[:, :, s] += np.where(long > 0, off / np.where(long > 0, long, 1), np.hypot(v[..., 0], v[..., 1]))
+    return out
+
+
+def _best_cycle(away: np.ndarray, start: np.ndarray, per_vertex: float) -> np.ndarray:
+    """Which points the best cycle through each ring's start has; rings by points."""
+    m, n, steps = away.shape[0], away.shape[1], away.shape[2] - 1
+    rolled = np.take_along_axis(away, ((start[:, None] + np.arange(n)) % n)[:, :, None], 1)
+    cost, back, row = np.full((m, n + 1), np.inf), np.zeros((m, n + 1), int), np.arange(m)
+    cost[:, 0] = 0
+    for j in range(1, n + 1):
+        i = np.arange(max(0, j - steps), j)
+        by = cost[:, i] + rolled[:, i, j - i] + per_vertex
+        back[:, j] = i[by.argmin(1)]
+        cost[:, j] = by.min(1)
+    kept, at = np.zeros((m, n), bool), np.full(m, n)
+    while (at > 0).any():
+        open_ = at > 0
+        at = np.where(open_, back[row, at], at)
+        kept[row[open_], (at[open_] + start[open_]) % n] = True
+    return kept
+
+
 def simplify_cyclic(p: np.ndarray, per_vertex: float = 5.0, max_step: int = 128) -> np.ndarray:
-    """The ring's vertices that make the sum of the others' distances from their edge, and per_vertex for each, least.
+    """The vertices of rings of equally many points (rings, points, 2) that make the sum of the others' distances from their edge, and per_vertex for each, least: a mask.
 
     An edge skips fewer than max_step points. The best cycle through point 0 is found, then the best through one of
-    its vertices opposite, which need not hold point 0. The ring stays where fewer than three vertices would.
+    its vertices opposite, which need not hold point 0. A ring stays where fewer than three vertices would.
     """
-    n = len(p)
+    m, n, _ = p.shape
     if n < 4:
-        return p
-    steps = min(max_step, n - 1)
-
-    def best_from(start: int) -> list[int]:
-        q = np.roll(p, -start, 0)
-        q = np.concatenate([q, q[:1]])
-        cost, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        cost[0] = 0
-        for j in range(1, n + 1):
-            for i in range(max(0, j - steps), j):
-                d = q[j] - q[i]
-                m = np.hypot(*d)
-                v = q[i + 1 : j] - q[i]
-                away = (np.abs(d[0] * v[:, 1] - d[1] * v[:, 0]) / m if m else np.hypot(v[:, 0], v[:, 1])).sum()
-                if cost[i] + away + per_vertex < cost[j]:
-                    cost[j], back[j] = cost[i] + away + per_vertex, i
-        out, j = [], n
-        while j:
-            j = back[j]
-            out.append((j + start) % n)
-        return sorted(out)
-
-    first = best_from(0)
-    again = best_from(first[len(first) // 2])
-    return p[again] if len(again) >= 3 else p
+        return np.ones((m, n), bool)
+    away = _skipping(p, min(max_step, n - 1))
+    first = _best_cycle(away, np.zeros(m, int), per_vertex)
+    middle = np.array([np.flatnonzero(f)[f.sum() // 2] for f in first])
+    again = _best_cycle(away, middle, per_vertex)
+    return np.where(again.sum(1)[:, None] >= 3, again, True)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -233,8 +247,22 @@ def simplified(rings, tolerance: float):
 
 
 def simplified_cyclic(rings, per_vertex: float = 5.0, max_step: int = 128):
+    """simplify_cyclic of every ring; a batch's rings of equally many points are worked on together."""
+
     @F.pandas_udf(RINGS)
     def apply(a: pd.Series) -> pd.Series:
-        return pd.Series([as_value([simplify_cyclic(r, per_vertex, max_step) for r in as_rings(v)]) for v in a])
+        polygons = [as_rings(v) for v in a]
+        alike: dict[int, list[tuple[int, int]]] = {}
+        for i, polygon in enumerate(polygons):
+            for k, ring in enumerate(polygon):
+                alike.setdefault(len(ring), []).append((i, k))
+        for n, places in alike.items():
+            some = max(1, 4_000_000 // max(1, n * min(max_step, n)))  # bounds the table of a block of rings
+            for at in range(0, len(places) if n else 0, some):
+                block = places[at : at + some]
+                kept = simplify_cyclic(np.stack([polygons[i][k] for i, k in block]), per_vertex, max_step)
+                for (i, k), keep in zip(block, kept, strict=True):
+                    polygons[i][k] = polygons[i][k][keep]
+        return pd.Series([as_value(p) for p in polygons])
 
     return apply(rings)

@@ -415,12 +415,13 @@ def eroded_labels(t: Tables) -> DataFrame:
     return raster.eroded(l, 3)
 
 
-@query(with_tables("SELECT count(*) AS regions, CAST(sum(n) AS BIGINT) AS pixels FROM (SELECT CAST(floor(row / 7.0) AS BIGINT) AS a, CAST(floor(col / 9.0) AS BIGINT) AS b, count(*) AS n FROM pixels GROUP BY ALL)", "pixels"))
+@query(with_tables("SELECT CAST(min(col) AS DOUBLE) AS x1, CAST(min(row) AS DOUBLE) AS y1, CAST(max(col) + 1 AS DOUBLE) AS x2, CAST(max(row) + 1 AS DOUBLE) AS y2, CAST(count(*) AS DOUBLE) AS area, CAST(any_value((CAST(floor(row / 7.0) AS BIGINT) + CAST(floor(col / 9.0) AS BIGINT)) % 2) AS DOUBLE) AS value FROM pixels GROUP BY CAST(floor(row / 7.0) AS BIGINT), CAST(floor(col / 9.0) AS BIGINT)", "pixels"))
 def mask_polygons(t: Tables) -> DataFrame:
-    """A chequered mask as components (across blocks) and polygons, counted and measured."""
+    """A chequered mask as components (across blocks) and polygons: each one's box, area and value."""
     mask = t.pixels().select("row", "col", ((F.floor(F.col("row") / 7) + F.floor(F.col("col") / 9)) % 2).alias("value"))
     shapes = raster.polygons(raster.components(mask, 64))
-    return shapes.agg(F.count("*").alias("regions"), F.sum(geo.polygon_area(F.col("rings"))).cast("long").alias("pixels"))
+    b = geo.bounds(F.col("rings"))
+    return shapes.select(*(b[c].alias(c) for c in ("x1", "y1", "x2", "y2")), geo.polygon_area(F.col("rings")).alias("area"), "value")
 
 
 @query(with_tables("SELECT row, col, CASE WHEN col % 4 = 1 THEN (col - 1) WHEN col % 4 = 3 THEN CASE WHEN EXISTS (SELECT 1 FROM pixels q WHERE q.row = p.row AND q.col = p.col + 1) THEN col + 1 ELSE NULL END ELSE col - 2 END AS near FROM pixels p WHERE col % 4 <> 0 AND row < 40 AND col < 290", "pixels"))
@@ -441,23 +442,22 @@ def whole_label_fill(t: Tables) -> DataFrame:
     return near.select("row", "col", F.col("label").alias("near"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS points, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS outside FROM (SELECT c_custkey, CASE WHEN floor((50 - lat) / 0.5) BETWEEN 0 AND 39 AND floor((lon - 10) / 0.5) BETWEEN 0 AND 39 THEN 1 END AS value FROM (SELECT c_custkey, 8.03 + c_custkey % 240 / 10.0 AS lon, 28.03 + c_custkey % 230 / 10.0 AS lat FROM customer))")
+@query("SELECT c_custkey AS id, g.row * 1000 + g.col AS value FROM (SELECT c_custkey, 8.03 + c_custkey % 240 / 10.0 AS lon, 28.03 + c_custkey % 230 / 10.0 AS lat FROM customer) p LEFT JOIN (SELECT DISTINCT o_orderkey % 40 AS row, CAST(floor(o_orderkey / 40.0) AS BIGINT) % 40 AS col FROM orders) g ON g.row = CAST(floor((50 - lat) / 0.5) AS BIGINT) AND g.col = CAST(floor((lon - 10) / 0.5) AS BIGINT)")
 def mercator_reprojection(t: Tables) -> DataFrame:
-    """Points of the Mercator plane that find a pixel of a geographic raster, 40 by 40 half degrees."""
-    grid = t.orders.select((F.col("o_orderkey") % 40).alias("row"), (F.floor(F.col("o_orderkey") / 40) % 40).alias("col")).distinct().withColumn("value", F.lit(1))
-    points = t.customer.select((F.lit(8.03) + F.col("c_custkey") % 240 / 10).alias("lon"), (F.lit(28.03) + F.col("c_custkey") % 230 / 10).alias("lat")).select(geo.mercator_x("lon").alias("tx"), geo.mercator_y("lat").alias("ty"))
-    found = raster.reproject_to_mercator(points, grid, 10.0, 50.0, 0.5)
-    return found.agg(F.count("*").alias("points"), F.count_if(F.col("value").isNull()).alias("outside"))
+    """Points of the Mercator plane with the pixel that they find in a geographic raster, 40 by 40 half degrees, told by its value."""
+    grid = t.orders.select((F.col("o_orderkey") % 40).alias("row"), (F.floor(F.col("o_orderkey") / 40) % 40).alias("col")).distinct().withColumn("value", F.col("row") * 1000 + F.col("col"))
+    points = t.customer.select(F.col("c_custkey").alias("id"), (F.lit(8.03) + F.col("c_custkey") % 240 / 10).alias("lon"), (F.lit(28.03) + F.col("c_custkey") % 230 / 10).alias("lat")).select("id", geo.mercator_x("lon").alias("tx"), geo.mercator_y("lat").alias("ty"))
+    return raster.reproject_to_mercator(points, grid, 10.0, 50.0, 0.5).select("id", "value")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS points, CAST(count(DISTINCT p_size) AS BIGINT) AS clusters FROM part")
+@query("SELECT min(p_partkey) AS cluster, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part GROUP BY p_size")
 def size_clusters(t: Tables) -> DataFrame:
     """Parts clustered by equal size (a chain of the next keys of the same size): each size is one cluster."""
     w = Window.partitionBy("p_size").orderBy("p_partkey")
     p = t.part.select(F.col("p_partkey").alias("a"), F.lead("p_partkey").over(w).alias("b")).where("b is not null")
     both = p.union(p.select("b", "a"))
     out = rings.clusters(both, t.part.select(F.col("p_partkey").alias("node")), 2)
-    return out.agg(F.count("*").alias("points"), (F.countDistinct("cluster") + F.count_if(F.col("cluster").isNull())).alias("clusters"))
+    return out.groupBy(F.coalesce("cluster", "node").alias("cluster")).agg(F.count("*").alias("n"), F.sum("node").alias("keys"))
 
 
 # sample tables ----------------------------------------------------------------------------------------------------

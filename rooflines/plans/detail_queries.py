@@ -25,28 +25,35 @@ def affine_rings(t: Tables) -> DataFrame:
     return rows.groupBy("source").agg(R6(F.sum(geo.polygon_area(F.col("g")))).alias("area"), R6(F.min(geo.bounds(F.col("g"))["x1"])).alias("left_edge"), R6(F.sum(F.col("s.c") + F.col("s.f"))).alias("origins"))
 
 
-@query(with_tables("SELECT source, CAST(count(*) * 6 AS BIGINT) AS vertices FROM footprints GROUP BY source", "footprints"))
+@query(with_tables("SELECT source, CAST(sum(CASE WHEN fid % 3 = 2 THEN 14 ELSE 6 END) AS BIGINT) AS vertices, round(sum(CASE WHEN fid % 3 = 2 THEN 2 * (3 * x1 + 3 * x2 + x1) + 7 * 0.02 ELSE 3 * x1 + 3 * x2 END), 4) AS x FROM footprints GROUP BY source", "footprints"))
 def cleaned_rings(t: Tables) -> DataFrame:
-    """Rings with every vertex doubled, without the doubles and the closing point."""
-    doubled = F.flatten(F.transform("ring", lambda p: F.array(p, geo.point(p["x"] + 0.001, p["y"]))))
-    return shapes(t).groupBy("source").agg(F.sum(F.size(geo.opened(geo.without_doubles(doubled, 0.01))).cast("long")).alias("vertices"))
+    """Rings with every vertex doubled, on the spot, near it or too far to be one; without the doubles and the closing point."""
+    doubled = F.flatten(F.transform("ring", lambda p: F.array(p, geo.point(p["x"] + F.col("fid") % 3 * 0.01, p["y"]))))
+    rows = shapes(t).withColumn("r", geo.opened(geo.without_doubles(doubled, 0.015)))
+    return rows.groupBy("source").agg(F.sum(F.size("r").cast("long")).alias("vertices"), R6(F.sum(F.aggregate("r", F.lit(0.0), lambda acc, p: acc + p["x"])), 4).alias("x"))
 
 
-@query(with_tables("SELECT source, count(*) AS crossing, 0 AS apart, round(sum((x1 + x2) / 2.0 + (y1 + y2) / 2.0), 6) AS centres FROM footprints GROUP BY source", "footprints"))
+_DX, _DY = "(c.ax - a.ax)", "(c.ay - a.ay)"
+_EX, _EY = "(d.ax - b.ax)", "(d.ay - b.ay)"
+_AT = f"((b.ax - a.ax) * {_EY} - (b.ay - a.ay) * {_EX}) / ({_DX} * {_EY} - {_DY} * {_EX})"
+
+
+@query(with_tables(f"SELECT a.source, count(*) AS crossing, count(*) FILTER (a.fid % 5 = 4) AS touching, round(sum(a.ax + {_AT} * {_DX}), 4) AS x, round(sum(a.ay + {_AT} * {_DY}), 4) AS y FROM kites a JOIN kites b ON b.fid = a.fid AND b.pos = 1 JOIN kites c ON c.fid = a.fid AND c.pos = 2 JOIN kites d ON d.fid = a.fid AND d.pos = 3 WHERE a.pos = 0 GROUP BY a.source", "footprints", "kites"))
 def crossing_diagonals(t: Tables) -> DataFrame:
-    b = F.col("lbox")
-    a, c, d, e = geo.point(b["x1"], b["y1"]), geo.point(b["x2"], b["y2"]), geo.point(b["x1"], b["y2"]), geo.point(b["x2"], b["y1"])
-    rows = t.footprints().withColumn("m", geo.line_meeting(a, c, d, e)).withColumn("x", geo.segments_cross(a, c, d, e)).withColumn("p", geo.segments_cross(a, e, d, c))
-    return rows.groupBy("source").agg(F.count_if("x").alias("crossing"), F.count_if("p").cast("int").alias("apart"), R6(F.sum(F.col("m.x") + F.col("m.y"))).alias("centres"))
+    """Where the diagonals of irregular rings meet, and which first edges are met by one from below that may end short of them."""
+    r = [F.col("ring")[i] for i in range(4)]
+    below = geo.point(r[0]["x"], r[0]["y"] - 1), geo.point(r[1]["x"], r[0]["y"] + F.col("fid") % 5 - 2)
+    rows = t.kites().withColumn("m", geo.line_meeting(r[0], r[2], r[1], r[3])).withColumn("d", geo.segments_cross(r[0], r[2], r[1], r[3])).withColumn("t", geo.segments_cross(r[0], r[1], *below))
+    return rows.groupBy("source").agg(F.count_if("d").alias("crossing"), F.count_if("t").alias("touching"), R6(F.sum("m.x"), 4).alias("x"), R6(F.sum("m.y"), 4).alias("y"))
 
 
-@query(with_tables("SELECT CAST(a.k AS BIGINT) AS pos, count(*) AS n, round(sum(CASE a.k WHEN 0 THEN 0 WHEN 1 THEN 90 WHEN 2 THEN 180 ELSE -90 END), 6) AS headings, round(sum(CASE a.k WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END), 6) AS normals, round(sum(90.0), 6) AS turns FROM footprints, range(0, 4) AS a(k) GROUP BY 1", "footprints"))
+@query(with_tables("SELECT a.pos, count(*) AS n, round(sum(degrees(atan2(a.cy - a.ay, a.cx - a.ax))), 4) AS headings, round(sum((a.cy - a.ay) / a.len), 5) AS normal_x, round(sum((a.ax - a.cx) / a.len), 5) AS normal_y, round(sum(degrees(atan2((a.cx - a.ax) * (b.cy - b.ay) - (a.cy - a.ay) * (b.cx - b.ax), (a.cx - a.ax) * (b.cx - b.ax) + (a.cy - a.ay) * (b.cy - b.ay)))), 4) AS turns FROM kites a JOIN kites b ON b.fid = a.fid AND b.pos = (a.pos + 1) % 4 GROUP BY a.pos", "footprints", "kites"))
 def edge_directions(t: Tables) -> DataFrame:
-    """Headings, right-hand normals and turns of the boxes' edges."""
-    e = F.posexplode(F.transform(geo.edges(geo.ring_of_box(F.col("lbox"))), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), geo.heading(x).alias("h"), geo.normal(x)["x"].alias("nx"))))
-    v = t.footprints().select("fid", e.alias("pos", "e")).select("fid", "pos", "e.h", "e.nx", (F.col("e.b.x") - F.col("e.a.x")).alias("dx"), (F.col("e.b.y") - F.col("e.a.y")).alias("dy"))
+    """Headings, right-hand normals and turns of irregular rings' edges."""
+    e = F.posexplode(F.transform(geo.edges(F.col("ring")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), geo.heading(x).alias("h"), geo.normal(x).alias("n"))))
+    v = t.kites().select("fid", e.alias("pos", "e")).select("fid", "pos", "e.h", "e.n", (F.col("e.b.x") - F.col("e.a.x")).alias("dx"), (F.col("e.b.y") - F.col("e.a.y")).alias("dy"))
     v = rings.with_neighbours(v, "fid", "dx", "dy")
-    return v.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("n"), R6(F.sum("h")).alias("headings"), R6(F.sum("nx")).alias("normals"), R6(F.sum(geo.angle_between("dx", "dy", "next_dx", "next_dy"))).alias("turns"))
+    return v.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("n"), R6(F.sum("h"), 4).alias("headings"), R6(F.sum("n.x"), 5).alias("normal_x"), R6(F.sum("n.y"), 5).alias("normal_y"), R6(F.sum(geo.angle_between("dx", "dy", "next_dx", "next_dy")), 4).alias("turns"))
 
 
 @query(with_tables("SELECT grp, CAST(count(*) AS DOUBLE) AS area FROM (SELECT DISTINCT fid % 5 AS grp, row, col FROM houses, LATERAL unnest(range(y1, y2)) AS r(row), LATERAL unnest(range(x1, x2)) AS c(col)) GROUP BY 1", "houses"))

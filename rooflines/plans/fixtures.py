@@ -13,11 +13,15 @@ FOOTPRINTS = ["o_orderkey AS fid", f"{SOURCE} AS source", f"{X1} AS x1", f"{Y1}
 #: The raster is 300 pixels wide and as high as the orders make it.
 PIXELS = ["CAST(floor(o_orderkey / 300.0) AS BIGINT) AS row", "CAST(o_orderkey % 300 AS BIGINT) AS col", "(CAST(floor(o_orderkey / 300.0) AS BIGINT) * 31 + o_orderkey % 300 * 17) % 60 AS h", "(CAST(floor(o_orderkey / 300.0) AS BIGINT) * 13 + o_orderkey % 300 * 7) % 40 AS v"]
 HOUSES = ["c_custkey AS fid", "(c_custkey * 7919) % 2950 AS x1", "(c_custkey * 104729) % 700 AS y1", "(c_custkey * 7919) % 2950 + 4 + c_custkey % 29 AS x2", "(c_custkey * 104729) % 700 + 4 + c_custkey % 31 AS y2"]
+#: An order as a four-cornered ring that is no rectangle, and its edges.
+KITE = [("x1", "y1"), ("x2", "y1 + fid % 5 / 2.0"), ("x2 - fid % 4", "y2 + fid % 3"), ("x1 + fid % 2", "y2")]
+_KX, _KY = (", ".join(f"CAST({p[i]} AS DOUBLE)" for p in KITE) for i in (0, 1))
 LABELS = ["CAST(vec_id AS BIGINT) AS id", "CAST(label AS BIGINT) AS gt", "CAST((label + vec_id % 3) % 10 AS BIGINT) AS pred"]
 DETECTIONS = ["CAST(event_id AS BIGINT) AS det", "CAST(user_id AS BIGINT) AS image", "CAST(value AS DOUBLE) AS score", "CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS tp", "event_type AS category"]
 
 SQL = {
     "footprints": f"SELECT {', '.join(FOOTPRINTS)} FROM orders",
+    "kites": f"SELECT fid, source, pos, ax, ay, cx, cy, sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)) AS len FROM (SELECT fid, source, CAST(i AS BIGINT) AS pos, xs[i + 1] AS ax, ys[i + 1] AS ay, xs[(i + 1) % 4 + 1] AS cx, ys[(i + 1) % 4 + 1] AS cy FROM (SELECT fid, source, [{_KX}] AS xs, [{_KY}] AS ys FROM footprints), range(0, 4) AS t(i))",
     "districts": "SELECT CAST(n_nationkey AS VARCHAR) AS roi_id, n_name AS region, r_name AS continent, n_nationkey % 5 * 1000 AS rx1, CAST(floor(n_nationkey / 5.0) AS INT) * 1000 AS ry1, n_nationkey % 5 * 1000 + 1000 AS rx2, CAST(floor(n_nationkey / 5.0) AS INT) * 1000 + 1000 AS ry2 FROM nation JOIN region ON n_regionkey = r_regionkey",
     "cropped": "SELECT f.*, d.roi_id, d.region, d.continent FROM footprints f JOIN districts d ON f.x1 <= d.rx2 AND d.rx1 <= f.x2 AND f.y1 <= d.ry2 AND d.ry1 <= f.y2",
     "pairs": "SELECT a.roi_id, a.source, a.fid, b.fid AS main_fid, CAST(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS DOUBLE) AS shared FROM cropped a JOIN cropped b ON a.roi_id = b.roi_id AND a.source <> 'osm' AND b.source = 'osm' AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2",
@@ -50,6 +54,11 @@ class Tables:
         """fid, source, x1, y1, x2, y2, lbox."""
         return self.orders.selectExpr(*FOOTPRINTS).withColumn("lbox", geo.box("x1", "y1", "x2", "y2"))
 
+    def kites(self) -> DataFrame:
+        """fid, source, ring_id, ring."""
+        corners = [geo.point(F.expr(x), F.expr(y)) for x, y in KITE]
+        return self.footprints().select("fid", "source", F.col("fid").alias("ring_id"), F.array(*corners, corners[0]).alias("ring"))
+
     def districts(self) -> DataFrame:
         rows = self.nation.join(F.broadcast(self.region), F.col("n_regionkey") == F.col("r_regionkey"))
         x, y = F.col("n_nationkey") % 5 * 1000, F.floor(F.col("n_nationkey") / 5) * 1000

@@ -206,7 +206,7 @@ def shapes(t: Tables) -> DataFrame:
     return t.footprints().withColumn("ring", ring).withColumn("ring_id", F.col("fid"))
 
 
-@query(with_tables("SELECT source, round(sum((x2 - x1) * (y2 - y1) * 0.75), 6) AS area, round(sum(2.0 * (x2 - x1 + y2 - y1)), 6) AS perimeter, CAST(min(x1) AS DOUBLE) AS x_min, CAST(max(y2) AS DOUBLE) AS y_max, count(*) AS clockwise, round(sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) * 0 + greatest(sqrt((x2 - x1)^2 + ((y2 - y1) / 2.0)^2), sqrt(((x2 - x1) / 2.0)^2 + (y2 - y1)^2), sqrt((x2 - x1)^2 + (y2 - y1)^2))), 4) AS diameters FROM footprints GROUP BY source", "footprints"))
+@query(with_tables("SELECT source, round(sum((x2 - x1) * (y2 - y1) * 0.75), 6) AS area, round(sum(2.0 * (x2 - x1 + y2 - y1)), 6) AS perimeter, CAST(min(x1) AS DOUBLE) AS x_min, CAST(max(y2) AS DOUBLE) AS y_max, count(*) AS clockwise, round(sum(greatest(sqrt((x2 - x1)^2 + ((y2 - y1) / 2.0)^2), sqrt(((x2 - x1) / 2.0)^2 + (y2 - y1)^2), sqrt((x2 - x1)^2 + (y2 - y1)^2))), 4) AS diameters FROM footprints GROUP BY source", "footprints"))
 def ring_measures(t: Tables) -> DataFrame:
     """Area, perimeter, bounds, orientation and diameter of L-shapes turned clockwise."""
     rows = shapes(t).withColumn("ring", geo.oriented(F.col("ring"), clockwise=True)).withColumn("b", geo.bounds(F.array("ring")))
@@ -250,37 +250,52 @@ def points_in_shapes(t: Tables) -> DataFrame:
     return rows.groupBy((F.col("fid") % 3).alias("k")).agg(F.count("*").alias("inside"))
 
 
-@query(with_tables("SELECT source, count(*) * 6 AS vertices, round(sum(5 * 90.0 + 90.0), 6) AS angles, round(sum(2.0 * (x2 - x1 + y2 - y1)), 6) AS perimeter FROM footprints GROUP BY source", "footprints"))
+KITES = ("footprints", "kites")
+_CORNER = "FROM kites c JOIN kites p ON p.fid = c.fid AND p.pos = (c.pos + 3) % 4"
+
+
+def with_source(t: Tables, rows: DataFrame) -> DataFrame:
+    return rows.join(t.footprints().select(F.col("fid").alias("ring_id"), "source"), "ring_id")
+
+
+@query(with_tables(f"SELECT source, count(*) AS vertices, round(sum(angle), 5) AS angles, round(sum(angle * (pos + 1)), 5) AS weighed, round(sum(len), 5) AS perimeter FROM (SELECT c.source, c.pos, c.len, degrees(acos(((p.ax - p.cx) * (c.cx - c.ax) + (p.ay - p.cy) * (c.cy - c.ay)) / (p.len * c.len))) AS angle {_CORNER}) GROUP BY source", *KITES))
 def vertex_angles(t: Tables) -> DataFrame:
-    """Angles at the vertices of L-shapes (all right angles, the inner one too) and lengths along the ring."""
-    s = shapes(t).select("ring_id", "ring")
-    v = rings.vertex_angles(s)
+    """Angles at the vertices of irregular rings, by place, and lengths along the ring."""
+    s = t.kites().select("ring_id", "ring")
     e = rings.edge_table(s).groupBy("ring_id").agg(F.max(F.col("before") + F.col("len")).alias("p"))
-    rows = v.groupBy("ring_id").agg(F.count("*").alias("n"), F.sum("angle").alias("a")).join(e, "ring_id").join(t.footprints().select(F.col("fid").alias("ring_id"), "source"), "ring_id")
-    return rows.groupBy("source").agg(F.sum("n").alias("vertices"), R6(F.sum("a")).alias("angles"), R6(F.sum("p")).alias("perimeter"))
+    v = rings.vertex_angles(s).groupBy("ring_id").agg(F.count("*").alias("n"), F.sum("angle").alias("a"), F.sum(F.col("angle") * (F.col("pos") + 1)).alias("w"))
+    return with_source(t, v.join(e, "ring_id")).groupBy("source").agg(F.sum("n").alias("vertices"), R6(F.sum("a"), 5).alias("angles"), R6(F.sum("w"), 5).alias("weighed"), R6(F.sum("p"), 5).alias("perimeter"))
+
 
+_ALONG = "SELECT *, coalesce(sum(len) OVER (PARTITION BY fid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(len) OVER (PARTITION BY fid) AS per FROM kites"
 
-@query(with_tables("SELECT fid AS ring_id, CAST(greatest(8, least(20, round(2.0 * (x2 - x1 + y2 - y1) / 4))) AS BIGINT) AS points FROM footprints", "footprints"))
+
+@query(with_tables(f"SELECT fid AS ring_id, count(*) AS points, round(sum(ax + least(1, (spot - start) / len) * (cx - ax)), 5) AS x, round(sum((i + 1) * (ay + least(1, (spot - start) / len) * (cy - ay))), 5) AS y FROM (SELECT e.*, i, CASE WHEN i = n - 1 THEN 0 ELSE i / (n - 1) * per END AS spot FROM (SELECT *, greatest(8, least(20, CAST(round(per / 4) AS INT))) AS n FROM ({_ALONG})) e, unnest(range(0, n)) AS t(i)) WHERE spot >= start AND (spot < start + len OR pos = 3) GROUP BY fid", *KITES))
 def ring_resampling(t: Tables) -> DataFrame:
-    """Evenly spaced points: their number by ring."""
-    return rings.resampled(shapes(t).select("ring_id", "ring"), 4.0, 8, 20).groupBy("ring_id").agg(F.count("*").alias("points"))
+    """Evenly spaced points of irregular rings: their number, places and order."""
+    points = rings.resampled(t.kites().select("ring_id", "ring"), 4.0, 8, 20)
+    return points.groupBy("ring_id").agg(F.count("*").alias("points"), R6(F.sum("x"), 5).alias("x"), R6(F.sum((F.col("i") + 1) * F.col("y")), 5).alias("y"))
 
 
-@query(with_tables("SELECT source, CAST(sum(2 * ceil((x2 - x1) / 6.0) * 0 + ceil((x2 - x1) / 3.0) + 2 * ceil((x2 - x1) / 2.0 / 3.0) + 2 * ceil((y2 - y1) / 2.0 / 3.0) + ceil((y2 - y1) / 3.0)) AS BIGINT) AS points FROM footprints GROUP BY source", "footprints"))
+@query(with_tables("SELECT source, count(*) AS points, round(sum(ax + k / n * (cx - ax)), 4) AS x, round(sum((pos + 1) * (ay + k / n * (cy - ay))), 4) AS y FROM (SELECT *, greatest(1, CAST(ceil(len / 3.0) AS INT)) AS n FROM kites), unnest(range(0, n)) AS t(k) GROUP BY source", *KITES))
 def densified_rings(t: Tables) -> DataFrame:
-    dense = rings.densified(shapes(t).select("ring_id", "ring"), 3.0)
-    return dense.join(t.footprints().select(F.col("fid").alias("ring_id"), "source"), "ring_id").groupBy("source").agg(F.count("*").alias("points"))
+    """Edges of irregular rings cut into equal parts: the points' number and places."""
+    dense = rings.densified(t.kites().select("ring_id", "ring"), 3.0)
+    return with_source(t, dense).groupBy("source").agg(F.count("*").alias("points"), R6(F.sum("x"), 4).alias("x"), R6(F.sum((F.col("pos") + 1) * F.col("y")), 4).alias("y"))
+
+
+_T = "greatest(0, least(1, ((px - ax) * (cx - ax) + (py - ay) * (cy - ay)) / (len * len)))"
 
 
-@query(with_tables("SELECT fid AS ring_id, round(least((x2 - x1) / 4.0, (y2 - y1) / 4.0) * 0 + 1.0, 6) AS distance FROM footprints", "footprints"))
+@query(with_tables(f"SELECT fid AS ring_id, round(min(d), 6) AS distance, round(arg_min(x, (d, pos)), 6) AS x, round(arg_min(y, (d, pos)), 6) AS y FROM (SELECT fid, pos, x, y, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS d FROM (SELECT *, ax + {_T} * (cx - ax) AS x, ay + {_T} * (cy - ay) AS y FROM (SELECT k.*, x1 + f.fid % 9 - 2 AS px, y1 + f.fid % 11 - 3 AS py FROM kites k JOIN footprints f ON f.fid = k.fid))) GROUP BY fid", *KITES))
 def contour_projection(t: Tables) -> DataFrame:
-    """Points one metre below a shape's lower edge, moved to its contour."""
-    s = shapes(t)
-    points = s.select("ring_id", F.lit(0).alias("pid"), (F.col("x1") + 1.0).alias("px"), (F.col("y1") - 1.0).alias("py"))
-    return rings.projected(points, rings.edge_table(s.select("ring_id", "ring")), "ring_id").select("ring_id", R6(F.col("distance")).alias("distance"))
+    """Points around and inside irregular rings, moved to the nearest point of the contour."""
+    points = t.footprints().select(F.col("fid").alias("ring_id"), F.lit(0).alias("pid"), (F.col("x1") + F.col("fid") % 9 - 2).cast("double").alias("px"), (F.col("y1") + F.col("fid") % 11 - 3).cast("double").alias("py"))
+    found = rings.projected(points, rings.edge_table(t.kites().select("ring_id", "ring")), "ring_id")
+    return found.select("ring_id", R6(F.col("distance")).alias("distance"), R6(F.col("x")).alias("x"), R6(F.col("y")).alias("y"))
 
 
-@query(with_tables("SELECT fid AS ring_id, 6 AS places, round(6 * 0 + 3 * x1 + 2 * ((x1 + x2) / 2.0) * 0 + x2 * 2 + (x1 + x2) / 2.0 * 2 - x1, 6) AS sum_x FROM footprints", "footprints"))
+@query(with_tables("SELECT fid AS ring_id, 6 AS places, round(2 * x1 + 2 * x2 + (x1 + x2) / 2.0 * 2, 6) AS sum_x FROM footprints", "footprints"))
 def segment_round_trip(t: Tables) -> DataFrame:
     """Rings cut into overlapping runs and put together again."""
     e = rings.edge_table(shapes(t).select("ring_id", "ring"))
@@ -288,13 +303,22 @@ def segment_round_trip(t: Tables) -> DataFrame:
     return rings.assembled(parts).groupBy("ring_id").agg(F.count("*").cast("int").alias("places"), R6(F.sum("x")).alias("sum_x"))
 
 
-@query(with_tables("SELECT source, count(*) AS valid, CAST(count(*) * 7 AS BIGINT) AS points, count(*) * 7 AS cyclic_points FROM footprints GROUP BY source", "footprints"))
+_D = "CASE fid % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.05 ELSE 0.4 END"
+_MX, _MY = "(x1 + x2) / 2.0", "(y1 + y2) / 2.0"
+
+
+@query(with_tables(f"SELECT source, count(*) AS valid, CAST(sum(CASE WHEN fid % 3 = 2 THEN 13 ELSE 7 END) AS BIGINT) AS points, round(sum(3 * x1 + 2 * x2 + 2 * {_MX} + CASE WHEN fid % 3 = 2 THEN {_MX} + x2 + (x2 + {_MX}) / 2 + {_MX} + (x1 + {_MX}) / 2 + x1 + 6 * {_D} ELSE 0 END), 4) AS x, CAST(sum(CASE WHEN fid % 3 = 2 THEN 13 ELSE 7 END) AS BIGINT) AS cyclic_points, round(sum(2 * y1 + 2 * {_MY} + 2 * y2 + CASE WHEN fid % 3 = 2 THEN y1 + (y1 + {_MY}) / 2 + {_MY} + (y2 + {_MY}) / 2 + y2 + {_MY} + 6 * {_D} ELSE 0 END), 4) AS cyclic_y FROM footprints GROUP BY source", "footprints"))
 def simplified_shapes(t: Tables) -> DataFrame:
-    """L-shapes with every edge halved: both simplifications find the corners again, and the results are valid."""
-    halves = F.flatten(F.transform(geo.edges(F.col("ring")), lambda e: F.array(e["a"], geo.point((e["a"]["x"] + e["b"]["x"]) / 2, (e["a"]["y"] + e["b"]["y"]) / 2))))
+    """L-shapes with a point beside the middle of every edge, on it, near it or too far to be left out: both simplifications keep what they should, and the results are valid."""
+    d = F.expr(_D).cast("double")
+    halves = F.flatten(F.transform(geo.edges(F.col("ring")), lambda e: F.array(e["a"], geo.point((e["a"]["x"] + e["b"]["x"]) / 2 + d, (e["a"]["y"] + e["b"]["y"]) / 2 + d))))
     rows = shapes(t).withColumn("dense", F.array(F.concat(halves, F.array(F.col("ring")[0]))))
-    done = rows.select("source", polygons.simplified("dense", 0.01).alias("s"), polygons.simplified_cyclic("dense", 0.01).alias("c"))
-    return done.where(polygons.valid("s") & polygons.valid("c")).groupBy("source").agg(F.count("*").alias("valid"), F.sum(F.size(F.col("s")[0]).cast("long")).alias("points"), F.sum(F.size(F.col("c")[0]).cast("long")).alias("cyclic_points"))
+    done = rows.select("source", polygons.simplified("dense", 0.1).alias("s"), polygons.simplified_cyclic("dense", 0.2).alias("c"))
+    total = lambda c, k, open_: F.aggregate(F.slice(F.col(c)[0], 1, F.size(F.col(c)[0]) - open_), F.lit(0.0), lambda acc, p: acc + p[k])
+    # the cyclic one may begin anywhere, so its closing point is left out
+    return done.where(polygons.valid("s") & polygons.valid("c")).groupBy("source").agg(
+        F.count("*").alias("valid"), F.sum(F.size(F.col("s")[0]).cast("long")).alias("points"), R6(F.sum(total("s", "x", 0)), 4).alias("x"), F.sum(F.size(F.col("c")[0]).cast("long")).alias("cyclic_points"), R6(F.sum(total("c", "y", 1)), 4).alias("cyclic_y")
+    )
 
 
 # polygons all the way ---------------------------------------------------------------------------------------------

@@ -161,8 +161,8 @@ def test_max_tangent_angle(spark):
 def test_douglas_peucker_and_cyclic_keep_corners():
     p = np.array([(0, 0), (1, 0.01), (2, 0), (2, 2), (1, 2.01), (0, 2)], float)
     assert len(polygons.douglas_peucker(p, 0.1)) == 4
-    assert len(polygons.simplify_cyclic(p, 0.5)) == 4
-    assert len(polygons.simplify_cyclic(p[:3], 100)) == 3
+    assert polygons.simplify_cyclic(p[None], 0.5).sum() == 4
+    assert polygons.simplify_cyclic(p[None, :3], 100).sum() == 3
 
 
 @settings(max_examples=20, deadline=None)
@@ -236,3 +236,29 @@ def test_polygon_expressions_match_the_plain_ones(spark):
         assert x.m == polygons.meet(a, b)
         assert x.c == (polygons.shared_area(a, box) > 1e-12)
     assert 20 < sum(x.m for x in got) < 150
+
+
+def test_cyclic_simplification_finds_the_best_cycle():
+    """Against all sets of vertices through the start that is chosen."""
+    from itertools import combinations
+
+    r = np.random.default_rng(6)
+    rings_ = np.stack([np.cumsum(r.normal(size=(8, 2)), 0) for _ in range(12)])
+    n, cost = 8, 0.8
+
+    def total(p, chosen):
+        out = cost * len(chosen)
+        for i, j in zip(chosen, [*chosen[1:], chosen[0] + n], strict=True):
+            a, d = p[i], p[j % n] - p[i]
+            for k in range(i + 1, j):
+                v = p[k % n] - a
+                m = np.hypot(*d)
+                out += abs(d[0] * v[1] - d[1] * v[0]) / m if m else np.hypot(*v)
+        return out
+
+    for p, kept in zip(rings_, polygons.simplify_cyclic(rings_, cost), strict=True):
+        best = lambda start: min((list(c) for k in range(1, n) for c in combinations(range(n), k + 1) if start in c), key=lambda c: total(p, c))  # noqa: B023, E731
+        first = best(0)
+        again = best(first[len(first) // 2])
+        want = list(range(n)) if len(again) < 3 else again
+        assert total(p, np.flatnonzero(kept).tolist()) == pytest.approx(total(p, want))
