@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rooflines.llm.common import read, shared_dir
+from rooflines.llm.common import read, remove, shared_dir
 from rooflines.llm.decontaminate import drop_contaminated
 from rooflines.llm.jaccard import keep_one
 from rooflines.llm.line_dedup import drop_repeated_lines
@@ -46,10 +46,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result but the last is written to the shared folder and read again."""
+    """All stages over documents; each one's result but the last is written to the shared folder and read again.
+
+    A stage's table goes once the next one's is written; that of the last but one stays, as what is returned reads it.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
