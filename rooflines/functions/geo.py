@@ -255,6 +255,13 @@ def segments_cross(a: Column, b: Column, c: Column, d: Column) -> Column:
     return apart | on(a, b, c) | on(a, b, d) | on(c, d, a) | on(c, d, b)
 
 
+def segments_overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether the segments ab and cd lie on one line and share more than a point."""
+    turn = lambda r: (b["x"] - a["x"]) * (r["y"] - a["y"]) - (b["y"] - a["y"]) * (r["x"] - a["x"])
+    along = lambda r: (b["x"] - a["x"]) * (r["x"] - a["x"]) + (b["y"] - a["y"]) * (r["y"] - a["y"])
+    return (turn(c) == 0) & (turn(d) == 0) & (F.greatest(F.lit(0.0), F.least(along(c), along(d))) < F.least(along(b), F.greatest(along(c), along(d))))
+
+
 def line_meeting(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Where the lines through ab and cd meet; null if they are parallel."""
     rx, ry, sx, sy = b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"]
@@ -375,6 +382,18 @@ def split_at_180(b: Column) -> Column:
     return F.when(wraps, F.array(box(F.lit(-180.0), b["y1"], b["x1"], b["y2"]), box(b["x2"], b["y1"], F.lit(180.0), b["y2"]))).otherwise(F.array(b))
 
 
+def split_polygon_at_180(ring: Column) -> Column:
+    """array of one ring, or of the eastern and the western part of one that reaches from below -170 to above 170.
+
+    The eastern part takes the points of the west to the antimeridian's near side, and the western part those of the east.
+    """
+    b = bounds(F.array(ring))
+    wraps = (b["x1"] < -170) & (b["x2"] > 170)
+    east = F.transform(ring, lambda p: point(F.when(p["x"] < 0, F.least(p["x"] + 360, F.lit(180.0))).otherwise(p["x"]), p["y"]))
+    west = F.transform(ring, lambda p: point(F.when(p["x"] > 0, F.greatest(p["x"] - 360, F.lit(-180.0))).otherwise(p["x"]), p["y"]))
+    return F.when(wraps, F.array(east, west)).otherwise(F.array(ring))
+
+
 # values -----------------------------------------------------------------------------------------------------------
 
 

@@ -197,23 +197,21 @@ def components(pixels: DataFrame, side: int = 256) -> DataFrame:
     """
 
     def label(block: pd.DataFrame) -> pd.DataFrame:
-        place = {(r, c): i for i, (r, c) in enumerate(zip(block["row"], block["col"], strict=True))}
-        value = block["value"].to_numpy()
-        out = np.full(len(block), -1, "i8")
-        for i in np.lexsort((block["col"], block["row"])):
-            if out[i] >= 0:
-                continue
-            name = int(block["row"].iat[i]) * 2**32 + int(block["col"].iat[i])
-            stack, out[i] = [i], name
-            while stack:
-                k = stack.pop()
-                r, c = block["row"].iat[k], block["col"].iat[k]
-                for at in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
-                    j = place.get(at)
-                    if j is not None and out[j] < 0 and value[j] == value[k]:
-                        out[j] = name
-                        stack.append(j)
-        return block.assign(component=out)[["row", "col", "value", "component"]]
+        block = block.sort_values(["row", "col"])
+        r, c, value = (block[x].to_numpy() for x in ("row", "col", "value"))
+        place = np.full((int(r.max() - r.min()) + 1, int(c.max() - c.min()) + 1), -1)
+        place[r - r.min(), c - c.min()] = np.arange(len(r))
+        pairs = np.concatenate([np.stack([x.ravel(), y.ravel()]) for x, y in ((place[1:], place[:-1]), (place[:, 1:], place[:, :-1]))], 1)
+        a, b = pairs[:, (pairs >= 0).all(0)]
+        a, b = a[value[a] == value[b]], b[value[a] == value[b]]
+        root = np.arange(len(r))  # by place, so the least is the first
+        while (root[a] != root[b]).any():
+            least = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], least)
+            np.minimum.at(root, root[b], least)
+            while (root[root] != root).any():
+                root = root[root]
+        return block.assign(component=r[root] * 2**32 + c[root])[["row", "col", "value", "component"]]
 
     keyed = pixels.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"))
     marked = checkpointed(keyed.groupBy(F.floor(F.col("row") / side), F.floor(F.col("col") / side)).applyInPandas(lambda pdf: label(pdf), "row long, col long, value double, component long"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .raster import checkpointed
+
 
 def ratio_rollup(df: DataFrame, group: str, top: str, bottom: str) -> DataFrame:
     """Sums by group and over all (group total) with the ratio of the sums, not the mean of ratios."""
@@ -33,22 +36,44 @@ def fitted(df: DataFrame, fits: DataFrame, x: str, group: str | None = None) ->
     return both.withColumn("fitted", F.col("intercept") + F.col("slope") * F.col(x))
 
 
-def average_rank(value: str, *partition: str) -> Column:
-    """Rank from 1; equal values share the mean of their ranks."""
-    w = Window.partitionBy(*partition)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2
+def _same(a: DataFrame, b: DataFrame, cols: tuple[str, ...]) -> Column:
+    return reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in cols], F.lit(True))
+
+
+def value_places(df: DataFrame, value: str, *partition: str) -> DataFrame:
+    """partition, value, __k (rows with it), __first (the first one's place from 0 in the partition's order) and __n (the partition's rows).
+
+    Equal values are counted before they are shuffled, and the values are dealt out by range: a large partition is a slice in each of
+    many tasks. Counts run within a slice and are put together by a table of one row for each slice.
+    """
+    counts = df.groupBy(*partition, value).agg(F.count("*").alias("__k"))
+    dealt = checkpointed(counts.repartitionByRange(*partition, value).withColumn("__p", F.spark_partition_id()))
+    upto = Window.partitionBy("__p", *partition).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = dealt.withColumn("__upto", F.sum("__k").over(upto))
+    slices = dealt.groupBy("__p", *partition).agg(F.sum("__k").alias("__s"))
+    before = Window.partitionBy(*partition).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.select("__p", *partition, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__from"), F.sum("__s").over(Window.partitionBy(*partition)).alias("__n"))
+    both = local.join(starts, _same(local, starts, ("__p", *partition))).drop(*(starts[c] for c in ("__p", *partition)))
+    return both.select(*partition, value, "__k", (F.col("__from") + F.col("__upto") - F.col("__k")).alias("__first"), "__n")
 
 
 def ranks(df: DataFrame, value: str, alias: str, *partition: str) -> DataFrame:
-    """df with average ranks without gathering all rows in one task: counts of distinct values are ranked, then joined back."""
-    counts = df.groupBy(*partition, value).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*partition).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn(alias, F.coalesce(before, F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-    on = [df[c].eqNullSafe(ranked[c]) for c in (*partition, value)]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return df.join(ranked, cond).drop(*(ranked[c] for c in (*partition, value)))
+    """df with ranks from 1; equal values share the mean of their ranks."""
+    ranked = value_places(df, value, *partition).select(*partition, value, (F.col("__first") + (F.col("__k") + 1) / 2).alias(alias))
+    return df.join(ranked, _same(df, ranked, (*partition, value))).drop(*(ranked[c] for c in (*partition, value)))
+
+
+def percentiles(df: DataFrame, value: str, at: list[float], *partition: str) -> DataFrame:
+    """partition and p: array<double>, value's percentiles (0 to 1) with linear interpolation, nulls left out; no row where there are none."""
+    rows = value_places(df.where(F.col(value).isNotNull()).select(*partition, F.col(value).cast("double").alias(value)), value, *partition)
+    place = lambda q: q * (F.col("__n") - 1)
+    holds = lambda x: (x >= F.col("__first")) & (x < F.col("__first") + F.col("__k"))
+    marks = F.transform(F.array(*map(F.lit, at)), lambda q, i: F.struct(i.alias("i"), (place(q) - F.floor(place(q))).alias("part"), holds(F.floor(place(q))).alias("low"), holds(F.ceil(place(q))).alias("high")))
+    # of all values only those at the wanted places go on
+    found = rows.withColumn("__m", F.explode(F.filter(marks, lambda m: m["low"] | m["high"])))
+    end = lambda side: F.max(F.when(F.col("__m")[side], F.col(value)))
+    each = found.groupBy(*partition, F.col("__m.i").alias("__i")).agg((end("low") + (end("high") - end("low")) * F.max("__m.part")).alias("__v"))
+    return each.groupBy(*partition).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]).alias("p"))
 
 
 def spearman(df: DataFrame, x: str, y: str, *partition: str) -> DataFrame:
@@ -59,7 +84,8 @@ def spearman(df: DataFrame, x: str, y: str, *partition: str) -> DataFrame:
 def equalised_edges(df: DataFrame, value: str, n: int) -> DataFrame:
     """One row, edges: percentiles 30 + 70 (1 - (1 - x)^2.5) for n+1 even steps x, each once; [0, 1] where there are no values."""
     at = [min(1.0, (30 + 70 * (1 - (1 - i / n) ** 2.5)) / 100) for i in range(n + 1)]
-    return df.agg(F.coalesce(F.array_distinct(F.percentile(value, F.array(*map(F.lit, at)))), F.array(F.lit(0.0), F.lit(1.0))).alias("edges"))
+    # grouped by nothing there is one row at most; the outer aggregate makes it one in any case
+    return percentiles(df, value, at).agg(F.coalesce(F.array_distinct(F.first("p")), F.array(F.lit(0.0), F.lit(1.0))).alias("edges"))
 
 
 def density(df: DataFrame, x: str, y: str, cell: float = 0.05) -> DataFrame:
@@ -153,7 +179,7 @@ def contribution(df: DataFrame, row: str, column: str, value: str, columns: list
 
 def histogram(df: DataFrame, value: str, bins: int = 25, upto: float = 0.99) -> DataFrame:
     """Counts in even bins from 0 to the upto-percentile, and one bin for what lies above."""
-    top = df.agg(F.percentile(value, F.lit(upto)).alias("__top"))
+    top = percentiles(df, value, [upto]).agg(F.first(F.col("p")[0]).alias("__top"))
     at = F.when(F.col(value) > F.col("__top"), bins).otherwise(F.least(F.lit(bins - 1), F.floor(F.col(value) / F.nullif(F.col("__top"), F.lit(0.0)) * bins)))
     return df.crossJoin(F.broadcast(top)).withColumn("bin", F.coalesce(at, F.lit(0)).cast("int")).drop("__top")
 

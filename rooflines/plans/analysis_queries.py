@@ -52,13 +52,13 @@ def spearman_rho(t: Tables) -> DataFrame:
 def combined_correlation(t: Tables) -> DataFrame:
     """The mean of Pearson's and Spearman's coefficient."""
     rows = t.customer.select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 7).alias("y"))
-    ranked = rows.withColumn("a", stats.average_rank("x", "nation")).withColumn("b", stats.average_rank("y", "nation"))
+    ranked = stats.ranks(stats.ranks(rows, "x", "a", "nation"), "y", "b", "nation")
     return ranked.groupBy("nation").agg(R6((F.corr("a", "b") + F.corr("x", "y")) / 2).alias("combined"))
 
 
 @query("SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.005), 6) AS p005, round(quantile_cont(l_extendedprice, 0.98), 6) AS p98, round(quantile_cont(l_extendedprice, 0.995), 6) AS p995 FROM lineitem GROUP BY 1")
 def price_percentiles(t: Tables) -> DataFrame:
-    p = t.lineitem.groupBy(F.col("l_returnflag").alias("flag")).agg(F.percentile("l_extendedprice", F.array(F.lit(0.005), F.lit(0.98), F.lit(0.995))).alias("p"))
+    p = stats.percentiles(t.lineitem.select(F.col("l_returnflag").alias("flag"), "l_extendedprice"), "l_extendedprice", [0.005, 0.98, 0.995], "flag")
     return p.select("flag", *(R6(F.col("p")[i]).alias(n) for i, n in enumerate(("p005", "p98", "p995"))))
 
 

@@ -396,3 +396,27 @@ def rasterised_shapes(t: Tables) -> DataFrame:
     from ..operators import raster
 
     return raster.rasterised(lshaped_houses(t).withColumn("value", F.col("fid") % 60), "value", 10.0)
+
+
+_WRAP = "[-170 - fid % 9, 170 + fid % 8, 170 + fid % 7, -170 - fid % 10]"
+
+
+@query(with_tables(f"SELECT fid, CASE WHEN w THEN 2 ELSE 1 END AS parts, round(list_sum(CASE WHEN w THEN list_transform(xs, lambda x: CASE WHEN x < 0 THEN least(x + 360, 180) ELSE x END) ELSE xs END), 6) AS east, round(CASE WHEN w THEN list_sum(list_transform(xs, lambda x: CASE WHEN x > 0 THEN greatest(x - 360, -180) ELSE x END)) END, 6) AS west FROM (SELECT fid, xs, list_min(xs) < -170 AND list_max(xs) > 170 AS w FROM (SELECT fid, CAST(CASE WHEN fid % 3 = 0 THEN {_WRAP} ELSE [x1 / 100.0, x2 / 100.0, x2 / 100.0, x1 / 100.0] END AS DOUBLE[]) AS xs FROM footprints))", "footprints"))
+def antimeridian_polygons(t: Tables) -> DataFrame:
+    """Rings that reach over the antimeridian in two parts; the sum of the longitudes of each part's corners."""
+    corners = [(-170 - F.col("fid") % 9, F.col("x1") / 100), (170 + F.col("fid") % 8, F.col("x2") / 100), (170 + F.col("fid") % 7, F.col("x2") / 100), (-170 - F.col("fid") % 10, F.col("x1") / 100)]
+    points = [geo.point(F.when(F.col("fid") % 3 == 0, wrap).otherwise(x), F.col(y) / 100) for (wrap, x), y in zip(corners, ("y1", "y1", "y2", "y2"), strict=True)]
+    rows = t.footprints().select("fid", geo.split_polygon_at_180(F.array(*points, points[0])).alias("parts"))
+    total = lambda i: F.aggregate(F.slice(F.get("parts", i), 1, 4), F.lit(0.0), lambda acc, p: acc + p["x"])
+    return rows.select("fid", F.size("parts").alias("parts"), R6(total(0)).alias("east"), R6(total(1)).alias("west"))
+
+
+_CX, _CY = "x1 + fid % 41 - 6", "y1 + (fid % 2) * (fid % 3)"
+
+
+@query(with_tables(f"SELECT source, count(*) FILTER ({_CY} = y1 AND greatest(x1, {_CX}) < least(x2, {_CX} + 4)) AS overlapping, count(*) FILTER ({_CY} = y1 AND greatest(x1, {_CX}) <= least(x2, {_CX} + 4)) AS meeting FROM footprints GROUP BY source", "footprints"))
+def overlapping_edges(t: Tables) -> DataFrame:
+    """Lower edges of boxes and segments beside, on or partly on them: which share a stretch, and which at least a point."""
+    b, x, y = F.col("lbox"), F.expr(_CX), F.expr(_CY)
+    ends = geo.point(b["x1"], b["y1"]), geo.point(b["x2"], b["y1"]), geo.point(x + 4, y), geo.point(x, y)
+    return t.footprints().groupBy("source").agg(F.count_if(geo.segments_overlap(*ends)).alias("overlapping"), F.count_if(geo.segments_cross(*ends)).alias("meeting"))

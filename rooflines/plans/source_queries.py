@@ -446,3 +446,16 @@ def rings_in_a_window(t: Tables) -> DataFrame:
     ring = F.col("geom")[0][0]
     rows = multi(t).select("source", geo.all_points_inside(ring, w).alias("whole"), geo.any_point_inside(ring, w).alias("some"), geo.moved(F.array(ring), F.lit(1), F.lit(0), F.lit(-1000), F.lit(0), F.lit(1), F.lit(-1000))[0][0]["x"].alias("x"))
     return rows.groupBy("source").agg(F.count_if("whole").alias("whole"), F.count_if("some").alias("some"), R6(F.sum(F.when(F.col("whole"), F.col("x")).otherwise(0.0))).alias("x"))
+
+
+@query(with_tables("SELECT source, count(*) AS n, CAST(sum(fid) AS BIGINT) AS keys FROM footprints WHERE x1 <= 2300 AND x2 >= 1200 AND y1 <= 1700 AND y2 >= 900 GROUP BY source", "footprints"))
+def source_lookup(t: Tables) -> DataFrame:
+    """Of a table by strips only those that a box can meet are read; then what meets it counts."""
+
+    def job(folder: str) -> DataFrame:
+        t.footprints().select("fid", "source", "lbox", F.floor(F.col("x1") / 500).alias("strip")).write.partitionBy("strip").parquet(folder)
+        box = geo.box(F.lit(1200), F.lit(900), F.lit(2300), F.lit(1700))
+        near = t.spark.read.parquet(folder).where(F.col("strip").between((1200 - 30) // 500, 2300 // 500))  # boxes are less than 30 wide
+        return near.where(geo.boxes_meet(F.col("lbox"), box)).groupBy("source").agg(F.count("*").alias("n"), F.sum("fid").alias("keys"))
+
+    return through_folder(t.spark, job)

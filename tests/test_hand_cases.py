@@ -262,3 +262,35 @@ def test_cyclic_simplification_finds_the_best_cycle():
         again = best(first[len(first) // 2])
         want = list(range(n)) if len(again) < 3 else again
         assert total(p, np.flatnonzero(kept).tolist()) == pytest.approx(total(p, want))
+
+
+def test_components_of_a_random_mask_are_those_of_a_flood(spark):
+    r = np.random.default_rng(9)
+    px = {(i, j): int(r.integers(0, 2)) for i in range(17) for j in range(19) if r.random() < 0.95}
+    name = {}
+    for start in sorted(px):
+        if start not in name:
+            stack, name[start] = [start], start
+            while stack:
+                i, j = stack.pop()
+                for at in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+                    if at in px and at not in name and px[at] == px[i, j]:
+                        name[at] = start
+                        stack.append(at)
+    df = spark.createDataFrame([(*k, v) for k, v in px.items()], "row int, col int, value int")
+    got = {(x.row, x.col): (x.component >> 32, x.component & 0xFFFFFFFF) for x in raster.components(df, side=5).collect()}
+    assert got == name
+
+
+def test_percentiles_and_ranks_with_ties_and_nulls(spark):
+    r = np.random.default_rng(3)
+    rows = [(g, None if r.random() < 0.1 else float(r.integers(0, 9) if g == "ties" else r.normal())) for g in ("ties", "all") for _ in range(301)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    at = [0.0, 0.005, 0.5, 0.98, 1.0]
+    got = {x.g: list(x.p) for x in stats.percentiles(df, "v", at, "g").collect()}
+    of = {g: [v for h, v in rows if h == g and v is not None] for g in ("ties", "all", "one")}
+    assert set(got) == set(of) and all(got[g] == pytest.approx(np.percentile(v, [100 * q for q in at])) for g, v in of.items())
+    assert stats.percentiles(df.where("v is null"), "v", at).count() == 0
+    ranked = stats.ranks(df.where("v is not null"), "v", "rk", "g").collect()
+    for g, v in of.items():
+        assert sorted(x.rk for x in ranked if x.g == g) == pytest.approx(sorted(pd.Series(v).rank()))
