@@ -73,7 +73,7 @@ def percentiles(df: DataFrame, value: str, at: list[float], *partition: str) ->
     found = rows.withColumn("__m", F.explode(F.filter(marks, lambda m: m["low"] | m["high"])))
     end = lambda side: F.max(F.when(F.col("__m")[side], F.col(value)))
     each = found.groupBy(*partition, F.col("__m.i").alias("__i")).agg((end("low") + (end("high") - end("low")) * F.max("__m.part")).alias("__v"))
-    return each.groupBy(*partition).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]).alias("p"))
+    return each.groupBy(*partition).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]).alias("p")).where(F.size("p") > 0)
 
 
 def spearman(df: DataFrame, x: str, y: str, *partition: str) -> DataFrame:
