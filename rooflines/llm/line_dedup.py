@@ -7,7 +7,8 @@ partition; a stream over it passes each hash's first document and marks the line
 already travel under a hash of their document, so they spread evenly. Per document the marks are packed into a
 zlib-compressed bitmap of the lines to keep. Texts are not shuffled for this; `apply_keep` joins the bitmaps to them.
 
-Defined cases: null or empty text is one empty line; a null doc_id ranks after all others and stands for one document;
+Defined cases: null or empty text is one empty line; a null doc_id ranks after all others and stands for one document
+(2^63-1, the largest id there is, isn't told from it);
 rows with the same doc_id count as one document, each gets the bitmap of its own text; an empty table gives no rows;
 extra columns are ignored (`apply_keep` hands them on).
 """

@@ -42,8 +42,8 @@ MOST_ROWS, FOLDS = 4000, 3
 ORDER, DISCOUNT, LEAST, PEAK, THRESHOLD = 5, 0.75, 3, 3, 0.3
 #: A-Z to a-z; digits and ASCII signs to a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: A task's tables of counts are written out and begun anew at so many words; of the words' scores so many are kept.
-MOST_HELD = 100_000
+#: A task's tables of counts are written out and begun anew at so many words; of its words' scores so many are kept.
+MOST_HELD, MOST_KNOWN = 100_000, 300_000
 SCORED = "n_words long, difference double, letters double, peak double, score double"
 
 
@@ -63,7 +63,11 @@ def held_out(doc_id: Column) -> Column:
 
 def held_words(text: Column) -> Column:
     """The same words as an array of strings."""
-    return F.filter(F.split(ascii_lower(text), "[\\x00-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
+    return F.filter(_split(text), lambda w: w != "")
+
+
+def _split(text: Column) -> Column:
+    return F.split(ascii_lower(text), "[\\x00-\\x60\\x7B-\\x7F]+")
 
 
 @tidy
@@ -91,7 +95,7 @@ def _grams_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def word_counts(docs: DataFrame, *keys: str) -> DataFrame:
     """keys, word, n: how often each word stands in the texts."""
-    return docs.select(*keys, F.explode(held_words(F.col("text"))).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    return docs.select(*keys, F.explode(_split(F.col("text"))).alias("word")).where("word <> ''").groupBy(*keys, "word").agg(F.count("*").alias("n"))
 
 
 def corpus_grams(docs: DataFrame) -> DataFrame:
@@ -291,7 +295,7 @@ class Model:
                 x = self.word(w)
                 alone = self.words.get(w)
                 of_word = x, (self.unseen + x if alone is None else alone) + self.after.get(w, 0.0)
-                if len(known) < MOST_HELD:  # what is met often is met early
+                if len(known) < MOST_KNOWN:  # what is met often is met early
                     known[w] = of_word
             x, y = of_word
             apart.append(x)
