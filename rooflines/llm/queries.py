@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, line_dedup, media, mixing, pii, secrets, toxicity, url_filter, warc
+from . import audit, decontaminate, jaccard, line_dedup, media, mixing, pii, secrets, sharding, toxicity, url_filter, warc, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_pii_pseudonyms": pii.op10_pii_pseudonyms,
+        "op11_filter_audit": audit.op11_filter_audit,
+        "op12_interleaved_shards": sharding.op12_interleaved_shards,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**secrets.ORACLES, **line_dedup.ORACLES, **mixing.ORACLES, **warc.ORACLES, **url_filter.ORACLES, **decontaminate.ORACLES, **jaccard.ORACLES}
+    return {**secrets.ORACLES, **line_dedup.ORACLES, **mixing.ORACLES, **warc.ORACLES, **url_filter.ORACLES, **decontaminate.ORACLES, **jaccard.ORACLES, **audit.ORACLES, **sharding.ORACLES}

@@ -883,4 +883,4 @@ def test_secrets_odd_rows(spark):
 
 def test_every_query_is_registered():
     names = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()}
-    assert names == set(range(1, 11)) and json.dumps(sorted(queries.oracle_sql()))
+    assert names == set(range(1, 14)) and json.dumps(sorted(queries.oracle_sql()))
