@@ -185,10 +185,22 @@ def _all_edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, edges))
 
 
+def edge_nears_box(e: Column, b: Column) -> Column:
+    """Whether an edge's own box meets another box; edges that don't can't meet what lies in it."""
+    p, q = e["a"], e["b"]
+    return (F.least(p["x"], q["x"]) <= b["x2"]) & (F.greatest(p["x"], q["x"]) >= b["x1"]) & (F.least(p["y"], q["y"]) <= b["y2"]) & (F.greatest(p["y"], q["y"]) >= b["y1"])
+
+
 def polygons_meet(a: Column, b: Column) -> Column:
     """Whether two polygons have a point in common, touching included: edges that meet, or one inside the other."""
     inside = lambda p, q: covers_point(p, q[0][0]["x"], q[0][0]["y"])
-    return F.exists(_all_edges(a), lambda e: F.exists(_all_edges(b), lambda f: segments_cross(e["a"], e["b"], f["a"], f["b"]))) | inside(a, b) | inside(b, a)
+
+    def crossing() -> Column:
+        near = lambda rings, other: F.filter(_all_edges(rings), lambda e: edge_nears_box(e, other))
+        both = F.struct(near(a, bounds(b)).alias("a"), near(b, bounds(a)).alias("b"))
+        return F.exists(F.array(both), lambda s: F.exists(s["a"], lambda e: F.exists(s["b"], lambda f: segments_cross(e["a"], e["b"], f["a"], f["b"]))))
+
+    return crossing() | inside(a, b) | inside(b, a)
 
 
 def polygon_shared_area(a: Column, b: Column) -> Column:
@@ -221,8 +233,11 @@ def polygon_shared_area(a: Column, b: Column) -> Column:
         mean = F.when(d0 * d1 < 0, (m0 + middle) / 2 * t + (middle + m1) / 2 * (1 - t)).otherwise((m0 + m1) / 2)
         return F.when(low < high, e["sign"] * f["sign"] * mean * (high - low)).otherwise(0.0)
 
-    inner = lambda e: F.aggregate(spans(b), F.lit(0.0), lambda acc, f: acc + both(e, f))
-    return F.greatest(F.lit(0.0), F.aggregate(spans(a), F.lit(0.0), lambda acc, e: acc + inner(e)))
+    # each side's spans are worked out once, not again for every edge of the other
+    sides = F.array(F.struct(spans(a).alias("a"), spans(b).alias("b")))
+    inner = lambda s, e: F.aggregate(s["b"], F.lit(0.0), lambda acc, f: acc + both(e, f))
+    total = F.transform(sides, lambda s: F.aggregate(s["a"], F.lit(0.0), lambda acc, e: acc + inner(s, e)))[0]
+    return F.greatest(F.lit(0.0), total)
 
 
 def polygon_crosses_box(rings: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .raster import checkpointed
-from .spatial import grid_join, refined
+from .spatial import cut_polygons, grid_join, polygon_join, refined
 
 #: The candidates in the order that settles ties.
 CANDIDATES = ["ms", "osm", "ours2", "google"]
@@ -29,12 +29,15 @@ def area(footprints: DataFrame) -> Column:
 def crop(footprints: DataFrame, districts: DataFrame, side: float, keep_outside: bool = False) -> DataFrame:
     """A row for each footprint and district that meet, so a footprint on a border comes more than once.
 
-    keep_outside: footprints without a district form the district NO_DISTRICT.
+    keep_outside: footprints without a district form the district NO_DISTRICT. Districts' polygons are cut to cells once, and only cells are
+    joined; footprints are told apart by source and fid there. A district's other columns are the same in all its rows.
     """
-    pairs = grid_join(footprints, districts, side)
     if exact(footprints) and "rrings" in districts.columns:
-        pairs = refined(pairs, "rings", "rrings")
-    pairs = pairs.drop("rbox", "rrings")
+        cells = cut_polygons(districts.select(F.col("roi_id").alias("pid"), F.col("rrings").alias("rings")), side)
+        met = polygon_join(footprints, cells, side).withColumnRenamed("pid", "roi_id")
+        pairs = met.dropDuplicates(["source", "fid", "roi_id"]).join(districts.drop("rbox", "rrings").distinct(), "roi_id")
+    else:
+        pairs = grid_join(footprints, districts, side).drop("rbox", "rrings")
     if not keep_outside:
         return pairs
     ids = pairs.select("fid").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, polygons
@@ -191,8 +191,8 @@ def lod1_missing_raster(t: Tables) -> DataFrame:
 @query(with_tables("SELECT c.cx, c.cy, count(*) AS features FROM houses, LATERAL unnest(range(CAST(floor(x1 / 200.0) AS BIGINT), CAST(floor(x2 / 200.0) AS BIGINT) + 1)) AS a(cx), LATERAL unnest(range(CAST(floor(y1 / 200.0) AS BIGINT), CAST(floor(y2 / 200.0) AS BIGINT) + 1)) AS b(cy), LATERAL (SELECT cx, cy) c GROUP BY ALL", "houses"))
 def footprint_cells(t: Tables) -> DataFrame:
     """A footprint on a cell's edge belongs to every cell it touches."""
-    rows = t.houses().select("fid", F.explode(spatial.cells(F.col("lbox"), 200.0)).alias("c"))
-    return rows.groupBy("c.cx", "c.cy").agg(F.count("*").alias("features"))
+    rows = spatial.with_cells(t.houses(), "lbox", 200.0)
+    return rows.groupBy("cx", "cy").agg(F.count("*").alias("features"))
 
 
 # geometry ---------------------------------------------------------------------------------------------------------
@@ -341,6 +341,27 @@ def shape_crop(t: Tables) -> DataFrame:
     return fusion.crop(left, t.districts().withColumn("rrings", F.array(geo.ring_of_box(F.col("rbox")))), SIDE)
 
 
+#: Half the width of a diamond of 2,560 points a side, so that no coordinate is rounded.
+REACH, STEPS = 640, 2560
+
+
+@query(with_tables(f"SELECT roi_id, region, source, count(*) AS features, CAST(sum(fid) AS BIGINT) AS fids FROM footprints f JOIN districts d ON greatest(0, x1 - rx1 - 500, rx1 + 500 - x2) + greatest(0, y1 - ry1 - 500, ry1 + 500 - y2) <= {REACH} GROUP BY ALL", *FUSION[:2]))
+def diamond_districts(t: Tables) -> DataFrame:
+    """Footprints cropped to districts of 10,240 points each, as boxes' polygons; touching counts."""
+    x, y = F.col("rbox.x1") + 500, F.col("rbox.y1") + 500
+    steps = F.sequence(F.lit(0), F.lit(STEPS - 1))
+    corners = [(1, 0), (0, 1), (-1, 0), (0, -1)]
+
+    def along(p: tuple[int, int], q: tuple[int, int]) -> Column:
+        return F.transform(steps, lambda i: geo.point(x + (p[0] * (STEPS - i) + q[0] * i) * REACH / STEPS, y + (p[1] * (STEPS - i) + q[1] * i) * REACH / STEPS))
+
+    sides = [along(p, q) for p, q in zip(corners, [*corners[1:], corners[0]], strict=True)]
+    ring = F.concat(*sides, F.array(geo.point(x + REACH, y)))
+    districts = t.districts().select("roi_id", "region", F.array(ring).alias("rrings"))
+    rows = t.footprints().withColumn("rings", F.array(geo.ring_of_box(F.col("lbox"))))
+    return fusion.crop(rows, districts, SIDE).groupBy("roi_id", "region", "source").agg(F.count("*").alias("features"), F.sum("fid").alias("fids"))
+
+
 def _shapes_sql(sql: str) -> str:
     head, _, tail = with_tables(sql, "footprints", "districts").rpartition("\n" + sql)
     return f"{head},\n{_SHAPES}\n{sql}{tail}"
