@@ -6,7 +6,7 @@ whose freed part goes to its model of letters. That predicts a letter from the O
 by marks at their ends, and what its discounts free goes to backoff counts that both classes share: in how many contexts
 shorter runs of letters stand in the whole corpus (Kneser-Ney continuation counts, level by level). So an expression
 that a class has rarely or never seen differs little between the models, and one that toxic documents repeat differs
-much, in any of its forms. Words and pairs that a class has fewer than LEAST times count by what they are made of.
+much, in any of its forms. Every word and pair of the sample counts, those that a class has once too.
 
 A document's two log-likelihoods are compared for a word, that is, normalised by length: of its expressions (words after
 words), of its words' letters, and of the letters of its PEAK strongest distinct words, so that a few toxic words in a
@@ -16,7 +16,8 @@ is scored by models that weren't counted on it), gives the score.
 Corpus counts cover all documents and all their words, rare ones too. Spark counts the distinct words and what stands in
 them. The classes' counts and the curve come from a bounded sample of labelled rows: MOST_ROWS for each class, in the
 order of a hash of the id. Of the corpus counts those are collected that the sample's grams fall back on, and no others
-are needed: what is collected and broadcast grows with the sample's text, not with the corpus.
+are needed: what is collected and broadcast grows with the sample's text, not with the corpus. Pairs are known by the
+64-bit hashes of their words and lie in sorted arrays; a text's words are looked up once each and its pairs all at once.
 
 Defined cases: null or empty text has no words and all differences are 0; a null doc_id is never held out; rows that
 are the same score the same; without toxic or without ordinary labels every score is 0 and nothing is predicted toxic;
@@ -25,7 +26,6 @@ an empty table gives no rows; extra columns are ignored; of several labels of an
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -33,16 +33,17 @@ from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, read, tidy
 
 MOST_ROWS, FOLDS = 4000, 3
-ORDER, DISCOUNT, LEAST, PEAK, THRESHOLD = 5, 0.75, 3, 3, 0.3
+ORDER, DISCOUNT, PEAK, THRESHOLD = 5, 0.75, 3, 0.3
 #: A-Z to a-z; digits and ASCII signs to a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: A task's tables of counts are written out and begun anew at so many words; of its words' scores so many are kept.
+#: A task's tables of counts are written out and begun anew at so many words, those of its words' scores beyond so many.
 MOST_HELD, MOST_KNOWN = 100_000, 300_000
 SCORED = "n_words long, difference double, letters double, peak double, score double"
 
@@ -103,33 +104,62 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
     return word_counts(docs).mapInArrow(_grams_of_words, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(rows: DataFrame) -> DataFrame:
-    """toxic, fold, phrase, n: words and pairs of words (a blank between them) that a class has at least LEAST times; phrase null: all words."""
-    of = lambda words_: F.concat(words_, F.zip_with(F.slice(words_, 1, F.greatest(F.size(words_) - 1, F.lit(0))), F.slice(words_, 2, F.size(words_)), lambda a, b: F.concat_ws(" ", a, b)))
-    found = rows.select("toxic", "fold", held_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    counted = found.select("toxic", "fold", F.explode(of(F.col("w"))).alias("phrase")).groupBy("toxic", "phrase").pivot("fold", list(range(FOLDS))).count().fillna(0)
-    enough = counted.where(sum(F.col(str(f)) for f in range(FOLDS)) >= LEAST)
-    by_fold = enough.select("toxic", "phrase", F.explode(F.array(*(F.struct(F.lit(f).alias("fold"), F.col(str(f)).alias("n")) for f in range(FOLDS)))).alias("x"))
-    return by_fold.select("toxic", "x.fold", "phrase", "x.n").where("n > 0").union(found.groupBy("toxic", "fold").agg(F.lit(None).cast("string"), F.sum(F.size("w").cast("long"))))
+@tidy
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat = np.concatenate([batch.column(c).to_numpy() for c in ("before", "word")] + [batch.column("n").flatten().to_numpy()])
+        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["packed"])
+
+
+class Pairs:
+    """Counts of a sample's pairs of words, held once: the hashes of both words, and a count for each class and fold."""
+
+    def __init__(self, rows: DataFrame):
+        found = rows.select("toxic", "fold", F.transform(held_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") > 1)
+        pairs = found.select("toxic", "fold", F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("before"), F.slice("w", 2, F.size("w")).alias("word"))).alias("p"))
+        counted = pairs.groupBy(F.col("p.before").alias("before"), F.col("p.word").alias("word")).agg(F.array(*_cells(F.lit(1))).alias("n"))
+        parts = [np.frombuffer(bytes(r.packed), "i8") for r in cut(counted.mapInArrow(_packed, "packed binary")).toLocalIterator()]
+        each = 2 + 2 * FOLDS
+        rows_of = [len(p) // each for p in parts]
+        join = lambda xs, kind: np.concatenate([*xs, np.zeros(0, kind)]).astype(kind)
+        self.before = join([p[:n] for p, n in zip(parts, rows_of, strict=True)], "i8")
+        self.word = join([p[n : 2 * n] for p, n in zip(parts, rows_of, strict=True)], "i8")
+        self.counts = join([p[2 * n :].astype("i4") for p, n in zip(parts, rows_of, strict=True)], "i4").reshape(-1, 2, FOLDS)
+
+    def of(self, toxic: int, but: int | None = None) -> np.ndarray:
+        return self.counts[:, toxic].sum(1) - (0 if but is None else self.counts[:, toxic, but])
+
+
+def hashed(word: bytes) -> int:
+    """As Spark's xxhash64 of the word."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return np.left_shift(word, 1) ^ before
+
+
+def _cells(n: Column) -> list[Column]:
+    return [F.coalesce(F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), n)), F.lit(0)).cast("long") for c in (0, 1) for f in range(FOLDS)]
 
 
 class Table:
-    """Counts of a sample's grams or phrases, held once, with a column for each class and fold."""
+    """Counts of a sample's grams or words, held once, with a column for each class and fold."""
 
     def __init__(self, counted: DataFrame, key: str):
-        cells = [F.coalesce(F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n"))), F.lit(0)) for c in (0, 1) for f in range(FOLDS)]
-        rows = counted.groupBy(key).agg(F.array(*cells).alias("n")).select(F.col(key).cast("binary").alias(key), "n")
-        self.keys: list[bytes | None] = []
+        rows = counted.groupBy(key).agg(F.array(*_cells(F.col("n"))).alias("n")).select(F.col(key).cast("binary").alias(key), "n")
+        self.keys: list[bytes] = []
         found = []
         for k, n in cut(rows).toLocalIterator():
-            self.keys.append(None if k is None else bytes(k))
+            self.keys.append(bytes(k))
             found.append(np.array(n, "i8"))
         self.counts = np.stack(found).reshape(-1, 2, FOLDS) if found else np.zeros((0, 2, FOLDS), "i8")
 
-    def of(self, toxic: int, but: int | None = None, least: int = 1) -> Counter:
-        """A class's counts of all folds but one, of what it has at least so often there."""
+    def of(self, toxic: int, but: int | None = None) -> Counter:
+        """A class's counts of all folds but one, of what it has there."""
         n = self.counts[:, toxic].sum(1) - (0 if but is None else self.counts[:, toxic, but])
-        return Counter({self.keys[i]: int(n[i]) for i in np.flatnonzero(n) if n[i] >= least or self.keys[i] is None})
+        return Counter({self.keys[i]: int(n[i]) for i in np.flatnonzero(n)})
 
 
 def _tails(longest: Column, shortest: int) -> Column:
@@ -203,22 +233,15 @@ class Shared:
 
 
 class Side:
-    """What a class has of grams (letters) and of phrases (words, pairs); phrases without a key: how many words in all."""
+    """What a class has of grams (letters), of words, and of pairs of words (a count for each pair of the sample)."""
 
-    def __init__(self, found: Counter[bytes], phrases: Counter):
+    def __init__(self, found: Counter[bytes], words_: Counter[bytes], pairs: np.ndarray):
         self.found, self.total, self.freed = found, Counter(), Counter()
         for g, n in found.items():
             self.total[g[:-1]] += n
             self.freed[g[:-1]] += min(n, DISCOUNT)
-        self.n = phrases[None]
-        self.words = Counter({p: n for p, n in phrases.items() if p is not None and b" " not in p})
-        self.pairs = Counter({p: n for p, n in phrases.items() if p is not None and b" " in p})
-        kept: Counter[bytes] = Counter()
-        for p, n in self.pairs.items():
-            kept[p[: p.index(b" ")]] += max(n - DISCOUNT, 0)
-        #: what is left for what a context hasn't been seen with
-        self.after = {h: 1 - k / self.words[h] for h, k in kept.items() if self.words[h]}
-        self.left = 1 - sum(max(n - DISCOUNT, 0) for n in self.words.values()) / self.n if self.n else 1.0
+        self.words, self.pairs, self.n = words_, pairs, words_.total()
+        self.left = 1 - sum(max(n - DISCOUNT, 0) for n in words_.values()) / self.n if self.n else 1.0
 
     def rest(self, h: bytes) -> float:
         return self.freed[h] / self.total[h] if self.total.get(h) else 1.0
@@ -231,15 +254,11 @@ class Side:
         """letters: the word's probability by its letters."""
         return self.left * letters + (max(self.words.get(w, 0) - DISCOUNT, 0) / self.n if self.n else 0)
 
-    def pair(self, p: bytes, word: float) -> float:
-        h = p[: p.index(b" ")]
-        return self.after.get(h, 1.0) * word + (max(self.pairs.get(p, 0) - DISCOUNT, 0) / self.words[h] if self.words.get(h) else 0)
-
 
 class Model:
     """Differences of the toxic and the ordinary log-likelihood, for what a class has and for contexts."""
 
-    def __init__(self, ordinary: Side, toxic: Side, shared: Shared):
+    def __init__(self, ordinary: Side, toxic: Side, shared: Shared, pairs: Pairs):
         sides = ordinary, toxic
         by_letter: dict[bytes, tuple[float, float]] = {}
 
@@ -260,18 +279,24 @@ class Model:
             base = shared.p(g)
             self.gram[g] = apart(lambda side: side.letter(g, base))  # noqa: B023
         self.unseen = apart(lambda side: side.left)
-        by_word: dict[bytes, tuple[float, float]] = {}
-        for w in {*ordinary.words, *toxic.words}:
-            by_word[w] = tuple(side.word(w, exp(letters(w, k))) for k, side in enumerate(sides))
-        self.words = {w: log(b) - log(a) for w, (a, b) in by_word.items()}
-        self.after: dict[bytes, float] = {h: apart(lambda side: side.after.get(h, 1.0)) for h in {*ordinary.after, *toxic.after}}  # noqa: B023
-        #: what a pair adds to what its words have by themselves, by its first word
-        self.pairs: dict[bytes, dict[bytes, float]] = {}
-        for p in {*ordinary.pairs, *toxic.pairs}:
-            h, _, w = p.partition(b" ")
-            if w in by_word:
-                a, b = (side.pair(p, x) for side, x in zip(sides, by_word[w], strict=True))
-                self.pairs.setdefault(h, {})[w] = log(b) - log(a) - self.after.get(h, 0.0) - self.words[w]
+        vocabulary = sorted({*ordinary.words, *toxic.words}, key=hashed)
+        p = np.array([[side.word(w, exp(letters(w, k))) for k, side in enumerate(sides)] for w in vocabulary]).reshape(-1, 2)
+        of_word = np.log(p[:, 1]) - np.log(p[:, 0])
+        self.words = dict(zip(vocabulary, of_word.tolist(), strict=True))
+        # of each pair that either class has: what it adds to what its words have by themselves
+        held = np.flatnonzero(ordinary.pairs + toxic.pairs)
+        hashes = np.array([hashed(w) for w in vocabulary], "i8")
+        before, word = (np.searchsorted(hashes, x[held]) for x in (pairs.before, pairs.word))
+        seen = np.array([[side.words.get(w, 0) for side in sides] for w in vocabulary], "f8").reshape(-1, 2)
+        kept = np.stack([np.maximum(side.pairs[held] - DISCOUNT, 0) for side in sides], 1)
+        # what is left for what a context hasn't been seen with
+        left = 1 - np.stack([np.bincount(before, kept[:, k], len(vocabulary)) for k in (0, 1)], 1) / np.maximum(seen, 1)
+        after = np.log(left[:, 1]) - np.log(left[:, 0])
+        self.after = {w: x for w, x in zip(vocabulary, after.tolist(), strict=True) if x}
+        of_pair = np.log(left[before] * p[word] + kept / np.maximum(seen[before], 1))
+        keys = pair_key(pairs.before[held], pairs.word[held])
+        order = np.argsort(keys)
+        self.keys, self.adds = keys[order], (of_pair[:, 1] - of_pair[:, 0] - after[before] - of_word[word])[order]
         self.curve = np.zeros(4)
 
     def word(self, word: bytes) -> float:
@@ -282,37 +307,59 @@ class Model:
             out += rest(g[:-1], 0.0) if d is None else d
         return out
 
-    def differences(self, text: bytes, known: dict[bytes, tuple[float, float]]) -> tuple[int, float, float, float]:
-        """Number of words, and the difference for a word: of expressions, of letters, and of letters over the strongest. known: the words met before."""
+    def differences(self, text: bytes, known: Known) -> tuple[int, float, float, float]:
+        """Number of words, and the difference for a word: of expressions, of letters, and of letters over the strongest."""
         found = words(text)
-        if not found:
+        n = len(found)
+        if not n:
             return 0, 0.0, 0.0, 0.0
-        letters = total = 0.0
-        apart = []
-        for w, n in Counter(found).items():
-            of_word = known.get(w)
-            if of_word is None:
-                x = self.word(w)
-                alone = self.words.get(w)
-                of_word = x, (self.unseen + x if alone is None else alone) + self.after.get(w, 0.0)
-                if len(known) < MOST_KNOWN:  # what is met often is met early
-                    known[w] = of_word
-            x, y = of_word
-            apart.append(x)
-            letters += n * x
-            total += n * y
-        total -= self.after.get(found[-1], 0.0)  # nothing follows it
-        get, before = self.pairs.get, None
-        for w in found:
-            if before is not None:
-                total += before.get(w, 0.0)
-            before = get(w)
-        return len(found), total / len(found), letters / len(found), sum(heapq.nlargest(PEAK, apart)) / PEAK
+        places = np.fromiter(map(known.__getitem__, found), "i8", n)
+        total = known.alone[places].sum() - known.after[places[-1]]  # nothing follows the last
+        if n > 1 and len(self.keys):
+            hashes = known.hashes[places]
+            keys = pair_key(hashes[:-1], hashes[1:])
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            total += self.adds[at[self.keys[at] == keys]].sum()
+        strongest = np.sort(known.letters[np.unique(places)])[-PEAK:]
+        return n, float(total) / n, float(known.letters[places].sum()) / n, float(strongest.sum()) / PEAK
 
     def scores(self, *differences: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_features(*differences) @ self.curve, -30, 30)))
 
 
+class Known(dict):
+    """The words that a task has met, by their place in arrays: the difference by letters, that of the word with what follows it left open, that part, the hash."""
+
+    def __init__(self, model: Model):
+        self.model, self.size = model, 1 << 12
+        self.letters, self.alone, self.after = (np.zeros(self.size) for _ in range(3))
+        self.hashes = np.zeros(self.size, "i8")
+
+    def __missing__(self, word: bytes) -> int:
+        place, m = len(self), self.model
+        if place == self.size:
+            self.size *= 2
+            for name in ("letters", "alone", "after", "hashes"):
+                setattr(self, name, np.resize(getattr(self, name), self.size))
+        x, alone, after = m.word(word), m.words.get(word), m.after.get(word, 0.0)
+        self.letters[place], self.after[place], self.hashes[place] = x, after, hashed(word)
+        self.alone[place] = (m.unseen + x if alone is None else alone) + after
+        self[word] = place
+        return place
+
+
+def _apart(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Each batch with its rows' numbers of words and differences."""
+    known = Known(model)
+    for batch in batches:
+        found = []
+        for t in batch.column("text").cast(pa.binary()):
+            if len(known) > MOST_KNOWN:
+                known = Known(model)
+            found.append(model.differences(t.as_py() or b"", known))
+        yield batch, [np.array(x, "f8") for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 4
+
+
 def _features(difference: np.ndarray, letters: np.ndarray, peak: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(peak)), np.clip(difference, -5, 5), np.clip(letters, -5, 5), np.clip(peak, -30, 30)], 1)
 
@@ -334,10 +381,7 @@ def _scorer(shared, extra: list[str]):
     @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        known: dict[bytes, tuple[float, float]] = {}
-        for batch in batches:
-            found = [model.differences(t.as_py() or b"", known) for t in batch.column("text").cast(pa.binary())]
-            n, *apart = (np.array(x, "f8") for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 4
+        for batch, (n, *apart) in _apart(model, batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), pa.array(n.astype("i8")), *map(pa.array, apart), pa.array(model.scores(*apart))], names=[*extra, "n_words", "difference", "letters", "peak", "score"])
 
     return score
@@ -346,26 +390,26 @@ def _scorer(shared, extra: list[str]):
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
     """The fitted model; None if the sample lacks toxic or ordinary rows."""
     rows = sample(docs, labels, most_rows).cache()
-    counted = cut(word_counts(rows, "toxic", "fold").mapInArrow(_grams_of_words, "toxic int, fold int, gram binary, n long").groupBy("toxic", "fold", "gram").agg(F.sum("n").alias("n")))
+    by_word = cut(word_counts(rows, "toxic", "fold"))
+    counted = cut(by_word.mapInArrow(_grams_of_words, "toxic int, fold int, gram binary, n long").groupBy("toxic", "fold", "gram").agg(F.sum("n").alias("n")))
     letters = Table(counted, "gram")
     if not letters.counts.sum((0, 2)).all():
         rows.unpersist()
         return None
-    phrases = Table(phrase_counts(rows), "phrase")
+    of_words, pairs = Table(by_word, "word"), Pairs(rows)
     shared = Shared.counted(cut(corpus_grams(docs).select("gram")), counted.select("gram"))
 
     def side(toxic: int, but: int | None = None) -> Side:
-        # what a model without a fold has too rarely may not show through that fold's counts either
-        return Side(letters.of(toxic, but), phrases.of(toxic, but, LEAST))
+        return Side(letters.of(toxic, but), of_words.of(toxic, but), pairs.of(toxic, but))
 
     sc, parts = docs.sparkSession.sparkContext, []
     for f in range(FOLDS):  # one model at a time: the driver holds no more than that
-        scorer = _scorer(sc.broadcast(Model(side(0, f), side(1, f), shared)), ["toxic"])
+        scorer = _scorer(sc.broadcast(Model(side(0, f), side(1, f), shared, pairs)), ["toxic"])
         parts.append(rows.where(F.col("fold") == f).select("toxic", "text").mapInArrow(scorer, f"toxic int, {SCORED}").select("toxic", "difference", "letters", "peak"))
     seen = reduce(DataFrame.union, parts).collect()
     rows.unpersist()
     toxic, *apart = np.array(sorted(tuple(r) for r in seen), "f8").reshape(-1, 4).T  # sorted: the same sums on any cluster
-    model = Model(side(0), side(1), shared)
+    model = Model(side(0), side(1), shared, pairs)
     model.curve = fit_curve(apart, toxic)
     return model
 
@@ -383,10 +427,7 @@ def _keeper(shared, threshold: float):
     @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        known: dict[bytes, tuple[float, float]] = {}
-        for batch in batches:
-            found = [model.differences(t.as_py() or b"", known) for t in batch.column("text").cast(pa.binary())]
-            _, *apart = (np.array(x, "f8") for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 4
+        for batch, (_, *apart) in _apart(model, batches):
             yield batch.filter(pa.array(model.scores(*apart) < threshold, pa.bool_()))
 
     return keep

@@ -493,7 +493,7 @@ def plain_differences(classes, corpus, text):
         letters = [g for ws in found for w in ws for g in toxicity.grams(w)]
         n_letters, n_words, n_pairs = Counter(letters), Counter(w for ws in found for w in ws), Counter(p for ws in found for p in zip(ws, ws[1:]))
         n = sum(n_words.values())
-        kept, kept_pairs = {w: c for w, c in n_words.items() if c >= toxicity.LEAST}, {p: c for p, c in n_pairs.items() if c >= toxicity.LEAST}
+        kept, kept_pairs = n_words, n_pairs
 
         def letter(g):
             same = [c for x, c in n_letters.items() if x[:-1] == g[:-1]]
@@ -524,7 +524,7 @@ def test_toxicity_matches_a_plain_version(spark):
     model = toxicity.train(d, l)
     wanted = [texts[0], texts[1], texts[2] + " Moron clownish, idiotest", "unheard-of wörds the an", "the"]
     for t in wanted:
-        n, *got = model.differences(t.encode(), {})
+        n, *got = model.differences(t.encode(), toxicity.Known(model))
         assert n == len(toxicity.words(t.encode())) and got == pytest.approx(plain_differences(classes, texts.values(), t), rel=1e-6, abs=1e-9)
     scored = {r.doc_id: (r.difference, r.letters, r.peak, r.score) for r in toxicity.score_toxicity(d, l).collect()}
     for i in (0, 1, 7):
