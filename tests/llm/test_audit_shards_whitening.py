@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rooflines.llm import audit, bidiagonal, queries, sharding, whitening
+from rooflines.llm import audit, bidiagonal, mixing, queries, sharding, whitening
 
 from .test_operators import docs, odd, rows, with_files
 
@@ -221,3 +221,30 @@ def test_whitening_odd_rows(spark):
     assert no_id.count() == 160 and no_id.where("vec_id is null").count() == 24
     huge = rows(whitening.whitening_report(make([*good, [1e300, 1.0, 2.0, 3.0]])))
     assert huge.deviation.isna().all() and len(huge) % 41 == 0
+
+
+# 4 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_inverse_of_any_mean(spark):
+    import math
+
+    means = {"a": 0.01, "b": 1.0, "c": 37.5, "d": 5_000.0, "e": 1_000_000.0, "none": 0.0}
+    table = spark.createDataFrame([*means.items(), (None, 2.0)], "__source string, rate double")
+    got = {r["__source"]: r for r in mixing.inverses(table).collect()}
+    assert got["none"].cdf == [1.0] and got["none"].low == 0 and got[None].rate == 2.0
+    for name, mean in means.items():
+        if not mean:
+            continue
+        low, cdf = got[name].low, got[name].cdf
+        assert cdf[-1] == pytest.approx(1, abs=1e-12) and (np.diff(cdf) >= 0).all() and len(cdf) < 26 * math.sqrt(mean) + 100
+        p = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(low, low + len(cdf))]
+        assert np.abs(np.cumsum(p) - cdf).max() < 1e-7
+        assert sum(k * (c - b) for k, b, c in zip(range(low, low + len(cdf)), [0.0, *cdf], cdf)) == pytest.approx(mean, rel=1e-9)
+
+
+def test_a_tiny_source_is_repeated(spark):
+    df = docs(spark, [(1, "x")]).withColumn("source", F.lit("tiny")).union(docs(spark, [(i, "word " * 2000) for i in range(2, 42)]).withColumn("source", F.lit("large")))
+    counts = {r.source: (r.n, r.rate) for r in mixing.poisson_mix(df).groupBy("source").agg(F.count("*").alias("n"), F.max("rate").alias("rate")).collect()}
+    n, rate = counts["tiny"]
+    assert rate == pytest.approx(200_000, rel=1e-3) and abs(n - rate) < 6 * rate**0.5

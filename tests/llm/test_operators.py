@@ -214,7 +214,7 @@ def test_mixing_odd_rows_and_many_sources(spark, monkeypatch):
     df = odd(spark).withColumn("source", F.when(F.col("doc_id") > 4, F.col("source")))
     got = rows(mixing.poisson_mix(df, total=1e6))
     assert set(df.columns) <= set(got.columns) and (got["source"].isna()).any()
-    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "MOST_NUMBERS", 0)
     again = rows(mixing.poisson_mix(df, total=1e6))
     cols = ["doc_id", "source", "copy", "copies", "mix_key"]
     assert sorted(map(str, got[cols].values.tolist())) == sorted(map(str, again[cols].values.tolist()))
@@ -223,7 +223,7 @@ def test_mixing_odd_rows_and_many_sources(spark, monkeypatch):
 
 @pytest.mark.parametrize("most", [0, 10_000])
 def test_mixing_keeps_columns_with_its_own_names(spark, monkeypatch, most):
-    monkeypatch.setattr(mixing, "MOST_SOURCES", most)
+    monkeypatch.setattr(mixing, "MOST_NUMBERS", most)
     names = ["rate", "cdf", "copies", "copy", "mix_key", "mass", "weight", "__source", "__salt", "__cdf"]
     df = docs(spark, [(i, "x" * 9) for i in range(50)])
     for c in names:
