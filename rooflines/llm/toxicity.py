@@ -28,11 +28,12 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from itertools import pairwise
 from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,9 +107,27 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
 
 @tidy
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of bytes for each batch: its keys, where they end if they have no fixed length, and its counts."""
     for batch in batches:
-        flat = np.concatenate([batch.column(c).to_numpy() for c in ("before", "word")] + [batch.column("n").flatten().to_numpy()])
-        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["packed"])
+        keys = [c for c in batch.schema.names if c != "n"]
+        made = [batch.column("n").flatten().to_numpy().astype("i4").tobytes()]
+        for c in keys:
+            if pa.types.is_binary(batch.column(c).type):
+                ends = np.cumsum(pc.binary_length(batch.column(c)).to_numpy(), dtype="i8")
+                made += [ends.tobytes(), b"".join(batch.column(c).to_pylist())]
+            else:
+                made.append(batch.column(c).to_numpy().tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.list_(pa.binary()))], names=["packed"])
+
+
+def _parts(counted: DataFrame) -> Iterator[list[bytes]]:
+    """Straight from the shuffle, partition by partition: each is needed once."""
+    for row in counted.mapInArrow(_packed, "packed array<binary>").toLocalIterator():
+        yield row.packed
+
+
+def _counts(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([*parts, np.zeros(0, "i4")]).reshape(-1, 2, FOLDS)
 
 
 class Pairs:
@@ -118,13 +137,9 @@ class Pairs:
         found = rows.select("toxic", "fold", F.transform(held_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") > 1)
         pairs = found.select("toxic", "fold", F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("before"), F.slice("w", 2, F.size("w")).alias("word"))).alias("p"))
         counted = pairs.groupBy(F.col("p.before").alias("before"), F.col("p.word").alias("word")).agg(F.array(*_cells(F.lit(1))).alias("n"))
-        parts = [np.frombuffer(bytes(r.packed), "i8") for r in cut(counted.mapInArrow(_packed, "packed binary")).toLocalIterator()]
-        each = 2 + 2 * FOLDS
-        rows_of = [len(p) // each for p in parts]
-        join = lambda xs, kind: np.concatenate([*xs, np.zeros(0, kind)]).astype(kind)
-        self.before = join([p[:n] for p, n in zip(parts, rows_of, strict=True)], "i8")
-        self.word = join([p[n : 2 * n] for p, n in zip(parts, rows_of, strict=True)], "i8")
-        self.counts = join([p[2 * n :].astype("i4") for p, n in zip(parts, rows_of, strict=True)], "i4").reshape(-1, 2, FOLDS)
+        parts = [[np.frombuffer(x, kind) for x, kind in zip(p, ("i4", "i8", "i8"), strict=True)] for p in _parts(counted)]
+        self.counts = _counts([p[0] for p in parts])
+        self.before, self.word = (np.concatenate([*(p[k] for p in parts), np.zeros(0, "i8")]) for k in (1, 2))
 
     def of(self, toxic: int, but: int | None = None) -> np.ndarray:
         return self.counts[:, toxic].sum(1) - (0 if but is None else self.counts[:, toxic, but])
@@ -151,10 +166,11 @@ class Table:
         rows = counted.groupBy(key).agg(F.array(*_cells(F.col("n"))).alias("n")).select(F.col(key).cast("binary").alias(key), "n")
         self.keys: list[bytes] = []
         found = []
-        for k, n in cut(rows).toLocalIterator():
-            self.keys.append(bytes(k))
-            found.append(np.array(n, "i8"))
-        self.counts = np.stack(found).reshape(-1, 2, FOLDS) if found else np.zeros((0, 2, FOLDS), "i8")
+        for n, ends, joined in _parts(rows):
+            found.append(np.frombuffer(n, "i4"))
+            ends = [0, *np.frombuffer(ends, "i8").tolist()]
+            self.keys += [joined[a:b] for a, b in pairwise(ends)]
+        self.counts = _counts(found)
 
     def of(self, toxic: int, but: int | None = None) -> Counter:
         """A class's counts of all folds but one, of what it has there."""
@@ -262,15 +278,16 @@ class Model:
         sides = ordinary, toxic
         by_letter: dict[bytes, tuple[float, float]] = {}
 
-        def letters(w: bytes, k: int) -> float:
-            out = 0.0
+        def letters(w: bytes) -> tuple[float, float]:
+            a = b = 0.0
             for g in grams(w):
                 p = by_letter.get(g)
                 if p is None:
                     base = shared.p(g)
                     p = by_letter[g] = tuple(log(side.letter(g, base)) for side in sides)
-                out += p[k]
-            return out
+                a += p[0]
+                b += p[1]
+            return exp(a), exp(b)
 
         apart = lambda f: log(f(toxic)) - log(f(ordinary))
         self.rest: dict[bytes, float] = {h: apart(lambda side: side.rest(h)) for h in {*ordinary.total, *toxic.total}}  # noqa: B023
@@ -280,23 +297,26 @@ class Model:
             self.gram[g] = apart(lambda side: side.letter(g, base))  # noqa: B023
         self.unseen = apart(lambda side: side.left)
         vocabulary = sorted({*ordinary.words, *toxic.words}, key=hashed)
-        p = np.array([[side.word(w, exp(letters(w, k))) for k, side in enumerate(sides)] for w in vocabulary]).reshape(-1, 2)
-        of_word = np.log(p[:, 1]) - np.log(p[:, 0])
-        self.words = dict(zip(vocabulary, of_word.tolist(), strict=True))
+        p = np.fromiter((side.word(w, x) for w in vocabulary for side, x in zip(sides, letters(w), strict=True)), "f8", 2 * len(vocabulary)).reshape(-1, 2)
+        seen = np.fromiter((side.words.get(w, 0) for w in vocabulary for side in sides), "f8", 2 * len(vocabulary)).reshape(-1, 2)
+        #: by hash of the word
+        self.hashes = np.fromiter(map(hashed, vocabulary), "i8", len(vocabulary))
+        self.words = np.log(p[:, 1]) - np.log(p[:, 0])
         # of each pair that either class has: what it adds to what its words have by themselves
         held = np.flatnonzero(ordinary.pairs + toxic.pairs)
-        hashes = np.array([hashed(w) for w in vocabulary], "i8")
-        before, word = (np.searchsorted(hashes, x[held]) for x in (pairs.before, pairs.word))
-        seen = np.array([[side.words.get(w, 0) for side in sides] for w in vocabulary], "f8").reshape(-1, 2)
-        kept = np.stack([np.maximum(side.pairs[held] - DISCOUNT, 0) for side in sides], 1)
+        before, word = (np.searchsorted(self.hashes, x[held]).astype("i4") for x in (pairs.before, pairs.word))
+        kept = [np.maximum(side.pairs[held] - DISCOUNT, 0).astype("f4") for side in sides]
         # what is left for what a context hasn't been seen with
-        left = 1 - np.stack([np.bincount(before, kept[:, k], len(vocabulary)) for k in (0, 1)], 1) / np.maximum(seen, 1)
-        after = np.log(left[:, 1]) - np.log(left[:, 0])
-        self.after = {w: x for w, x in zip(vocabulary, after.tolist(), strict=True) if x}
-        of_pair = np.log(left[before] * p[word] + kept / np.maximum(seen[before], 1))
-        keys = pair_key(pairs.before[held], pairs.word[held])
-        order = np.argsort(keys)
-        self.keys, self.adds = keys[order], (of_pair[:, 1] - of_pair[:, 0] - after[before] - of_word[word])[order]
+        left = 1 - np.stack([np.bincount(before, k, len(vocabulary)) for k in kept], 1) / np.maximum(seen, 1)
+        self.after = np.log(left[:, 1]) - np.log(left[:, 0])
+        self.keys = pair_key(pairs.before[held], pairs.word[held])
+        self.adds = np.empty(len(held), "f4")
+        for i in range(0, len(held), 1 << 18):
+            h, w, at = before[i : i + (1 << 18)], word[i : i + (1 << 18)], slice(i, i + (1 << 18))
+            a, b = (np.log(left[h, k] * p[w, k] + kept[k][at] / np.maximum(seen[h, k], 1)) for k in (0, 1))
+            self.adds[at] = b - a - self.after[h] - self.words[w]
+        order = np.argsort(self.keys)
+        self.keys, self.adds = self.keys[order], self.adds[order]
         self.curve = np.zeros(4)
 
     def word(self, word: bytes) -> float:
@@ -341,9 +361,13 @@ class Known(dict):
             self.size *= 2
             for name in ("letters", "alone", "after", "hashes"):
                 setattr(self, name, np.resize(getattr(self, name), self.size))
-        x, alone, after = m.word(word), m.words.get(word), m.after.get(word, 0.0)
-        self.letters[place], self.after[place], self.hashes[place] = x, after, hashed(word)
-        self.alone[place] = (m.unseen + x if alone is None else alone) + after
+        x, h = m.word(word), hashed(word)
+        at = int(np.searchsorted(m.hashes, h))
+        if at < len(m.hashes) and m.hashes[at] == h:
+            alone, after = m.words[at], m.after[at]
+        else:
+            alone, after = m.unseen + x, 0.0
+        self.letters[place], self.after[place], self.hashes[place], self.alone[place] = x, after, h, alone + after
         self[word] = place
         return place
 
@@ -402,11 +426,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     def side(toxic: int, but: int | None = None) -> Side:
         return Side(letters.of(toxic, but), of_words.of(toxic, but), pairs.of(toxic, but))
 
-    sc, parts = docs.sparkSession.sparkContext, []
-    for f in range(FOLDS):  # one model at a time: the driver holds no more than that
-        scorer = _scorer(sc.broadcast(Model(side(0, f), side(1, f), shared, pairs)), ["toxic"])
-        parts.append(rows.where(F.col("fold") == f).select("toxic", "text").mapInArrow(scorer, f"toxic int, {SCORED}").select("toxic", "difference", "letters", "peak"))
-    seen = reduce(DataFrame.union, parts).collect()
+    sc, seen = docs.sparkSession.sparkContext, []
+    for f in range(FOLDS):  # one model at a time, on the driver, in the workers and on their disks
+        held = sc.broadcast(Model(side(0, f), side(1, f), shared, pairs))
+        seen += rows.where(F.col("fold") == f).select("toxic", "text").mapInArrow(_scorer(held, ["toxic"]), f"toxic int, {SCORED}").select("toxic", "difference", "letters", "peak").collect()
+        held.destroy()
     rows.unpersist()
     toxic, *apart = np.array(sorted(tuple(r) for r in seen), "f8").reshape(-1, 4).T  # sorted: the same sums on any cluster
     model = Model(side(0), side(1), shared, pairs)
