@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, polygons
-from ..operators import fusion, lod1, rings, spatial
+from ..operators import blocks, fusion, lod1, raster, rings, spatial
+from ..sources.shared import through_folder
 from .fixtures import Tables, with_tables
 from .registry import query
 
@@ -188,6 +189,45 @@ def lod1_missing_raster(t: Tables) -> DataFrame:
     return lod1.with_missing(t.houses().select("fid"), found).select("fid", "height")
 
 
+_BLOCKS = 16
+
+
+@query(with_tables("SELECT fid, max(h) AS height, arg_min(v, (abs(v - top), row, col)) AS var FROM (SELECT *, max(h) OVER (PARTITION BY fid) AS top FROM zonal) GROUP BY fid", *LOD1))
+def block_height(t: Tables) -> DataFrame:
+    """Heights as by pixel, from blocks of the raster."""
+    return blocks.heights(blocks.zonal_blocks(t.houses().select("fid", "lbox"), blocks.blocks(t.pixels(), _BLOCKS), 10.0, _BLOCKS))
+
+
+@query(with_tables("SELECT fid, max(h) AS height, arg_min(v, (-h, row, col)) AS var FROM zonal GROUP BY fid", *LOD1))
+def block_variance_at_max(t: Tables) -> DataFrame:
+    return blocks.heights(blocks.zonal_blocks(t.houses().select("fid", "lbox"), blocks.blocks(t.pixels(), _BLOCKS), 10.0, _BLOCKS), "at_max")
+
+
+@query(with_tables("SELECT fid, max(h) AS height FROM zonal GROUP BY fid HAVING max(h) >= 45", *LOD1))
+def tall_houses(t: Tables) -> DataFrame:
+    """Blocks in the shared folder, of which only those that reach the height are read."""
+
+    def job(folder: str) -> DataFrame:
+        blocks.write_blocks(blocks.blocks(t.pixels(), _BLOCKS), folder)
+        return blocks.taller(t.houses().select("fid", "lbox"), t.spark, folder, 45.0, 10.0, _BLOCKS)
+
+    return through_folder(t.spark, job)
+
+
+@query(with_tables("SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, CAST(h AS DOUBLE) AS h, CAST(v AS DOUBLE) AS v FROM pixels WHERE col >= 100 AND col < 171 AND row >= (SELECT CAST(floor(max(row) / 3.0) AS BIGINT) FROM pixels) AND row < (SELECT CAST(floor(max(row) / 3.0) AS BIGINT) + CAST(ceil((max(row) + 1) / 2.0) AS BIGINT) FROM pixels)", "pixels"))
+def block_window(t: Tables) -> DataFrame:
+    """A window over half of the raster's rows, read from the bands and blocks that it meets."""
+
+    def job(folder: str) -> DataFrame:
+        blocks.write_blocks(blocks.blocks(t.pixels(), _BLOCKS), folder, 2)
+        n = raster.height_of(t.pixels())
+        first, rows = (n - 1) // 3, -(-n // 2)
+        met = blocks.read_blocks(t.spark, folder, (first, first + rows), (100, 171), side=_BLOCKS, band=2)
+        return blocks.window(met, first, 100, rows, 71, _BLOCKS)
+
+    return through_folder(t.spark, job)
+
+
 @query(with_tables("SELECT c.cx, c.cy, count(*) AS features FROM houses, LATERAL unnest(range(CAST(floor(x1 / 200.0) AS BIGINT), CAST(floor(x2 / 200.0) AS BIGINT) + 1)) AS a(cx), LATERAL unnest(range(CAST(floor(y1 / 200.0) AS BIGINT), CAST(floor(y2 / 200.0) AS BIGINT) + 1)) AS b(cy), LATERAL (SELECT cx, cy) c GROUP BY ALL", "houses"))
 def footprint_cells(t: Tables) -> DataFrame:
     """A footprint on a cell's edge belongs to every cell it touches."""
@@ -412,6 +452,13 @@ def lod1_shape_height(t: Tables) -> DataFrame:
     return lod1.heights(zonal, "at_max").join(zonal.groupBy("fid").agg(F.count("*").alias("n")), "fid")
 
 
+@query(with_tables(f"SELECT fid, max(h) AS height, arg_min(v, (-h, row, col)) AS var, count(*) AS n FROM (SELECT z.*, coalesce(CAST(p.h AS DOUBLE), -1) AS h, coalesce(CAST(p.v AS DOUBLE), -1) AS v FROM ({_COVERED}) z LEFT JOIN pixels p ON z.row = p.row AND z.col = p.col) GROUP BY fid", "pixels", "houses"))
+def block_shape_height(t: Tables) -> DataFrame:
+    """The same from blocks of the raster."""
+    zonal = blocks.zonal_blocks(lshaped_houses(t), blocks.blocks(t.pixels(), _BLOCKS), 10.0, _BLOCKS)
+    return blocks.heights(zonal, "at_max").join(zonal.groupBy("fid").agg(F.sum(F.size("px").cast("long")).alias("n")), "fid")
+
+
 @query(with_tables(f"SELECT row, col, max(fid % 60) AS value FROM ({_COVERED}) GROUP BY ALL", "houses"))
 def rasterised_shapes(t: Tables) -> DataFrame:
     from ..operators import raster
