@@ -332,26 +332,10 @@ def blended_patches(t: Tables) -> DataFrame:
 
 
 def _blocks(value: str) -> str:
-    return with_tables(f"SELECT i AS row, j AS col, coalesce(CAST({value} AS DOUBLE), -1) AS value FROM (SELECT row, col, h - 20 AS v FROM pixels WHERE row < 50), (SELECT r.i, CAST(floor(r.i * 50 / 7.0) AS BIGINT) AS r0, CAST(floor((r.i + 1) * 50 / 7.0) AS BIGINT) AS r1 FROM range(0, 7) AS r(i)) a, (SELECT c.j, CAST(floor(c.j * 300 / 11.0) AS BIGINT) AS c0, CAST(floor((c.j + 1) * 300 / 11.0) AS BIGINT) AS c1 FROM range(0, 11) AS c(j)) b WHERE row >= r0 AND row < r1 AND col >= c0 AND col < c1 GROUP BY i, j", "pixels")
-
-
-def _signed(t: Tables) -> DataFrame:
-    return t.pixels().where("row < 50").select("row", "col", (F.col("h") - 20).alias("value"))
-
-
-@query(_blocks("max(v) FILTER (v > 0)"))
-def block_resample_max(t: Tables) -> DataFrame:
-    return raster.downsample(_signed(t), 50, 300, 7, 11, "max")
-
-
-@query(_blocks("sum(v) FILTER (v > 0)"))
-def block_resample_positive_sum(t: Tables) -> DataFrame:
-    return raster.downsample(_signed(t), 50, 300, 7, 11, "sum")
-
-
-@query(_blocks("round(avg(v) FILTER (v > 0), 6)"))
-def block_resample_positive_avg(t: Tables) -> DataFrame:
-    return raster.downsample(_signed(t), 50, 300, 7, 11, "mean").withColumn("value", R6(F.col("value")))
+    edge = lambda at, extent, out: f"CAST(floor({at} * {extent} / {out}.0) AS BIGINT)"
+    return with_tables(f"""SELECT CAST(i AS BIGINT) AS row, CAST(j AS BIGINT) AS col, coalesce(CAST({value} AS DOUBLE), -1) AS value FROM (SELECT row, col, h - 20 AS v FROM pixels),
+(SELECT i, {edge("i", "n", 7)} AS r0, {edge("(i + 1)", "n", 7)} AS r1 FROM range(0, 7) AS r(i), (SELECT max(row) + 1 AS n FROM pixels)) a, (SELECT j, {edge("j", 300, 11)} AS c0, {edge("(j + 1)", 300, 11)} AS c1 FROM range(0, 11) AS c(j)) b
+WHERE row >= r0 AND row < r1 AND col >= c0 AND col < c1 GROUP BY i, j""", "pixels")
 
 
 def _whole_blocks(t: Tables, how: str) -> DataFrame:
@@ -359,18 +343,18 @@ def _whole_blocks(t: Tables, how: str) -> DataFrame:
     return raster.downsample(p, max(raster.height_of(p), 1), 300, 7, 11, how)
 
 
-@query()
+@query(_blocks("max(v) FILTER (v > 0)"))
 def whole_resample_max(t: Tables) -> DataFrame:
-    """block_resample_max over the whole raster, as high as it is; so are the next two."""
+    """Seven by eleven blocks of the raster, as high as it is."""
     return _whole_blocks(t, "max")
 
 
-@query()
+@query(_blocks("sum(v) FILTER (v > 0)"))
 def whole_resample_positive_sum(t: Tables) -> DataFrame:
     return _whole_blocks(t, "sum")
 
 
-@query()
+@query(_blocks("round(avg(v) FILTER (v > 0), 6)"))
 def whole_resample_positive_avg(t: Tables) -> DataFrame:
     return _whole_blocks(t, "mean").withColumn("value", R6(F.col("value")))
 
@@ -424,19 +408,10 @@ def mask_polygons(t: Tables) -> DataFrame:
     return shapes.select(*(b[c].alias(c) for c in ("x1", "y1", "x2", "y2")), geo.polygon_area(F.col("rings")).alias("area"), "value")
 
 
-@query(with_tables("SELECT row, col, CASE WHEN col % 4 = 1 THEN (col - 1) WHEN col % 4 = 3 THEN CASE WHEN EXISTS (SELECT 1 FROM pixels q WHERE q.row = p.row AND q.col = p.col + 1) THEN col + 1 ELSE NULL END ELSE col - 2 END AS near FROM pixels p WHERE col % 4 <> 0 AND row < 40 AND col < 290", "pixels"))
-def nearest_label_fill(t: Tables) -> DataFrame:
-    """Unlabelled pixels take the nearest labelled one, the left of two as near."""
-    p = t.pixels().where("row < 40")
-    labelled = p.where("col % 4 = 0").select("row", "col", F.col("col").alias("label"))
-    wanted = p.where("col % 4 <> 0 AND col < 290")
-    near = raster.nearest_fill(wanted, labelled, 2)
-    return near.select("row", "col", F.col("label").alias("near"))
-
-
-@query()
+@query(with_tables("""SELECT row, col, arg_min(near, (d, r, near)) FILTER (near IS NOT NULL) AS near FROM (SELECT p.row, p.col, a * a + b * b AS d, q.row AS r, q.col AS near
+FROM pixels p JOIN (SELECT a, b FROM range(-2, 3) AS x(a), range(-2, 3) AS y(b) WHERE a * a + b * b <= 4) ON p.col % 4 <> 0 LEFT JOIN pixels q ON q.row = p.row + a AND q.col = p.col + b AND q.col % 4 = 0) GROUP BY row, col""", "pixels"))
 def whole_label_fill(t: Tables) -> DataFrame:
-    """nearest_label_fill over all rows and columns."""
+    """Unlabelled pixels take the nearest labelled one no more than two away, the first by place of those as near."""
     p = t.pixels()
     near = raster.nearest_fill(p.where("col % 4 <> 0"), p.where("col % 4 = 0").select("row", "col", F.col("col").alias("label")), 2)
     return near.select("row", "col", F.col("label").alias("near"))

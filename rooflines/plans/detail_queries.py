@@ -62,15 +62,10 @@ def dissolved_houses(t: Tables) -> DataFrame:
     return raster.dissolved_area(t.houses().withColumn("grp", F.col("fid") % 5), "grp", 1.0)
 
 
-@query(with_tables("SELECT CAST(i AS BIGINT) AS row, count(*) AS n, CAST(sum(h) AS BIGINT) AS total FROM range(0, 9) AS a(i), range(0, 450) AS b(j), pixels WHERE row = floor(i * 4 / 8.0 + 0.5) AND col = floor(j * 299 / 449.0 + 0.5) AND row < 5 GROUP BY i", "pixels"))
-def upsampled_pixels(t: Tables) -> DataFrame:
-    up = raster.upsample(t.pixels().where("row < 5").select("row", "col", F.col("h").alias("value")), 5, 300, 9, 450)
-    return up.groupBy(F.col("row").cast("long").alias("row")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-
-
-@query()
+@query(with_tables("""SELECT i AS row, count(*) AS n, CAST(sum(h) AS BIGINT) AS total FROM (SELECT n, unnest(range(0, greatest(2 * n - 1, 1))) AS i FROM (SELECT max(row) + 1 AS n FROM pixels)) a, range(0, 450) AS b(j), pixels
+WHERE row = floor(i * (n - 1) / greatest(2.0 * n - 2, 1) + 0.5) AND col = floor(j * 299 / 449.0 + 0.5) GROUP BY i""", "pixels"))
 def whole_upsampled_pixels(t: Tables) -> DataFrame:
-    """upsampled_pixels over the whole raster, to twice as many rows less one."""
+    """The raster at twice as many rows less one and half as many columns again."""
     p = t.pixels().select("row", "col", F.col("h").alias("value"))
     n = raster.height_of(p)
     up = raster.upsample(p, n, 300, max(2 * n - 1, 1), 450)
