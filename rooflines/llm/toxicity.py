@@ -131,18 +131,31 @@ def _counts(parts: list[np.ndarray]) -> np.ndarray:
 
 
 class Pairs:
-    """Counts of a sample's pairs of words, held once: the hashes of both words, and a count for each class and fold."""
+    """Counts of a sample's pairs of words, held once, by key: the places of both words among the vocabulary's hashes, and a count for each class and fold."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, hashes: np.ndarray):
         found = rows.select("toxic", "fold", F.transform(held_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") > 1)
         pairs = found.select("toxic", "fold", F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("before"), F.slice("w", 2, F.size("w")).alias("word"))).alias("p"))
         counted = pairs.groupBy(F.col("p.before").alias("before"), F.col("p.word").alias("word")).agg(F.array(*_cells(F.lit(1))).alias("n"))
-        parts = [[np.frombuffer(x, kind) for x, kind in zip(p, ("i4", "i8", "i8"), strict=True)] for p in _parts(counted)]
-        self.counts = _counts([p[0] for p in parts])
-        self.before, self.word = (np.concatenate([*(p[k] for p in parts), np.zeros(0, "i8")]) for k in (1, 2))
+        keys, places, counts = [], [], []
+        for packed in _parts(counted):
+            n, before, word = (np.frombuffer(x, kind) for x, kind in zip(packed, ("i4", "i8", "i8"), strict=True))
+            keys.append(pair_key(before, word))
+            places.append(np.stack([np.searchsorted(hashes, before), np.searchsorted(hashes, word)], 1).astype("i4"))
+            counts.append(n)
+        self.keys = np.concatenate([*keys, np.zeros(0, "i8")])
+        order = np.argsort(self.keys)
+        self.keys = self.keys[order]
+        self.places = np.concatenate([*places, np.zeros((0, 2), "i4")])[order]
+        self.counts = _counts(counts)[order]
 
     def of(self, toxic: int, but: int | None = None) -> np.ndarray:
-        return self.counts[:, toxic].sum(1) - (0 if but is None else self.counts[:, toxic, but])
+        return _but(self.counts, toxic, but)
+
+
+def _but(counts: np.ndarray, toxic: int, but: int | None) -> np.ndarray:
+    """A class's counts of all folds but one."""
+    return sum(counts[:, toxic, f] for f in range(FOLDS) if f != but)
 
 
 def hashed(word: bytes) -> int:
@@ -174,10 +187,20 @@ class Table:
 
     def of(self, toxic: int, but: int | None = None) -> Counter:
         """A class's counts of all folds but one, of what it has there."""
-        n = self.counts[:, toxic].sum(1) - (0 if but is None else self.counts[:, toxic, but])
+        n = _but(self.counts, toxic, but)
         return Counter({self.keys[i]: int(n[i]) for i in np.flatnonzero(n)})
 
 
+class Vocabulary(Table):
+    """The sample's words, in the order of their hashes."""
+
+    def __init__(self, counted: DataFrame):
+        super().__init__(counted, "word")
+        hashes = np.fromiter(map(hashed, self.keys), "i8", len(self.keys))
+        order = np.argsort(hashes)
+        self.hashes, self.counts, self.keys = hashes[order], self.counts[order], [self.keys[i] for i in order]
+
+
 def _tails(longest: Column, shortest: int) -> Column:
     """The ends of gram of shortest to longest letters."""
     return F.transform(F.sequence(F.lit(shortest), longest), lambda k: F.substr("gram", F.length("gram") - k + 1, k))
@@ -249,15 +272,15 @@ class Shared:
 
 
 class Side:
-    """What a class has of grams (letters), of words, and of pairs of words (a count for each pair of the sample)."""
+    """What a class has of grams (letters), of words and of pairs of words (a count for each one of the sample)."""
 
-    def __init__(self, found: Counter[bytes], words_: Counter[bytes], pairs: np.ndarray):
+    def __init__(self, found: Counter[bytes], words_: np.ndarray, pairs: np.ndarray):
         self.found, self.total, self.freed = found, Counter(), Counter()
         for g, n in found.items():
             self.total[g[:-1]] += n
             self.freed[g[:-1]] += min(n, DISCOUNT)
-        self.words, self.pairs, self.n = words_, pairs, words_.total()
-        self.left = 1 - sum(max(n - DISCOUNT, 0) for n in words_.values()) / self.n if self.n else 1.0
+        self.words, self.pairs, self.n = words_, pairs, int(words_.sum())
+        self.left = 1 - float(np.maximum(words_ - DISCOUNT, 0).sum()) / self.n if self.n else 1.0
 
     def rest(self, h: bytes) -> float:
         return self.freed[h] / self.total[h] if self.total.get(h) else 1.0
@@ -266,15 +289,15 @@ class Side:
         h = g[:-1]
         return self.rest(h) * shared + (max(self.found.get(g, 0) - DISCOUNT, 0) / self.total[h] if self.total.get(h) else 0)
 
-    def word(self, w: bytes, letters: float) -> float:
-        """letters: the word's probability by its letters."""
-        return self.left * letters + (max(self.words.get(w, 0) - DISCOUNT, 0) / self.n if self.n else 0)
+    def of_words(self, letters: np.ndarray) -> np.ndarray:
+        """letters: the words' probabilities by their letters."""
+        return self.left * letters + np.maximum(self.words - DISCOUNT, 0) / max(self.n, 1)
 
 
 class Model:
     """Differences of the toxic and the ordinary log-likelihood, for what a class has and for contexts."""
 
-    def __init__(self, ordinary: Side, toxic: Side, shared: Shared, pairs: Pairs):
+    def __init__(self, ordinary: Side, toxic: Side, shared: Shared, vocabulary: Vocabulary, pairs: Pairs):
         sides = ordinary, toxic
         by_letter: dict[bytes, tuple[float, float]] = {}
 
@@ -296,27 +319,28 @@ class Model:
             base = shared.p(g)
             self.gram[g] = apart(lambda side: side.letter(g, base))  # noqa: B023
         self.unseen = apart(lambda side: side.left)
-        vocabulary = sorted({*ordinary.words, *toxic.words}, key=hashed)
-        p = np.fromiter((side.word(w, x) for w in vocabulary for side, x in zip(sides, letters(w), strict=True)), "f8", 2 * len(vocabulary)).reshape(-1, 2)
-        seen = np.fromiter((side.words.get(w, 0) for w in vocabulary for side in sides), "f8", 2 * len(vocabulary)).reshape(-1, 2)
+        size = len(vocabulary.keys)
+        p = np.fromiter((x for w in vocabulary.keys for x in letters(w)), "f8", 2 * size).reshape(-1, 2)
+        p = np.stack([side.of_words(p[:, k]) for k, side in enumerate(sides)], 1)
         #: by hash of the word
-        self.hashes = np.fromiter(map(hashed, vocabulary), "i8", len(vocabulary))
+        self.hashes = vocabulary.hashes
         self.words = np.log(p[:, 1]) - np.log(p[:, 0])
         # of each pair that either class has: what it adds to what its words have by themselves
-        held = np.flatnonzero(ordinary.pairs + toxic.pairs)
-        before, word = (np.searchsorted(self.hashes, x[held]).astype("i4") for x in (pairs.before, pairs.word))
-        kept = [np.maximum(side.pairs[held] - DISCOUNT, 0).astype("f4") for side in sides]
+        held = (ordinary.pairs + toxic.pairs) > 0
+        seen = np.stack([np.maximum(side.words, 1) for side in sides], 1).astype("f8")
         # what is left for what a context hasn't been seen with
-        left = 1 - np.stack([np.bincount(before, k, len(vocabulary)) for k in kept], 1) / np.maximum(seen, 1)
+        left = 1 - np.stack([np.bincount(pairs.places[:, 0], np.maximum(side.pairs - DISCOUNT, 0), size) for side in sides], 1) / seen
         self.after = np.log(left[:, 1]) - np.log(left[:, 0])
-        self.keys = pair_key(pairs.before[held], pairs.word[held])
-        self.adds = np.empty(len(held), "f4")
+        self.keys = pairs.keys[held]
+        self.adds = np.empty(len(self.keys), "f4")
+        done = 0
         for i in range(0, len(held), 1 << 18):
-            h, w, at = before[i : i + (1 << 18)], word[i : i + (1 << 18)], slice(i, i + (1 << 18))
-            a, b = (np.log(left[h, k] * p[w, k] + kept[k][at] / np.maximum(seen[h, k], 1)) for k in (0, 1))
-            self.adds[at] = b - a - self.after[h] - self.words[w]
-        order = np.argsort(self.keys)
-        self.keys, self.adds = self.keys[order], self.adds[order]
+            some = slice(i, i + (1 << 18))
+            h, w = pairs.places[some][held[some]].T
+            kept = [np.maximum(side.pairs[some][held[some]] - DISCOUNT, 0) for side in sides]
+            a, b = (np.log(left[h, k] * p[w, k] + kept[k] / seen[h, k]) for k in (0, 1))
+            self.adds[done : done + len(h)] = b - a - self.after[h] - self.words[w]
+            done += len(h)
         self.curve = np.zeros(4)
 
     def word(self, word: bytes) -> float:
@@ -420,20 +444,21 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     if not letters.counts.sum((0, 2)).all():
         rows.unpersist()
         return None
-    of_words, pairs = Table(by_word, "word"), Pairs(rows)
+    vocabulary = Vocabulary(by_word)
+    pairs = Pairs(rows, vocabulary.hashes)
     shared = Shared.counted(cut(corpus_grams(docs).select("gram")), counted.select("gram"))
 
     def side(toxic: int, but: int | None = None) -> Side:
-        return Side(letters.of(toxic, but), of_words.of(toxic, but), pairs.of(toxic, but))
+        return Side(letters.of(toxic, but), _but(vocabulary.counts, toxic, but), pairs.of(toxic, but))
 
     sc, seen = docs.sparkSession.sparkContext, []
     for f in range(FOLDS):  # one model at a time, on the driver, in the workers and on their disks
-        held = sc.broadcast(Model(side(0, f), side(1, f), shared, pairs))
+        held = sc.broadcast(Model(side(0, f), side(1, f), shared, vocabulary, pairs))
         seen += rows.where(F.col("fold") == f).select("toxic", "text").mapInArrow(_scorer(held, ["toxic"]), f"toxic int, {SCORED}").select("toxic", "difference", "letters", "peak").collect()
         held.destroy()
     rows.unpersist()
     toxic, *apart = np.array(sorted(tuple(r) for r in seen), "f8").reshape(-1, 4).T  # sorted: the same sums on any cluster
-    model = Model(side(0), side(1), shared, pairs)
+    model = Model(side(0), side(1), shared, vocabulary, pairs)
     model.curve = fit_curve(apart, toxic)
     return model
 
