@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, polygons
-from ..operators import blocks, fusion, lod1, raster, rings, spatial
+from ..operators import blocks, clipping, fusion, lod1, raster, rings, spatial
 from ..sources.shared import through_folder
 from .fixtures import Tables, with_tables
 from .registry import query
@@ -272,6 +272,23 @@ def clipped_shapes(t: Tables) -> DataFrame:
     return cut.groupBy("source").agg(F.count("*").alias("kept"), R6(F.sum(geo.polygon_area(F.col("rings")))).alias("area"))
 
 
+_FEET = "footprints2 AS (SELECT fid, x1, y1, x2, y2, (x2 - x1) / 4.0 AS w, (y2 - y1) / 4.0 AS h FROM footprints)"
+
+
+@query(with_tables(f"""SELECT fid, CAST(part AS INTEGER) AS part, CAST(area AS DOUBLE) AS area, CAST(a AS DOUBLE) AS x_min, CAST(b AS DOUBLE) AS x_max, CAST(c AS DOUBLE) AS y_min FROM (
+SELECT fid, 0 AS part, w * 2 * h AS area, x2 - w AS a, x2 AS b, y1 + 2 * h AS c FROM footprints2 WHERE fid % 3 = 0 UNION ALL SELECT fid, 1, w * 2 * h, x1, x1 + w, y1 + 2 * h FROM footprints2 WHERE fid % 3 = 0
+UNION ALL SELECT fid, 0, 10 * w * h, x1, x2, y1 FROM footprints2 WHERE fid % 3 = 1 UNION ALL SELECT fid, 0, 6 * w * h, x1 + w, x2, y1 FROM footprints2 WHERE fid % 3 = 2)""", "footprints").replace("\nSELECT", f", {_FEET}\nSELECT", 1))
+def clipped_parts(t: Tables) -> DataFrame:
+    """U-shapes cut through their arms (two parts), not at all, or along the inner side of one arm."""
+    b, p = F.col("lbox"), geo.point
+    w, h = (b["x2"] - b["x1"]) / 4, (b["y2"] - b["y1"]) / 4
+    ring = F.array(p(b["x1"], b["y1"]), p(b["x2"], b["y1"]), p(b["x2"], b["y2"]), p(b["x2"] - w, b["y2"]), p(b["x2"] - w, b["y1"] + h), p(b["x1"] + w, b["y1"] + h), p(b["x1"] + w, b["y2"]), p(b["x1"], b["y2"]), p(b["x1"], b["y1"]))
+    k = F.col("fid") % 3
+    frame = geo.box(F.when(k == 2, b["x1"] + w).otherwise(b["x1"] - 1), F.when(k == 0, b["y1"] + 2 * h).otherwise(b["y1"] - 1), b["x2"] + 1, b["y2"] + 1)
+    parts = clipping.clip_parts(t.footprints().select(F.col("fid").alias("id"), F.array(ring).alias("rings"), frame.alias("frame"))).withColumn("b", geo.bounds(F.col("rings")))
+    return parts.select(F.col("id").alias("fid"), "part", geo.polygon_area(F.col("rings")).alias("area"), F.col("b.x1").alias("x_min"), F.col("b.x2").alias("x_max"), F.col("b.y1").alias("y_min"))
+
+
 @query(with_tables("SELECT source, count(*) FILTER (x1 >= 1000 AND y1 >= 1000 AND x2 < 2000 AND y2 < 2000) AS within, count(*) FILTER (x1 <= 2000 AND x2 >= 1000 AND y1 <= 2000 AND y2 >= 1000) AS meeting, count(*) FILTER (x1 < 2000 AND x2 > 1000 AND y1 < 2000 AND y2 > 1000) AS crossing, round(sum((x2 - x1) * (y2 - y1) * 2.25), 6) AS scaled, round(sum((x2 - x1 + 4.0) * (y2 - y1 + 4)), 6) AS padded, round(sum((x1 + x2) / 2.0 + (y2 - y1)), 6) AS centred FROM footprints GROUP BY source", "footprints"))
 def box_filters(t: Tables) -> DataFrame:
     """Half-open, inclusive and exclusive box tests; scaled, padded and converted boxes."""
