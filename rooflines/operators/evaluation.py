@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .raster import checkpointed
+from .rings import densified, max_tangent_angle, projected
 from .spatial import grid_join
 
 #: Recall levels of the average.
@@ -180,3 +181,50 @@ def angle_error(ux, uy, vx, vy) -> Column:
     """The angle between two directions, 0 to 180 degrees."""
     a, b, c, d = (F.col(x) if isinstance(x, str) else x for x in (ux, uy, vx, vy))
     return F.degrees(F.atan2(F.abs(a * d - b * c), a * c + b * d))
+
+
+def contour_angles(predictions: DataFrame, truths: DataFrame, side: float, spacing: float, least_precision: float = 0.5, max_stretch: float = 2.0) -> DataFrame:
+    """predictions (image, pred, lbox, rings) by the first truth (image, truth, order, rbox, rrings) that covers more than least_precision of them: pred, truth, angle.
+
+    The prediction's contours get points no farther apart than spacing, which are moved to the nearest point of the truth's
+    contours; angle is the largest between an edge and the moved one, in degrees, over all of its contours (null if none can be
+    told). Predictions without such a truth have no row.
+    """
+    right = truths.select(F.col("image").alias("__image"), "truth", F.col("order").alias("truth_order"), "rbox", "rrings")
+    met = grid_join(predictions.select("image", "pred", "lbox", "rings"), right, side, on=lambda a, b: a["image"] == b["__image"], small_right=False)
+    shares = met.select("pred", "truth", "truth_order", geo.polygon_shared_area(F.col("rings"), F.col("rrings")).alias("shared"), (geo.polygon_area(F.col("rings")) + 1e-8).alias("pred_area"))
+    matched = checkpointed(first_fit(shares, least_precision))
+    contour = F.struct(F.col("pred").alias("pred"), F.col("ring").alias("ring"))
+    own = predictions.join(matched, "pred").select("pred", F.posexplode("rings").alias("ring", "points")).select(contour.alias("contour"), F.col("points").alias("ring"))
+    walk = densified(own, spacing, "contour").select("contour", F.struct("pos", "k").alias("place"), "x", "y")
+    theirs = truths.join(matched, "truth").select("pred", F.posexplode("rrings").alias("k", "points")).select("pred", F.posexplode(geo.edges(F.col("points"))).alias("i", "e"), "k")
+    theirs = theirs.select("pred", F.struct("k", "i").alias("pos"), F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+    # a contour's points by the edges of the one truth that it is held against
+    moved = projected(walk.select(F.col("contour.pred").alias("pred"), F.struct("contour", "place").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py")), theirs, "pred")
+    errors = walk.join(moved.select(F.col("pid.contour").alias("contour"), F.col("pid.place").alias("place"), F.col("x").alias("tx"), F.col("y").alias("ty")), ["contour", "place"])
+    angles = max_tangent_angle(errors.withColumnRenamed("place", "pos"), "contour", max_stretch).groupBy(F.col("contour.pred").alias("pred")).agg(F.max("angle").alias("angle"))
+    return matched.select("pred", "truth").join(angles, "pred", "left")
+
+
+def image_ious(predictions: DataFrame, truths: DataFrame, size: float) -> DataFrame:
+    """By image: iou of the pixels (of size) that its predictions and its truths cover together, in part or whole, the vertices of both, and c_iou.
+
+    predictions and truths: image, rings. Two empty sides have an IoU of 1. An image that only one side has counts the other as empty.
+    """
+
+    def covered(df: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
+        b = geo.bounds(F.col("rings"))
+        last = lambda lo, hi: F.greatest(F.floor(b[lo] / size), F.ceil(b[hi] / size) - 1)
+        spread = lambda lo, hi: F.explode(F.sequence(F.floor(b[lo] / size), last(lo, hi)))
+        px = df.select("image", "rings", spread("x1", "x2").alias("col"), b.alias("b")).select("image", "rings", "col", F.explode(F.sequence(F.floor(F.col("b.y1") / size), F.greatest(F.floor(F.col("b.y1") / size), F.ceil(F.col("b.y2") / size) - 1))).alias("row"))
+        x, y = F.col("col") * size, F.col("row") * size
+        hit = px.where(geo.polygon_crosses_box(F.col("rings"), geo.box(x, y, x + size, y + size))).select("image", "row", "col", F.lit(side).alias("side"))
+        points = df.groupBy("image").agg(F.sum(F.size(F.col("rings")[0]) - 1).alias("n")).select("image", F.lit(side).alias("side"), "n")
+        return hit, points
+
+    (p, n), (q, m) = covered(predictions, 1), covered(truths, 2)
+    # a pixel's sides as bits: 3 where both cover it
+    pixels = p.union(q).groupBy("image", "row", "col").agg(F.bit_or("side").alias("sides")).groupBy("image").agg(F.count_if(F.col("sides") == 3).alias("both"), F.count("*").alias("any"))
+    vertices = n.union(m).groupBy("image").agg(F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("side") == 2, F.col("n")).otherwise(0)).alias("n_truth"))
+    rows = vertices.join(pixels, "image", "left").withColumn("iou", F.coalesce(F.col("both") / F.col("any"), F.lit(1.0)))
+    return rows.select("image", "iou", "n", "n_truth", complexity_iou("iou", "n", "n_truth").alias("c_iou"))

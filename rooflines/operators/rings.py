@@ -89,15 +89,15 @@ def assembled(parts: DataFrame, key: str = "ring_id") -> DataFrame:
     return parts.groupBy(key, "pos").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("runs"))
 
 
-def max_tangent_angle(errors: DataFrame, key: str) -> DataFrame:
+def max_tangent_angle(errors: DataFrame, key: str, max_stretch: float = 2.0) -> DataFrame:
     """errors (key, pos, x, y on the prediction; tx, ty on the truth): the largest angle between matching edges, in degrees.
 
-    Edges without length, and those that the projection stretches more than twice or shrinks to less than half, don't count; null where none do.
+    Edges without length, and those that the projection stretches or shrinks by max_stretch or more, don't count; null where none do.
     """
     v = with_neighbours(errors, key, "x", "y", "tx", "ty")
     ux, uy, vx, vy = (F.col(f"next_{c}") - F.col(c) for c in ("x", "y", "tx", "ty"))
     lu, lv = F.hypot(ux, uy), F.hypot(vx, vy)
-    fair = (lu > 0) & (lv > 0) & (lv / lu).between(0.5, 2.0)
+    fair = (lu > 0) & (lv > 0) & (lv < lu * max_stretch) & (lu < lv * max_stretch)
     cosine = F.least(F.lit(1.0), F.abs(ux * vx + uy * vy) / (lu * lv))
     return v.groupBy(key).agg(F.degrees(F.acos(F.min(F.when(fair, cosine)))).alias("angle"))
 
@@ -114,3 +114,43 @@ def clusters(pairs: DataFrame, points: DataFrame, least: int) -> DataFrame:
     border = of_core.join(names, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("cluster").alias("cluster"))
     found = names.union(border.join(core, "node", "left_anti"))
     return points.join(found, "node", "left")
+
+
+def point_clusters(points: DataFrame, eps: float, least: int, key: str = "ring_id") -> DataFrame:
+    """DBSCAN of each ring's points (key, pos, x, y) by their distance, at most eps: cluster, the pos of its first point; noise is a cluster of its own.
+
+    Points in one place are one node with its count. Cells have a diagonal of eps, so all nodes of a cell are neighbours: a cell of least points and more
+    is one cluster and its nodes are only linked to its first. Nodes of other cells are compared with those of the cells around.
+    """
+    from .raster import checkpointed, least_labels
+
+    side = eps / 2**0.5 * (1 - 1e-12)
+    places = points.groupBy(key, "x", "y").agg(F.count("*").alias("n"), F.min("pos").alias("at")).withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    dense = Window.partitionBy(key, "cx", "cy")
+    nodes = checkpointed(places.withColumn("in_cell", F.sum("n").over(dense)).withColumn("head", F.min("at").over(dense)))
+    around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    near = nodes.select(F.col(key).alias("__key"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("cx").alias("__cx"), F.col("cy").alias("__cy")).withColumn("dx", around).withColumn("dy", around)
+    near = near.where("abs(dx) + abs(dy) between 1 and 3").withColumn("cx", F.col("__cx") + F.col("dx")).withColumn("cy", F.col("__cy") + F.col("dy")).drop("__cx", "__cy", "dx", "dy")
+    pairs = checkpointed(nodes.join(near, (F.col(key) == F.col("__key")) & nodes["cx"].eqNullSafe(near["cx"]) & nodes["cy"].eqNullSafe(near["cy"])).where(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= eps).select(key, "at", "at2", "n2"))
+    beside = pairs.groupBy(key, "at").agg(F.sum("n2").alias("beside"))
+    core = checkpointed(nodes.join(beside, [key, "at"], "left").where(F.col("in_cell") + F.coalesce("beside", F.lit(0)) >= least).select(key, "at", "head", "cx", "cy"))
+    node = lambda c: F.struct(F.col(key).alias("key"), F.col(c).alias("at"))
+    # of a cell's core nodes each is linked to the first
+    first = core.withColumn("to", F.min("at").over(dense))
+    is_core = core.select(key, F.col("at").alias("at2"))
+    links = first.where("at <> to").select(node("at").alias("a"), node("to").alias("b")).union(pairs.join(core.select(key, "at"), [key, "at"], "left_semi").join(is_core, [key, "at2"], "left_semi").select(node("at").alias("a"), node("at2").alias("b")))
+    both = links.union(links.select("b", "a"))
+    named = core.select(node("at").alias("node"), node("at").alias("label")).union(least_labels(both)).groupBy("node").agg(F.min("label.at").alias("cluster")).select(F.col("node.key").alias(key), F.col("node.at").alias("at"), "cluster")
+    # what is no core node belongs to the first cluster that has a core node near it, in its own cell or around
+    in_cell = first.join(named, [key, "at"]).groupBy(key, "cx", "cy").agg(F.min("cluster").alias("cluster"))
+    rest = nodes.join(core.select(key, "at"), [key, "at"], "left_anti")
+    from_cell = rest.join(in_cell, [key, "cx", "cy"]).select(key, "at", "cluster")
+    from_beside = pairs.join(rest.select(key, "at"), [key, "at"], "left_semi").join(named.select(key, F.col("at").alias("at2"), "cluster"), [key, "at2"]).select(key, "at", "cluster")
+    border = from_cell.union(from_beside).groupBy(key, "at").agg(F.min("cluster").alias("cluster"))
+    labels = nodes.select(key, "x", "y", "at").join(named.unionByName(border), [key, "at"], "left").select(key, "x", "y", F.col("cluster").alias("found"))
+    return points.join(labels, [key, "x", "y"]).select(*points.columns, F.coalesce("found", "pos").alias("cluster"), F.col("found").isNull().alias("noise"))
+
+
+def end_points(clustered: DataFrame, key: str = "ring_id") -> DataFrame:
+    """Of each cluster of a ring its first point around the ring: key, pos, x, y, and how many points it stands for."""
+    return clustered.groupBy(key, "cluster").agg(F.min(F.struct("pos", "x", "y")).alias("p"), F.count("*").alias("points")).select(key, "p.pos", "p.x", "p.y", "points")

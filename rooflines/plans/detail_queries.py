@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo, nested
-from ..operators import raster, rings, sampling
+from ..operators import evaluation, raster, rings, sampling
 from .fixtures import Tables, with_tables
-from .footprint_queries import DEGREES, degrees, shapes
+from .footprint_queries import _COVERED, DEGREES, SIDE, degrees, lshaped_houses, shapes
 from .registry import query
 
 R6 = lambda c, n=6: F.round(c, n)
@@ -134,3 +134,37 @@ def clipped_min_max(t: Tables) -> DataFrame:
     s = v.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     x = (F.col("p") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     return v.join(F.broadcast(s), "band").groupBy("band").agg(R6(F.min(x)).alias("low"), R6(F.avg(x)).alias("mean"))
+
+
+@query(with_tables("SELECT g % 97 AS ring_id, fid AS pos, CAST(g * 10 + fid % 4 AS DOUBLE) AS x, CASE WHEN n >= 3 THEN n ELSE 1 END AS points FROM (SELECT fid, CAST(floor(fid / 4.0) AS BIGINT) AS g, count(*) OVER w AS n, min(fid) OVER w AS first FROM footprints WHERE fid % 16 NOT IN (13, 14) WINDOW w AS (PARTITION BY CAST(floor(fid / 4.0) AS BIGINT))) WHERE n < 3 OR fid = first", "footprints"))
+def cluster_end_points(t: Tables) -> DataFrame:
+    """Runs of points a metre apart, clustered by their coordinates; runs of fewer than three are noise. Each cluster's first point stays."""
+    g = F.floor(F.col("fid") / 4)
+    points = t.footprints().where("fid % 16 not in (13, 14)").select((g % 97).alias("ring_id"), F.col("fid").alias("pos"), (g * 10 + F.col("fid") % 4).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    return rings.end_points(rings.point_clusters(points, 1.5, 3)).select("ring_id", "pos", "x", "points")
+
+
+_BOXES = "SELECT DISTINCT fid % 50 AS image, r.row, c.col FROM houses, LATERAL unnest(range(CAST(floor(y1 / 10.0) AS BIGINT), CAST(ceil(y2 / 10.0) AS BIGINT))) AS r(row), LATERAL unnest(range(CAST(floor(x1 / 10.0) AS BIGINT), CAST(ceil(x2 / 10.0) AS BIGINT))) AS c(col) WHERE fid % 3 <> 0"
+
+
+@query(with_tables(f"""SELECT image, round(common / allpx, 9) AS iou, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS n_truth, round(common / allpx * (1 - abs(n - m) / CAST(n + m AS DOUBLE)), 9) AS c_iou
+FROM (SELECT image, CAST(count(*) FILTER (k = 2) AS DOUBLE) AS common, count(*) AS allpx FROM (SELECT image, row, col, count(*) AS k FROM (SELECT DISTINCT fid % 50 AS image, row, col FROM ({_COVERED}) UNION ALL ({_BOXES})) GROUP BY ALL) GROUP BY image)
+JOIN (SELECT fid % 50 AS image, 6 * count(*) AS n, 4 * count(*) FILTER (fid % 3 <> 0) AS m FROM houses GROUP BY 1) USING (image)""", "houses"))
+def image_iou(t: Tables) -> DataFrame:
+    """L-shapes against two thirds of their houses: the pixels of both sides by image, and their vertices."""
+    image = (F.col("fid") % 50).alias("image")
+    truths = t.houses().where("fid % 3 <> 0").select(image, F.array(geo.ring_of_box(F.col("lbox"))).alias("rings"))
+    rows = evaluation.image_ious(lshaped_houses(t).select(image, "rings"), truths, 10.0)
+    return rows.select("image", R6(F.col("iou"), 9).alias("iou"), F.col("n").cast("long").alias("n"), F.col("n_truth").cast("long").alias("n_truth"), R6(F.col("c_iou"), 9).alias("c_iou"))
+
+
+@query(with_tables("SELECT fid AS pred, fid AS truth, round(degrees(atan(1 / (4.0 * (x2 - x1) - 6))), 6) AS angle FROM footprints WHERE fid % 4 <> 0", "footprints"))
+def contour_angle(t: Tables) -> DataFrame:
+    """Four points inside a box, one of them farther from its side: matched, given points, moved to the box and compared edge by edge. A quarter of them match nothing."""
+    b, p = F.col("b"), geo.point
+    big = t.footprints().select("fid", geo.box(F.col("lbox.x1") * 4, F.col("lbox.y1") * 4, F.col("lbox.x2") * 4, F.col("lbox.y2") * 4).alias("b"))
+    dx = F.when(F.col("fid") % 4 == 0, 3 * (b["x2"] - b["x1"])).otherwise(0.0)
+    ring = F.array(p(b["x1"] + 3 + dx, b["y1"] + 1), p(b["x2"] - 3 + dx, b["y1"] + 2), p(b["x2"] - 3 + dx, b["y2"] - 1), p(b["x1"] + 3 + dx, b["y2"] - 1), p(b["x1"] + 3 + dx, b["y1"] + 1))
+    preds = big.select(F.col("fid").alias("image"), F.col("fid").alias("pred"), F.array(ring).alias("rings")).withColumn("lbox", geo.bounds(F.col("rings")))
+    truths = big.select(F.col("fid").alias("image"), F.col("fid").alias("truth"), F.col("fid").alias("order"), b.alias("rbox"), F.array(geo.ring_of_box(b)).alias("rrings"))
+    return evaluation.contour_angles(preds, truths, 4 * SIDE, 1000.0).select("pred", "truth", R6(F.col("angle")).alias("angle"))

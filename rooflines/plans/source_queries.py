@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import raster, sampling
-from ..sources import files, geojson
+from ..sources import files, geojson, store
 from ..sources.catalog import Catalog
 from ..sources.shared import through_folder
 from ..streaming import intake
@@ -367,11 +367,11 @@ def incremental_intake(t: Tables) -> DataFrame:
 
     def job(folder: str) -> DataFrame:
         source, done, status, check = (f"{folder}/{n}" for n in ("source", "done", "status", "check"))
-        keep = lambda batch, number: batch.write.mode("append").parquet(done)
+        keep = lambda batch, number: None  # noqa: E731  as they are
         for k in (0, 1, None):
             if k is not None:
                 t.orders.select("o_orderkey", "o_orderpriority").where(F.col("o_orderkey") % 2 == k).coalesce(4).write.mode("append").parquet(source)
-            intake.take_in(t.spark, source, "o_orderkey long, o_orderpriority string", check, status, keep)
+            intake.take_in(t.spark, source, "o_orderkey long, o_orderpriority string", check, status, keep, output=done)
         finished = intake.latest_status(t.spark.read.parquet(status)).where("state = 'finished'").agg(F.count("*").alias("batches"))
         rows = t.spark.read.parquet(done).groupBy(F.substring("o_orderpriority", 1, 1).alias("priority")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
         return rows.crossJoin(F.broadcast(finished))  # one row
@@ -450,12 +450,10 @@ def rings_in_a_window(t: Tables) -> DataFrame:
 
 @query(with_tables("SELECT source, count(*) AS n, CAST(sum(fid) AS BIGINT) AS keys FROM footprints WHERE x1 <= 2300 AND x2 >= 1200 AND y1 <= 1700 AND y2 >= 900 GROUP BY source", "footprints"))
 def source_lookup(t: Tables) -> DataFrame:
-    """Of a table by strips only those that a box can meet are read; then what meets it counts."""
+    """Of a store by cells only the files are read whose boxes in the manifest meet the wanted one; then what meets it counts."""
 
     def job(folder: str) -> DataFrame:
-        t.footprints().select("fid", "source", "lbox", F.floor(F.col("x1") / 500).alias("strip")).write.partitionBy("strip").parquet(folder)
-        box = geo.box(F.lit(1200), F.lit(900), F.lit(2300), F.lit(1700))
-        near = t.spark.read.parquet(folder).where(F.col("strip").between((1200 - 30) // 500, 2300 // 500))  # boxes are less than 30 wide
-        return near.where(geo.boxes_meet(F.col("lbox"), box)).groupBy("source").agg(F.count("*").alias("n"), F.sum("fid").alias("keys"))
+        store.write_store(t.footprints().select("fid", "source", "lbox"), folder, 500.0, 16)
+        return store.lookup(t.spark, folder, [(1200.0, 900.0, 2300.0, 1700.0)]).groupBy("source").agg(F.count("*").alias("n"), F.sum("fid").alias("keys"))
 
     return through_folder(t.spark, job)

@@ -8,28 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def take_in(spark: SparkSession, source: str, schema: str, checkpoint: str, status: str, process: Callable[[DataFrame, int], None], files_per_batch: int = 100, file_format: str = "parquet") -> int:
+def take_in(spark: SparkSession, source: str, schema: str, checkpoint: str, status: str, process: Callable[[DataFrame, int], DataFrame | None], files_per_batch: int = 100, file_format: str = "parquet", output: str | None = None) -> int:
     """Runs process(batch, number) over the files that came since the last call, in batches; the rows taken in.
 
     The checkpoint knows which files are done. Each batch appends a row to the status table (finished, or failed with its reason); a batch that
-    fails is tried again by the next call.
+    fails is tried again by the next call, with the same files and number. With output, what process returns is written to the folder
+    batch=number there, in place of what an earlier try of that batch left: a batch that broke off after its work, before its status or
+    the checkpoint, isn't there twice. Without, process does its own writing and has to bear being run again.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        def note(state: str, rows: int, reason: str | None) -> None:
-            row = spark.createDataFrame([(number, state, rows, reason)], "batch long, state string, rows long, reason string")
-            row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(status)
-
         batch.persist()  # the files are read once for the work and the count
         try:
-            process(batch, number)
+            made = process(batch, number)
+            if output is not None:
+                (batch if made is None else made).write.mode("overwrite").parquet(f"{output}/batch={number}")
             rows = batch.count()
+            _note(spark, status, number, "finished", rows, None)
         except Exception as e:
-            note("failed", 0, str(e)[:300])
+            _note(spark, status, number, "failed", 0, str(e)[:300])
             raise
         finally:
             batch.unpersist()
-        note("finished", rows, None)
         taken.append(rows)
 
     taken: list[int] = []
@@ -40,6 +40,11 @@ def take_in(spark: SparkSession, source: str, schema: str, checkpoint: str, stat
     return sum(taken)
 
 
+def _note(spark: SparkSession, status: str, number: int, state: str, rows: int, reason: str | None) -> None:
+    row = spark.createDataFrame([(number, state, rows, reason)], "batch long, state string, rows long, reason string")
+    row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(status)
+
+
 def latest_status(status: DataFrame, key: str = "batch") -> DataFrame:
     """Of the appended rows the latest by key."""
     rest = [c for c in status.columns if c not in (key, "at")]
