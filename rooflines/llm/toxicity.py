@@ -40,12 +40,13 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, read, tidy
 
-MOST_ROWS, FOLDS = 4000, 3
+MOST_ROWS, FOLDS, SAMPLE_TASKS = 4000, 3, 24
 ORDER, DISCOUNT, PEAK, THRESHOLD = 5, 0.75, 3, 0.3
 #: A-Z to a-z; digits and ASCII signs to a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: A task's tables of counts are written out and begun anew at so many words, those of its words' scores beyond so many.
 MOST_HELD, MOST_KNOWN = 100_000, 300_000
+MOST_TOGETHER = 2 << 20
 SCORED = "n_words long, difference double, letters double, peak double, score double"
 
 
@@ -217,8 +218,8 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Da
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and __id is not null").groupBy("__id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("__id")))
     of = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
     picked = of(0).union(of(1)).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "__id"), F.lit(FOLDS)).cast("int"))
-    # at most 2 * most_rows rows of three numbers
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("__id")).select("text", "toxic", "fold")
+    # at most 2 * most_rows rows of three numbers; the few texts of many partitions come to a few tasks, which sum up more before they shuffle
+    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("__id")).select("text", "toxic", "fold").repartition(SAMPLE_TASKS)
 
 
 class Shared:
@@ -310,7 +311,7 @@ class Model:
                     p = by_letter[g] = tuple(log(side.letter(g, base)) for side in sides)
                 a += p[0]
                 b += p[1]
-            return exp(a), exp(b)
+            return a, b
 
         apart = lambda f: log(f(toxic)) - log(f(ordinary))
         self.rest: dict[bytes, float] = {h: apart(lambda side: side.rest(h)) for h in {*ordinary.total, *toxic.total}}  # noqa: B023
@@ -320,8 +321,10 @@ class Model:
             self.gram[g] = apart(lambda side: side.letter(g, base))  # noqa: B023
         self.unseen = apart(lambda side: side.left)
         size = len(vocabulary.keys)
-        p = np.fromiter((x for w in vocabulary.keys for x in letters(w)), "f8", 2 * size).reshape(-1, 2)
-        p = np.stack([side.of_words(p[:, k]) for k, side in enumerate(sides)], 1)
+        logs = np.fromiter((x for w in vocabulary.keys for x in letters(w)), "f8", 2 * size).reshape(-1, 2)
+        #: the words' differences by their letters, in the order of the hashes
+        self.letters = logs[:, 1] - logs[:, 0]
+        p = np.stack([side.of_words(np.exp(logs[:, k])) for k, side in enumerate(sides)], 1)
         #: by hash of the word
         self.hashes = vocabulary.hashes
         self.words = np.log(p[:, 1]) - np.log(p[:, 0])
@@ -351,21 +354,35 @@ class Model:
             out += rest(g[:-1], 0.0) if d is None else d
         return out
 
-    def differences(self, text: bytes, known: Known) -> tuple[int, float, float, float]:
-        """Number of words, and the difference for a word: of expressions, of letters, and of letters over the strongest."""
-        found = words(text)
-        n = len(found)
-        if not n:
-            return 0, 0.0, 0.0, 0.0
-        places = np.fromiter(map(known.__getitem__, found), "i8", n)
-        total = known.alone[places].sum() - known.after[places[-1]]  # nothing follows the last
-        if n > 1 and len(self.keys):
+    def differences(self, texts: list[bytes], known: Known) -> list[np.ndarray]:
+        """Of each text the number of words, and the difference for a word: of expressions, of letters, and of letters over the strongest."""
+        found = [words(t) for t in texts]
+        n, size = np.fromiter(map(len, found), "i8", len(found)), len(found)
+        places = known.places([w for ws in found for w in ws])
+        text = np.repeat(np.arange(size), n)
+        each = np.maximum(n, 1)
+        letters = np.bincount(text, known.letters[places], size).astype("f8")
+        total = np.bincount(text, known.alone[places], size).astype("f8")
+        ends = np.cumsum(n) - 1
+        some = n > 0
+        total[some] -= known.after[places[ends[some]]]  # nothing follows the last
+        if len(places) > 1 and len(self.keys):
+            inner = np.flatnonzero(text[1:] == text[:-1])
             hashes = known.hashes[places]
-            keys = pair_key(hashes[:-1], hashes[1:])
+            keys = pair_key(hashes[inner], hashes[inner + 1])
+            order = np.argsort(keys)  # keys looked for in their order lie near each other
+            keys, of = keys[order], text[inner[order]]
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            total += self.adds[at[self.keys[at] == keys]].sum()
-        strongest = np.sort(known.letters[np.unique(places)])[-PEAK:]
-        return n, float(total) / n, float(known.letters[places].sum()) / n, float(strongest.sum()) / PEAK
+            hit = self.keys[at] == keys
+            total += np.bincount(of[hit], self.adds[at[hit]], size).astype("f8")
+        # the strongest of a text's distinct words
+        distinct = np.unique(text * len(known) + places) if len(places) else places
+        of, strength = distinct // max(len(known), 1), known.letters[distinct % max(len(known), 1)]
+        order = np.lexsort((-strength, of))
+        of, strength = of[order], strength[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        peak = np.bincount(of[rank < PEAK], strength[rank < PEAK], size).astype("f8")
+        return [n.astype("f8"), total / each, letters / each, peak / PEAK]
 
     def scores(self, *differences: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_features(*differences) @ self.curve, -30, 30)))
@@ -375,37 +392,54 @@ class Known(dict):
     """The words that a task has met, by their place in arrays: the difference by letters, that of the word with what follows it left open, that part, the hash."""
 
     def __init__(self, model: Model):
-        self.model, self.size = model, 1 << 12
-        self.letters, self.alone, self.after = (np.zeros(self.size) for _ in range(3))
-        self.hashes = np.zeros(self.size, "i8")
+        self.model, self.waiting = model, []
+        self.letters, self.alone, self.after = (np.zeros(1 << 12) for _ in range(3))
+        self.hashes = np.zeros(1 << 12, "i8")
 
     def __missing__(self, word: bytes) -> int:
-        place, m = len(self), self.model
-        if place == self.size:
-            self.size *= 2
-            for name in ("letters", "alone", "after", "hashes"):
-                setattr(self, name, np.resize(getattr(self, name), self.size))
-        x, h = m.word(word), hashed(word)
-        at = int(np.searchsorted(m.hashes, h))
-        if at < len(m.hashes) and m.hashes[at] == h:
-            alone, after = m.words[at], m.after[at]
-        else:
-            alone, after = m.unseen + x, 0.0
-        self.letters[place], self.after[place], self.hashes[place], self.alone[place] = x, after, h, alone + after
-        self[word] = place
+        place = self[word] = len(self)
+        self.waiting.append(word)
         return place
 
+    def places(self, found: list[bytes]) -> np.ndarray:
+        """Where the words stand; new ones are worked out together."""
+        out = np.fromiter(map(self.__getitem__, found), "i8", len(found))
+        if self.waiting:
+            m, last = self.model, len(self)
+            first = last - len(self.waiting)
+            if last > len(self.hashes):
+                for name in ("letters", "alone", "after", "hashes"):
+                    setattr(self, name, np.resize(getattr(self, name), 2 * last))
+            h = np.fromiter(map(hashed, self.waiting), "i8", len(self.waiting))
+            letters, alone, after = (np.zeros(len(h)) for _ in range(3))
+            if len(m.hashes):
+                at = np.minimum(np.searchsorted(m.hashes, h), len(m.hashes) - 1)
+                seen = m.hashes[at] == h
+                letters[seen], alone[seen], after[seen] = m.letters[at[seen]], m.words[at[seen]], m.after[at[seen]]
+            else:
+                seen = np.zeros(len(h), bool)
+            for i in np.flatnonzero(~seen):
+                letters[i] = m.word(self.waiting[i])
+                alone[i] = m.unseen + letters[i]
+            self.letters[first:last], self.alone[first:last], self.after[first:last], self.hashes[first:last] = letters, alone + after, after, h
+            self.waiting = []
+        return out
+
 
 def _apart(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Each batch with its rows' numbers of words and differences."""
+    """Each batch with its rows' numbers of words and differences; texts are taken together up to so many bytes, a longer one by itself."""
     known = Known(model)
     for batch in batches:
-        found = []
-        for t in batch.column("text").cast(pa.binary()):
-            if len(known) > MOST_KNOWN:
-                known = Known(model)
-            found.append(model.differences(t.as_py() or b"", known))
-        yield batch, [np.array(x, "f8") for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 4
+        texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
+        found, first, held = [], 0, 0
+        for i, t in enumerate(texts):
+            held += len(t)
+            if held >= MOST_TOGETHER or i == len(texts) - 1:
+                if len(known) > MOST_KNOWN:
+                    known = Known(model)
+                found.append(model.differences(texts[first : i + 1], known))
+                first, held = i + 1, 0
+        yield batch, [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(4)]
 
 
 def _features(difference: np.ndarray, letters: np.ndarray, peak: np.ndarray) -> np.ndarray:

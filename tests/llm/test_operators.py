@@ -524,8 +524,11 @@ def test_toxicity_matches_a_plain_version(spark):
     model = toxicity.train(d, l)
     wanted = [texts[0], texts[1], texts[2] + " Moron clownish, idiotest", "unheard-of wörds the an", "the"]
     for t in wanted:
-        n, *got = model.differences(t.encode(), toxicity.Known(model))
+        n, *got = (float(x[0]) for x in model.differences([t.encode()], toxicity.Known(model)))
         assert n == len(toxicity.words(t.encode())) and got == pytest.approx(plain_differences(classes, texts.values(), t), rel=1e-6, abs=1e-9)
+    together = np.array(model.differences([t.encode() for t in ["", *wanted, ""]], toxicity.Known(model)))
+    alone = np.array([[float(x[0]) for x in model.differences([t.encode()], toxicity.Known(model))] for t in ["", *wanted, ""]]).T
+    assert np.abs(together - alone).max() < 1e-9 and not together[:, 0].any()
     scored = {r.doc_id: (r.difference, r.letters, r.peak, r.score) for r in toxicity.score_toxicity(d, l).collect()}
     for i in (0, 1, 7):
         apart = plain_differences(classes, texts.values(), texts[i])
