@@ -243,49 +243,6 @@ def least_labels(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def component_edges(labelled: DataFrame) -> DataFrame:
-    """The outline of components in pixel corners: a row for each pixel side whose other side is another component, with the component on its left."""
-    sides = [((0, 0), (0, 1), (-1, 0)), ((0, 1), (1, 1), (0, 1)), ((1, 1), (1, 0), (1, 0)), ((1, 0), (0, 0), (0, -1))]
-    all_sides = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("ar", "ac", "br", "bc", "nr", "nc"), (*a, *b, *n), strict=True))) for a, b, n in sides))
-    rows = labelled.withColumn("__s", F.explode(all_sides))
-    near = labelled.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col("component").alias("__k"))
-    both = rows.join(near, (F.col("row") + F.col("__s.nr") == F.col("__r")) & (F.col("col") + F.col("__s.nc") == F.col("__c")), "left")
-    edge = both.where(F.col("__k").isNull() | (F.col("__k") != F.col("component")))
-    return edge.select("component", "value", *((F.col(c) + F.col(f"__s.{n}")).alias(n) for c, n in (("row", "ar"), ("col", "ac"), ("row", "br"), ("col", "bc"))))
-
-
-def polygons(labelled: DataFrame) -> DataFrame:
-    """component, value, rings: each component's outline chained to closed rings, the shell first, holes after it; straight runs are one edge."""
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        follow: dict[tuple, list[tuple]] = {}
-        for ar, ac, br, bc in zip(pdf["ar"], pdf["ac"], pdf["br"], pdf["bc"], strict=True):
-            follow.setdefault((ar, ac), []).append((br, bc))
-        rings = []
-        while follow:
-            start = min(follow)
-            ring, at, came = [start], start, None
-            while True:
-                options = follow[at]
-                if came is not None and len(options) > 1:  # where two corners meet, turn so that the component stays whole
-                    dr, dc = at[0] - came[0], at[1] - came[1]
-                    options.sort(key=lambda o: dr * (o[1] - at[1]) - dc * (o[0] - at[0]))
-                nxt = options.pop()
-                if not options:
-                    del follow[at]
-                came, at = at, nxt
-                if at == start:
-                    break
-                ring.append(at)
-            pts = [p for i, p in enumerate(ring) if (p[0] - ring[i - 1][0]) * (ring[(i + 1) % len(ring)][1] - p[1]) != (p[1] - ring[i - 1][1]) * (ring[(i + 1) % len(ring)][0] - p[0])]
-            rings.append([{"x": float(c), "y": float(r)} for r, c in [*pts, pts[0]]])
-        area = lambda r: abs(sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(r[:-1], r[1:], strict=True)))
-        rings.sort(key=area, reverse=True)
-        return pd.DataFrame({"component": [pdf["component"].iat[0]], "value": [pdf["value"].iat[0]], "rings": [rings]})
-
-    return component_edges(labelled).groupBy("component").applyInPandas(lambda pdf: trace(pdf), "component long, value double, rings array<array<struct<x:double,y:double>>>")
-
-
 def rasterised(boxes: DataFrame, value: str, size: float) -> DataFrame:
     """Boxes (lbox, value), or polygons where there are rings, burnt onto a grid of the given pixel size: each pixel that is covered in part or whole gets the largest value; others are absent (-1 in an export)."""
     b = F.col("lbox")

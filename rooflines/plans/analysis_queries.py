@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import evaluation, raster, rings, sampling, stats
+from ..operators import evaluation, outlines, raster, rings, sampling, stats
 from ..streaming import intake
 from .fixtures import Tables, with_tables
 from .registry import query
@@ -403,7 +403,7 @@ def eroded_labels(t: Tables) -> DataFrame:
 def mask_polygons(t: Tables) -> DataFrame:
     """A chequered mask as components (across blocks) and polygons: each one's box, area and value."""
     mask = t.pixels().select("row", "col", ((F.floor(F.col("row") / 7) + F.floor(F.col("col") / 9)) % 2).alias("value"))
-    shapes = raster.polygons(raster.components(mask, 64))
+    shapes = outlines.polygons(raster.components(mask, 64))
     b = geo.bounds(F.col("rings"))
     return shapes.select(*(b[c].alias(c) for c in ("x1", "y1", "x2", "y2")), geo.polygon_area(F.col("rings")).alias("area"), "value")
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rooflines.functions import geo, polygons
-from rooflines.operators import evaluation, fusion, lod1, raster, rings, sampling, spatial, stats
+from rooflines.operators import evaluation, fusion, lod1, outlines, raster, rings, sampling, spatial, stats
 
 
 def boxes(spark, rows):
@@ -132,7 +132,7 @@ def test_greedy_takes_the_best_free_truth_and_crowds_again(spark):
 def test_mask_with_a_hole_across_blocks(spark):
     px = [(r, c, 1 if 1 <= r <= 6 and 1 <= c <= 6 and not (3 <= r <= 4 and 3 <= c <= 4) else 0) for r in range(8) for c in range(8)]
     lab = raster.components(spark.createDataFrame(px, "row int, col int, value int"), side=3)
-    shapes = raster.polygons(lab.where("value = 1")).collect()
+    shapes = outlines.polygons(lab.where("value = 1")).collect()
     assert len(shapes) == 1 and [len(r) for r in shapes[0].rings] == [5, 5]
     area = lambda r: abs(sum(a.x * b.y - b.x * a.y for a, b in zip(r[:-1], r[1:], strict=True)) / 2)
     assert [area(r) for r in shapes[0].rings] == [36, 4]
