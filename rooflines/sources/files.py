@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators.sampling import numbered
 
 
 def listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -117,12 +118,10 @@ def to_coco(polygons: DataFrame, category: int = 100) -> DataFrame:
     """polygons (image_id, rings, score) as annotations with running ids. bbox is centre and size, which readers of this export expect."""
     b = geo.bounds(F.col("rings"))
     rows = polygons.withColumn("__b", b).withColumn("area", geo.polygon_area(F.col("rings")))
-    ranked = rows.withColumn("id", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), F.to_json("rings"))))
-    counts = ranked.groupBy("image_id").agg(F.count("*").alias("__n"))
-    starts = counts.withColumn("__from", F.coalesce(F.sum("__n").over(Window.orderBy("image_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    ranked = numbered(rows.withColumn("__json", F.to_json("rings")), "__n", "image_id", F.desc("score"), "__json")
     flat = F.transform("rings", lambda r: F.flatten(F.transform(r, lambda p: F.array(p["x"], p["y"]))))
     w, h = F.col("__b.x2") - F.col("__b.x1"), F.col("__b.y2") - F.col("__b.y1")
-    return ranked.join(starts, "image_id").select((F.col("id") + F.col("__from")).alias("id"), "image_id", F.lit(category).alias("category_id"), flat.alias("segmentation"), "area", F.array(F.col("__b.x1") + w / 2, F.col("__b.y1") + h / 2, w, h).alias("bbox"), F.lit(0).alias("iscrowd"), "score")
+    return ranked.select((F.col("__n") + 1).alias("id"), "image_id", F.lit(category).alias("category_id"), flat.alias("segmentation"), "area", F.array(F.col("__b.x1") + w / 2, F.col("__b.y1") + h / 2, w, h).alias("bbox"), F.lit(0).alias("iscrowd"), "score")
 
 
 def write_files(rows: DataFrame, folder: str) -> int:
