@@ -17,20 +17,21 @@ is judged by its own text, whether its id is null or others have it too.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .automaton import Automaton, automaton
 from .common import WORD_BYTES, cut, free, read, tidy
 
 WINDOW = 10
-MOST_BYTES = 4 << 20
+MOST_BYTES = 8 << 20
+#: Words of texts that take their steps together.
+GROUP = 1 << 17
 #: The bitmap of a large benchmark's windows has 2 ** BITS bits, made in parts of 2 ** PART.
 BITS, PART = 26, 19
 OUT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
@@ -41,25 +42,6 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def automaton(items: list[tuple[str | None, bytes]], window: int) -> tuple[dict[bytes, int], ahocorasick.Automaton | None]:
-    """Word numbers from 1, and the automaton; its values are a window's length and its items' ids."""
-    number: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], list[str]] = {}
-    for item, text in items:
-        ids = tuple(number.setdefault(w, len(number) + 1) for w in words(text))
-        for at in range(max(1, len(ids) - window + 1)) if ids else ():
-            owned = owners.setdefault(ids[at : at + window], [])
-            if item is not None and (not owned or owned[-1] != item):
-                owned.append(item)
-    if not owners:
-        return number, None
-    made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, owned in owners.items():
-        made.add_word(key, (len(key), owned))
-    made.make_automaton()
-    return number, made
-
-
 def code_points(text: bytes, places: np.ndarray) -> np.ndarray:
     """Places in bytes as places in code points."""
     begins = np.concatenate([[0], np.cumsum((np.frombuffer(text, "u1") & 0xC0) != 0x80)])
@@ -82,29 +64,45 @@ def _spans(found) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in found]
 
 
-def _scanner(shared, window: int):
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[list[bytes]]]]:
+    """A batch's texts and their words, in groups of some GROUP words, each with its first row's place."""
+    begin, raws, found, n = 0, [], [], 0
+    for text in batch.column("text").cast(pa.binary()):
+        raws.append(text.as_py() or b"")
+        found.append(words(raws[-1]))
+        n += len(found[-1])
+        if n >= GROUP:
+            yield begin, raws, found
+            begin, raws, found, n = begin + len(raws), [], [], 0
+    if raws:
+        yield begin, raws, found
+
+
+def _scanner(shared):
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, made = automaton(shared.value, window)
-        get = number.get
+        made: Automaton = shared.value
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                raw = text.as_py() or b""
-                found = words(raw)
-                hit = np.zeros(len(found) + 1, "i4")
-                items: set[str] = set()
-                for end, (n, owned) in made.iter(tuple([get(w, 0) for w in found])) if made else ():
-                    hit[end + 1 - n] += 1
-                    hit[end + 1] -= 1
-                    items.update(owned)
-                spans = runs = np.zeros((0, 2), "i4")
-                if hit.any():
-                    runs = _runs(np.cumsum(hit)[:-1] > 0)
-                    at = [m.span() for m in re.finditer(rb"[^\x20]+", raw.translate(WORD_BYTES))]
-                    spans = code_points(raw, np.array([(at[a][0], at[b - 1][1]) for a, b in runs]))
-                rows.append((doc_id, len(found), int((runs[:, 1] - runs[:, 0]).sum()), sorted(items), _spans(spans)))
-            yield _batch(rows)
+            ids = batch.column("doc_id").to_pylist()
+            for begin, raws, found in _groups(batch):
+                state = made.states(found)
+                ends = np.flatnonzero(made.last[state])
+                n = made.lengths(made.last[state[ends]])
+                change = np.zeros(len(state) + 1, "i4")  # the longest window that ends at a word covers the others that do
+                np.add.at(change, ends + 1 - n, 1)
+                np.add.at(change, ends + 1, -1)
+                covered = np.cumsum(change)[:-1] > 0
+                rows, at = [], 0
+                for doc_id, raw, here in zip(ids[begin : begin + len(raws)], raws, found, strict=True):
+                    runs, items, spans = _runs(covered[at : at + len(here)]), [], []
+                    if len(runs):
+                        mine = ends[np.searchsorted(ends, at) : np.searchsorted(ends, at + len(here))]
+                        items = made.items(made.sequences(np.unique(state[mine]))[1])
+                        letters = _runs(np.frombuffer(raw.translate(WORD_BYTES), "u1") != 32)
+                        spans = code_points(raw, np.stack([letters[runs[:, 0], 0], letters[runs[:, 1] - 1, 1]], axis=1))
+                    rows.append((doc_id, len(here), int((runs[:, 1] - runs[:, 0]).sum()), items, _spans(spans)))
+                    at += len(here) + 1
+                yield _batch(rows)
 
     return scan
 
@@ -260,22 +258,29 @@ def _items(benchmark: DataFrame, most_bytes: int) -> list[tuple[str | None, byte
     return [(item, bytes(raw)) for item, raw in rows.orderBy("item", "raw").collect()]
 
 
+def _made(items: list[tuple[str | None, bytes]], window: int) -> Automaton:
+    """The automaton of items; where they have no window, that of a word that no text has."""
+    return automaton([(item, words(text)) for item, text in items], window) or automaton([(None, [b" "])], window)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """A row for each row of docs: words, hit words, the items found (sorted as strings) and the hit spans in code points."""
     items = _items(benchmark, most_bytes)
     if items is None:
         return _contamination_by_join(docs, benchmark, window)
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanner(shared, window), OUT)
+    shared = docs.sparkSession.sparkContext.broadcast(_made(items, window))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanner(shared), OUT)
 
 
-def _cleaner(shared, window: int):
+def _cleaner(shared):
     @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, made = automaton(shared.value, window)
+        made: Automaton = shared.value
         for batch in batches:
-            clean = [made is None or next(made.iter(tuple([number.get(w, 0) for w in words(t.as_py() or b"")])), None) is None for t in batch.column("text").cast(pa.binary())]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for begin, raws, found in _groups(batch):
+                hit = np.append(np.cumsum(made.last[made.states(found)] > 0), 0)  # the last is 0: what comes before the first text
+                to = np.cumsum([len(t) + 1 for t in found]) - 1
+                yield batch.slice(begin, len(raws)).filter(pa.array(np.diff(hit[np.append(-1, to)]) == 0))
 
     return keep
 
@@ -284,7 +289,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """docs without the rows that hold a window of an item, with all their columns."""
     items = _items(benchmark, most_bytes)
     if items is not None:
-        return docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(items), window), docs.schema)
+        return docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(_made(items, window))), docs.schema)
     marks, wins = _joined(docs, benchmark, window)
     names = free("__id", docs), free("__text", docs)
     found = marks.where("first is not null").join(wins.select("h1", "h2"), ["h1", "h2"], "left_semi").select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])).distinct()

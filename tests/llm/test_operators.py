@@ -19,7 +19,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rooflines.llm import components, decontaminate, jaccard, line_dedup, media, mixing, pii, queries, secrets, toxicity, url_filter, warc
+from rooflines.llm import automaton, components, decontaminate, jaccard, line_dedup, media, mixing, pii, queries, secrets, toxicity, url_filter, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kind string, n string, score double, spans int"
@@ -432,6 +432,28 @@ def test_both_ways_of_decontamination_are_the_same(spark, monkeypatch):
     assert way(0) == small
 
 
+@pytest.mark.parametrize("window", [1, 3, 10])
+def test_automaton_finds_what_a_search_finds(window):
+    """Few words, so that states fall back often; items shorter than a window end inside others, and several have the same."""
+    r = random.Random(window)
+    some = lambda n: [b"w%d" % r.randrange(3) for _ in range(n)]
+    items = [(r.choice([None, "a", "b", "c", "d"]), some(r.choice([0, 1, 2, 4, 9, 10, 13]))) for _ in range(12)]
+    made = automaton.automaton(items, window)
+    texts = [some(r.choice([0, 1, 7, 40])) + [b"other"] + some(20) for _ in range(30)] + [[]]
+    state = made.states(texts)
+    at = 0
+    for t in texts:
+        for end in range(len(t)):
+            want = {(len(w), w[i : i + window] == t[end + 1 - min(window, len(w)) : end + 1]) for _, w in items if w for i in range(max(1, len(w) - window + 1))}
+            long = {min(window, n) for n, same in want if same and end + 1 >= min(window, n)}
+            places, ends = made.sequences(state[at + end : at + end + 1])
+            assert set(made.lengths(ends).tolist()) == long and made.lengths(made.last[state[at + end : at + end + 1]])[0] == max(long, default=0)
+            owners = {i for i, w in items if i and w for k in range(max(1, len(w) - window + 1)) if end + 1 >= min(window, len(w)) and w[k : k + window] == t[end + 1 - min(window, len(w)) : end + 1]}
+            assert made.items(ends) == sorted(owners)
+        at += len(t) + 1
+    assert automaton.automaton([("a", [])], window) is None
+
+
 def test_decontamination_odd_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = rows(decontaminate.contamination(odd(spark), none))
