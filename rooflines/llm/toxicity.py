@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, read, tidy
+from .common import ascii_lower, cut, give_back, read, tidy
 
 MOST_ROWS, FOLDS, SAMPLE_TASKS = 4000, 3, 24
 ORDER, DISCOUNT, PEAK, THRESHOLD = 5, 0.75, 3, 0.3
@@ -127,8 +127,14 @@ def _parts(counted: DataFrame) -> Iterator[list[bytes]]:
         yield row.packed
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in two bytes each where they all fit."""
+    return n.astype("u2") if n.max(initial=0) < 1 << 16 else n
+
+
 def _counts(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([*parts, np.zeros(0, "i4")]).reshape(-1, 2, FOLDS)
+    """Of the widest type among the parts."""
+    return np.concatenate([*parts, np.zeros(0, "u2")]).reshape(-1, 2, FOLDS)
 
 
 class Pairs:
@@ -143,7 +149,7 @@ class Pairs:
             n, before, word = (np.frombuffer(x, kind) for x, kind in zip(packed, ("i4", "i8", "i8"), strict=True))
             keys.append(pair_key(before, word))
             places.append(np.stack([np.searchsorted(hashes, before), np.searchsorted(hashes, word)], 1).astype("i4"))
-            counts.append(n)
+            counts.append(_narrow(n))
         self.keys = np.concatenate([*keys, np.zeros(0, "i8")])
         order = np.argsort(self.keys)
         self.keys = self.keys[order]
@@ -156,7 +162,7 @@ class Pairs:
 
 def _but(counts: np.ndarray, toxic: int, but: int | None) -> np.ndarray:
     """A class's counts of all folds but one."""
-    return sum(counts[:, toxic, f] for f in range(FOLDS) if f != but)
+    return counts[:, toxic, [f for f in range(FOLDS) if f != but]].sum(1, dtype="i4")
 
 
 def hashed(word: bytes) -> int:
@@ -181,7 +187,7 @@ class Table:
         self.keys: list[bytes] = []
         found = []
         for n, ends, joined in _parts(rows):
-            found.append(np.frombuffer(n, "i4"))
+            found.append(_narrow(np.frombuffer(n, "i4")))
             ends = [0, *np.frombuffer(ends, "i8").tolist()]
             self.keys += [joined[a:b] for a, b in pairwise(ends)]
         self.counts = _counts(found)
@@ -480,6 +486,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
         return None
     vocabulary = Vocabulary(by_word)
     pairs = Pairs(rows, vocabulary.hashes)
+    give_back()
     shared = Shared.counted(cut(corpus_grams(docs).select("gram")), counted.select("gram"))
 
     def side(toxic: int, but: int | None = None) -> Side:
@@ -490,6 +497,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
         held = sc.broadcast(Model(side(0, f), side(1, f), shared, vocabulary, pairs))
         seen += rows.where(F.col("fold") == f).select("toxic", "text").mapInArrow(_scorer(held, ["toxic"]), f"toxic int, {SCORED}").select("toxic", "difference", "letters", "peak").collect()
         held.destroy()
+        give_back()
     rows.unpersist()
     toxic, *apart = np.array(sorted(tuple(r) for r in seen), "f8").reshape(-1, 4).T  # sorted: the same sums on any cluster
     model = Model(side(0), side(1), shared, vocabulary, pairs)
