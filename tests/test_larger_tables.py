@@ -3,9 +3,28 @@
 from pyspark.sql import functions as F
 
 from rooflines.functions import geo
+from rooflines.operators import rings
+from rooflines.plans import footprint_queries  # noqa: F401
+from rooflines.plans.fixtures import Tables
+from rooflines.plans.registry import QUERIES
 
 
 def test_magnitudes_of_a_thousand_millions_and_more(spark):
     values = [0, 499_999, 500_000, 1_500_000, 2_500_000, 12_345_678, 1_140_865_716, 12_345_678_000]
     rows = spark.createDataFrame([(v,) for v in values], "v long")
     assert [r.m for r in rows.orderBy("v").select(geo.magnitude(F.col("v")).alias("m")).collect()] == ["0M", "0M", "1M", "2M", "3M", "12M", "1141M", "12346M"]
+
+
+def plan(df) -> str:
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+
+def test_rings_bring_their_columns_along(spark, small):
+    t = Tables(spark, small)
+    for name in ("densified_rings", "vertex_angles", "contour_projection"):
+        assert "Broadcast" not in plan(QUERIES[name](spark, small)), name
+    kites = t.kites()
+    dense = rings.densified(kites, 3.0, "ring_id", "source")
+    assert dense.columns == ["ring_id", "source", "pos", "k", "x", "y"]
+    want = kites.select("ring_id", F.col("source").alias("s"))
+    assert dense.count() > kites.count() and dense.join(want, "ring_id").where("source <> s").isEmpty()
