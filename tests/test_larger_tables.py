@@ -1,8 +1,12 @@
 """What only shows on tables larger than the tests' own, on hand-made rows or read from the plan."""
 
+import time
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rooflines.functions import geo
+from rooflines.functions import geo, polygons
 from rooflines.operators import rings
 from rooflines.plans import footprint_queries  # noqa: F401
 from rooflines.plans.fixtures import Tables
@@ -28,3 +32,38 @@ def test_rings_bring_their_columns_along(spark, small):
     assert dense.columns == ["ring_id", "source", "pos", "k", "x", "y"]
     want = kites.select("ring_id", F.col("source").alias("s"))
     assert dense.count() > kites.count() and dense.join(want, "ring_id").where("source <> s").isEmpty()
+
+
+def test_batches_of_polygons_are_as_each_by_itself():
+    rand = np.random.default_rng(5)
+    value = lambda rings: [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
+    column = [None, []]
+    for i in range(400):
+        made = []
+        for _ in range(1 + i % 3):
+            n = int(rand.integers(1, 13))
+            r = rand.integers(0, 7, (n, 2)).astype(float) if i % 2 else np.stack([np.cos(np.arange(n) * 6.28 / n), np.sin(np.arange(n) * 6.28 / n)], 1) * rand.uniform(1, 5) + rand.normal(0, 0.1, (n, 2)) + 3
+            made.append(np.concatenate([r, r[:1]]) if i % 5 else r)
+        column.append(value(made))
+    a = pa.array(column, pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    each, read = [polygons.as_rings(v) for v in column], polygons.Rings.read(a)
+    assert read.value().to_pylist() == [polygons.as_value(r) for r in each]
+    assert a.slice(7, 90).to_pylist() == column[7:97] and polygons.Rings.read(a.slice(7, 90)).value().to_pylist() == [polygons.as_value(r) for r in each[7:97]]
+    assert polygons.valid_rings(read).tolist() == [polygons.is_valid(r) for r in each]
+    boxes = np.array([(b[0], b[1], b[0] + c[0], b[1] + c[1]) for b, c in zip(rand.integers(0, 5, (402, 2)), rand.uniform(0.5, 5, (402, 2)), strict=True)], float)
+    assert polygons.clipped_rings(read, boxes).value().to_pylist() == [polygons.as_value(polygons.clip_to_box(r, *b)) for r, b in zip(each, boxes, strict=True)]
+    for tolerance in (0.0, 0.3, 2.0):
+        lines = [r for v in each for r in v if len(r) > 1]
+        keep = polygons.simplified_lines(np.concatenate(lines), np.cumsum([0, *map(len, lines)]), tolerance)
+        want = [polygons.douglas_peucker(r, tolerance) for r in lines]
+        assert np.array_equal(np.concatenate(lines)[keep], np.concatenate(want))
+
+
+def test_a_batch_of_polygons_takes_no_longer_than_its_points_ask():
+    n = 20_000
+    ring = np.array([(0, 0), (1, 0.0), (2, 0), (2, 0.5), (2, 1), (1.5, 1), (1, 1), (1, 1.5), (1, 2), (0.5, 2), (0, 2), (0, 1)], float)
+    many = polygons.Rings(np.concatenate([ring] * n), np.arange(n + 1) * 12, np.arange(n + 1))
+    before = time.process_time()
+    assert polygons.valid_rings(many).all()
+    assert (np.diff(polygons.clipped_rings(many, np.tile([0.0, 0, 1, 1], (n, 1))).at) > 3).all()
+    assert time.process_time() - before < 10
