@@ -67,3 +67,28 @@ def test_a_batch_of_polygons_takes_no_longer_than_its_points_ask():
     assert polygons.valid_rings(many).all()
     assert (np.diff(polygons.clipped_rings(many, np.tile([0.0, 0, 1, 1], (n, 1))).at) > 3).all()
     assert time.process_time() - before < 10
+
+
+def test_overlaps_of_a_batch_are_the_expressions_own(spark):
+    rand = np.random.default_rng(8)
+    flower = lambda x, y, r, n: np.stack([x + np.cos(np.arange(n) * 6.283185 / n) * r * rand.uniform(0.4, 1, n), y + np.sin(np.arange(n) * 6.283185 / n) * r * rand.uniform(0.4, 1, n)], 1)
+    square = lambda x, y, w, h: np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)
+
+    def polygon(i: int) -> list:
+        x, y = rand.integers(0, 12, 2)
+        w, h = rand.integers(2, 7, 2)
+        shell = flower(x, y, rand.uniform(1, 6), int(rand.integers(3, 9))) if i % 3 == 0 else square(x, y, w, h)
+        out = [shell, square(x + 0.5, y + 0.5, w - 1, h - 1)] if i % 3 == 1 else [shell]
+        return polygons.as_value([r[::-1] if rand.integers(2) else r for r in out])
+
+    pairs = [(i, polygon(i), polygon(int(rand.integers(9)))) for i in range(300)]
+    rows = spark.createDataFrame(pairs, "i int, a array<array<struct<x:double,y:double>>>, b array<array<struct<x:double,y:double>>>")
+    both = rows.select(polygons.overlap(F.col("a"), F.col("b")).alias("got"), F.when(geo.polygons_meet(F.col("a"), F.col("b")), geo.polygon_shared_area(F.col("a"), F.col("b"))).alias("want")).collect()
+    assert sum(r.got is None for r in both) > 30 and sum(r.got == 0 for r in both) > 3
+    assert all((r.got is None) == (r.want is None) and (r.got is None or abs(r.got - r.want) < 1e-9) for r in both)
+
+
+def test_pairs_of_shapes_are_worked_out_once_and_not_kept(spark, small):
+    for name in ("shape_iou", "polygon_iou"):
+        p = plan(QUERIES[name](spark, small))
+        assert p.count("ArrowEvalPython") == 1, (name, p)
