@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, polygons
 from .raster import checkpointed
-from .spatial import cut_polygons, grid_join, polygon_join, refined
+from .spatial import cut_polygons, grid_join, polygon_join
 
 #: The candidates in the order that settles ties.
 CANDIDATES = ["ms", "osm", "ours2", "google"]
@@ -59,12 +59,20 @@ def overlaps(cropped: DataFrame, main: str, side: float) -> DataFrame:
     pairs = grid_join(others, mains, side, on=lambda a, b: a["roi_id"] == b["main_roi"], small_right=False)
     if not exact(cropped):
         return pairs.select("roi_id", "source", "fid", "main_fid", geo.shared_area(F.col("lbox"), F.col("rbox")).alias("shared"))
-    return refined(pairs, "rings", "rrings").select("roi_id", "source", "fid", "main_fid", geo.polygon_shared_area(F.col("rings"), F.col("rrings")).alias("shared"))
+    return pairs.select("roi_id", "source", "fid", "main_fid", polygons.overlap(F.col("rings"), F.col("rrings")).alias("shared")).where("shared is not null")
+
+
+def matched(pairs: DataFrame) -> DataFrame:
+    """A row for each feature of pairs: roi_id, source, fid and what it shares with main features (overlap)."""
+    return pairs.groupBy("roi_id", "source", "fid").agg(F.sum("shared").alias("overlap"))
 
 
 def source_quality(cropped: DataFrame, pairs: DataFrame) -> DataFrame:
+    return quality_of(cropped, matched(pairs))
+
+
+def quality_of(cropped: DataFrame, matched: DataFrame) -> DataFrame:
     """By district and other source: features, area, matched features, overlap (pairs summed), added (area of what meets no main feature), quality."""
-    matched = pairs.groupBy("roi_id", "source", "fid").agg(F.sum("shared").alias("overlap"))
     rows = cropped.select("roi_id", "source", "fid", area(cropped).alias("area")).join(matched, ["roi_id", "source", "fid"], "left")
     return rows.groupBy("roi_id", "source").agg(
         F.count("*").alias("features"),
@@ -89,12 +97,12 @@ def best_source(quality: DataFrame, main: str, candidates: list[str] | None = No
 
 def fuse(cropped: DataFrame, main: str, side: float, candidates: list[str] | None = None) -> DataFrame:
     """Main features, and of each district's best other source those that meet no main feature (all where there is none)."""
-    # the crop and the pairs feed quality, choice and merge: each is worked out once
+    # the crop and what its features share feed quality, choice and merge: each is worked out once. Pairs, of which there are many more than features, aren't kept
     cropped = checkpointed(cropped)
-    pairs = checkpointed(overlaps(cropped, main, side))
-    best = best_source(source_quality(cropped, pairs), main, candidates)
+    met = checkpointed(matched(overlaps(cropped, main, side)))
+    best = best_source(quality_of(cropped, met), main, candidates)
     chosen = cropped.join(best.select("roi_id", F.col("best").alias("source")), ["roi_id", "source"], "left_semi")
-    rest = chosen.join(pairs.select("roi_id", "source", "fid").distinct(), ["roi_id", "source", "fid"], "left_anti")
+    rest = chosen.join(met, ["roi_id", "source", "fid"], "left_anti")
     return cropped.where(F.col("source") == main).unionByName(rest.select(*cropped.columns))
 
 

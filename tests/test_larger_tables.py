@@ -89,6 +89,6 @@ def test_overlaps_of_a_batch_are_the_expressions_own(spark):
 
 
 def test_pairs_of_shapes_are_worked_out_once_and_not_kept(spark, small):
-    for name in ("shape_iou", "polygon_iou"):
+    for name in ("shape_iou", "polygon_iou", "shape_quality"):
         p = plan(QUERIES[name](spark, small))
         assert p.count("ArrowEvalPython") == 1, (name, p)
