@@ -264,12 +264,9 @@ def coco_average_precision(t: Tables) -> DataFrame:
 
 @query(with_tables("SELECT h.fid AS pred, arg_min(f.fid, f.fid) AS truth FROM houses h JOIN footprints f ON f.x1 <= h.x2 AND h.x1 <= f.x2 AND f.y1 <= h.y2 AND h.y1 <= f.y2 WHERE (least(f.x2, h.x2) - greatest(f.x1, h.x1)) * (least(f.y2, h.y2) - greatest(f.y1, h.y1)) / ((h.x2 - h.x1) * (h.y2 - h.y1)) > 0.3 GROUP BY 1", "footprints", "houses"))
 def first_fitting_truth(t: Tables) -> DataFrame:
-    from ..operators.spatial import grid_join
-
-    right = t.footprints().select(F.col("fid").alias("truth"), F.col("lbox").alias("rbox"))
-    pairs = grid_join(t.houses().select(F.col("fid").alias("pred"), "lbox"), right, 64.0, small_right=False)
-    rows = pairs.select("pred", "truth", F.col("truth").alias("truth_order"), geo.shared_area(F.col("lbox"), F.col("rbox")).alias("shared"), geo.box_area(F.col("lbox")).alias("pred_area"))
-    return evaluation.first_fit(rows, 0.3)
+    right = t.footprints().select(F.col("fid").alias("truth"), F.col("fid").alias("truth_order"), F.col("lbox").alias("rbox"))
+    preds = t.houses().select(F.col("fid").alias("pred"), "lbox")
+    return evaluation.first_fits(preds, right, 64.0, 0.3, geo.shared_area(F.col("lbox"), F.col("rbox")), geo.box_area(F.col("lbox")))
 
 
 @query("SELECT l_returnflag AS flag, round(avg(q / 51 * (1 - abs(l - m) / (l + m))), 6) AS c_iou FROM (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS q, l_linenumber + 3 AS l, l_partkey % 9 + 3.0 AS m FROM lineitem) GROUP BY 1")

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from rooflines.operators import evaluation
+from rooflines.functions import geo
+from rooflines.operators import evaluation, spatial
 from rooflines.plans import analysis_queries, detail_queries, footprint_queries, source_queries  # noqa: F401
 
 
@@ -35,3 +36,45 @@ def test_greedy_matches_over_many_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     # no call of Python for each group
     assert "FlatMapGroups" not in plan(found)
+
+
+def boxes(rand, n: int, wide: int) -> list:
+    return [(i, float(x := rand.randrange(60)), float(y := rand.randrange(60)), float(x + rand.randrange(1, wide)), float(y + rand.randrange(1, wide))) for i in range(n)]
+
+
+def test_first_fits_by_rounds(spark, monkeypatch):
+    rand = random.Random(6)
+    a, b = boxes(rand, 150, 9), boxes(rand, 400, 9)
+    share = lambda p, q: max(0, min(p[3], q[3]) - max(p[1], q[1])) * max(0, min(p[4], q[4]) - max(p[2], q[2])) / ((p[3] - p[1]) * (p[4] - p[2]))
+    want = {p[0]: fits[-1][0] for p in a if (fits := [q for q in b if share(p, q) > 0.3])}  # the order is against the id
+    table = lambda rows: spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double")
+    box = geo.box("x1", "y1", "x2", "y2")
+    preds, truths = table(a).select(F.col("id").alias("pred"), box.alias("lbox")), table(b).select(F.col("id").alias("truth"), (-F.col("id")).alias("truth_order"), box.alias("rbox"))
+    looked = []
+    join = evaluation.grid_join
+    monkeypatch.setattr(evaluation, "grid_join", lambda left, right, *x, **y: looked.append((left.count(), right.count())) or join(left, right, *x, **y))
+    for first in (1_000, 20, 3):
+        monkeypatch.setattr(evaluation, "FIRST_TRUTHS", first)
+        looked.clear()
+        got = evaluation.first_fits(preds, truths, 8.0, 0.3, geo.shared_area(F.col("lbox"), F.col("rbox")), geo.box_area(F.col("lbox"))).collect()
+        assert {r.pred: r.truth for r in got} == want and len(got) == len(want)
+        assert (len(looked) == 1) == (first == 1_000)
+        assert sum(n * m for n, m in looked) < 150 * 400 or first == 1_000
+
+
+def test_semi_and_anti_joins_by_rounds(spark, monkeypatch):
+    rand = random.Random(7)
+    a, b = boxes(rand, 200, 6), [r for r in boxes(rand, 120, 9) if r[1] < 35]
+    want = {p[0] for p in a if any(p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4] for q in b)}
+    assert 20 < len(want) < 180
+    table = lambda rows: spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double")
+    box = geo.box("x1", "y1", "x2", "y2")
+    left, right = table(a).select(F.col("id").alias("lid"), (F.col("id") % 2).alias("k"), box.alias("lbox")), table(b * 3).select((F.col("id") % 2).alias("j"), box.alias("rbox"))
+    odd = {p[0] for p in a if any(p[0] % 2 == q[0] % 2 and p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4] for q in b)}
+    for first in (10_000, 5):
+        monkeypatch.setattr(spatial, "FIRST_BOXES", first)
+        for how, found, rest in (("left_semi", want, odd), ("left_anti", set(range(200)) - want, set(range(200)) - odd)):
+            got = [r.lid for r in spatial.grid_join(left, right.select("rbox"), 8.0, how, small_right=False).collect()]
+            assert set(got) == found and len(got) == len(found)
+            got = [r.lid for r in spatial.grid_join(left, right, 8.0, how, on=lambda x, y: x["k"] == y["j"], small_right=False).collect()]
+            assert set(got) == rest and len(got) == len(rest)
