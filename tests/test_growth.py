@@ -1,12 +1,14 @@
 """That queries' cost grows with their tables: read from plans, or held against brute force on hand-made rows."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from rooflines.functions import geo
-from rooflines.operators import evaluation, spatial
+from rooflines.operators import evaluation, raster, spatial
 from rooflines.plans import analysis_queries, detail_queries, footprint_queries, source_queries  # noqa: F401
+from rooflines.plans.registry import QUERIES
 
 
 def plan(df) -> str:
@@ -78,3 +80,21 @@ def test_semi_and_anti_joins_by_rounds(spark, monkeypatch):
             assert set(got) == found and len(got) == len(found)
             got = [r.lid for r in spatial.grid_join(left, right, 8.0, how, on=lambda x, y: x["k"] == y["j"], small_right=False).collect()]
             assert set(got) == rest and len(got) == len(rest)
+
+
+def test_rows_of_small_files_are_spread_before_their_pixels_are_listed(spark, small):
+    for name in ("image_iou", "lod1_shape_height", "dissolved_houses", "rasterised_houses"):
+        assert "RoundRobinPartitioning" in plan(QUERIES[name](spark, small)), name
+
+
+def test_dissolved_boxes_are_spans(spark, small):
+    rand = random.Random(8)
+    a = boxes(rand, 80, 12) + [(90, 3.5, 4.25, 3.5, 9.5), (92, -7.5, -3.0, 2.25, 1.0)]
+    want = {}
+    for i, x1, y1, x2, y2 in a:
+        cells = lambda lo, hi: range(math.floor(lo / 2), max(math.floor(lo / 2), math.ceil(hi / 2) - 1) + 1)
+        want.setdefault(i % 2, set()).update((r, c) for r in cells(y1, y2) for c in cells(x1, x2))
+    df = spark.createDataFrame(a, "id long, x1 double, y1 double, x2 double, y2 double").select((F.col("id") % 2).alias("g"), geo.box("x1", "y1", "x2", "y2").alias("lbox"))
+    assert {r.g: r.area for r in raster.dissolved_area(df, "g", 2.0).collect()} == {g: len(cells) * 4.0 for g, cells in want.items()}
+    # a row for each row of a box, not for each pixel
+    assert plan(QUERIES["dissolved_houses"](spark, small)).count("Generate explode") == 1
