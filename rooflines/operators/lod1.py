@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .raster import spread
 
 MISSING = -999.0
 OUTSIDE = -1.0
@@ -28,7 +29,7 @@ def zonal_pixels(footprints: DataFrame, pixels: DataFrame, size: float) -> DataF
     """
     b = F.col("lbox")
     span = lambda lo, hi: F.sequence(F.floor(b[lo] / size), F.greatest(F.floor(b[lo] / size), F.ceil(b[hi] / size) - 1))
-    places = footprints.withColumn("col", F.explode(span("x1", "x2"))).withColumn("row", F.explode(span("y1", "y2")))
+    places = spread(footprints).withColumn("col", F.explode(span("x1", "x2"))).withColumn("row", F.explode(span("y1", "y2")))
     if "rings" in footprints.columns:
         x, y = F.col("col") * size, F.col("row") * size
         places = places.where(geo.polygon_crosses_box(F.col("rings"), geo.box(x, y, x + size, y + size))).drop("rings")
