@@ -98,3 +98,11 @@ def test_dissolved_boxes_are_spans(spark, small):
     assert {r.g: r.area for r in raster.dissolved_area(df, "g", 2.0).collect()} == {g: len(cells) * 4.0 for g, cells in want.items()}
     # a row for each row of a box, not for each pixel
     assert plan(QUERIES["dissolved_houses"](spark, small)).count("Generate explode") == 1
+
+
+def test_rounds_of_labels_send_no_table_through_the_driver(spark, small, monkeypatch):
+    keep, plans = raster.checkpointed, []
+    monkeypatch.setattr(raster, "checkpointed", lambda df: plans.append(plan(df)) or keep(df))
+    found = QUERIES["size_clusters"](spark, small)
+    found.collect()
+    assert len(plans) > 5 and not [p for p in [*plans, plan(found)] if "Broadcast" in p]
