@@ -72,3 +72,13 @@ def test_cycles(spark):
         want |= {x: (cycle[0], i) for i, x in enumerate(cycle)}
     got = clipping.ranked_cycles(spark.createDataFrame(links, "node long, next long").repartition(4)).collect()
     assert {r.node: (r.cycle, r.place) for r in got} == want
+
+
+def test_chains_that_close_themselves_take_no_rounds(spark, monkeypatch):
+    """A part of one chain is a shell already; only parts of several chains are ranked."""
+    seen, ranked = [], clipping.ranked_cycles
+    monkeypatch.setattr(clipping, "ranked_cycles", lambda links: seen.append(links.count()) or ranked(links))
+    assert clipping.clip_parts(frames(spark, [("arms", *CASES["arms"][:2])])).count() == 2
+    plus = [ring([(-20, -2), (-2, -2), (-2, -20), (2, -20), (2, -2), (20, -2), (20, 2), (2, 2), (2, 20), (-2, 20), (-2, 2), (-20, 2)])]
+    assert [r.area for r in clipping.clip_parts(frames(spark, [("plus", plus, AROUND)])).select(geo.polygon_area(F.col("rings")).alias("area")).collect()] == [144.0]
+    assert seen == [0, 4]
