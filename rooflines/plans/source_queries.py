@@ -42,10 +42,9 @@ def geojson_collections(t: Tables) -> DataFrame:
     """FeatureCollections, one file for each thousand keys."""
 
     def job(folder: str) -> DataFrame:
-        features = geojson.to_features(multi(t), "id", "source", "region", "height")
-        tiled = features.withColumn("tile", F.floor(F.get_json_object("value", "$.properties.id").cast("long") / 1000))
+        tiled = geojson.to_features(multi(t), "id", "source", "region", "height", keep=("tile",))
         whole = tiled.groupBy("tile").agg(F.concat(F.lit('{"type": "FeatureCollection", "features": [\n'), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]}")).alias("value"))
-        whole.repartition("tile").write.partitionBy("tile").text(folder)
+        files.write_files(whole.select(F.concat("tile", F.lit(".geojson")).alias("name"), F.encode("value", "UTF-8").alias("data")), folder)
         got = geojson.read_collection(t.spark, folder)
         return got.groupBy("source").agg(F.count("*").alias("features"), R6(F.sum(geom_area())).alias("area"), F.sum(F.size("geom").cast("long")).alias("parts"))
 

@@ -20,10 +20,10 @@ def geometry(feature: Column) -> Column:
     """array<array<array<struct<x,y>>>> of a Polygon or MultiPolygon; null for other types."""
     points = lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     rings = lambda polygon: F.transform(polygon, points)
-    text = feature["geometry"]["coordinates"]
-    one, many = F.from_json(text, RING), F.from_json(text, f"array<{RING}>")
-    kind = feature["geometry"]["type"]
-    return F.when(kind == "Polygon", F.array(rings(one))).when(kind == "MultiPolygon", F.transform(many, rings))
+    text, kind = feature["geometry"]["coordinates"], feature["geometry"]["type"]
+    # a Polygon is read as a MultiPolygon of one, and the text only once, however often the result is mentioned
+    many = F.when(kind == "Polygon", F.concat(F.lit("["), text, F.lit("]"))).when(kind == "MultiPolygon", text)
+    return F.transform(F.from_json(many, f"array<{RING}>"), rings)
 
 
 def _flat(features: DataFrame) -> DataFrame:
@@ -45,8 +45,8 @@ def read_lines(spark: SparkSession, path: str, properties: str = PROPERTIES, wit
     return _flat(lines.select(F.from_json(F.regexp_replace(F.rtrim("value"), ",$", ""), feature_schema(properties)).alias("f")))
 
 
-def to_features(df: DataFrame, *properties: str, missing: float | None = None) -> DataFrame:
-    """value: one GeoJSON feature a row, from geom and the named properties; with missing, null numbers become that sentinel."""
+def to_features(df: DataFrame, *properties: str, missing: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """value: one GeoJSON feature a row, from geom and the named properties; with missing, null numbers become that sentinel. Columns to keep come along."""
     numbers = ("double", "float", "int", "bigint")
     kinds = dict(df.dtypes)
     props = [F.coalesce(F.col(p), F.lit(missing).cast(kinds[p])).alias(p) if missing is not None and kinds[p] in numbers else F.col(p) for p in properties]
@@ -55,7 +55,7 @@ def to_features(df: DataFrame, *properties: str, missing: float | None = None) -
     single = F.struct(F.lit("Polygon").alias("type"), polygons[0].alias("coordinates"))
     multi = F.struct(F.lit("MultiPolygon").alias("type"), polygons.alias("coordinates"))
     wrap = lambda g: F.to_json(F.struct(F.lit("Feature").alias("type"), g.alias("geometry"), F.struct(*props).alias("properties")))
-    return df.select(F.when(F.size("geom") == 1, wrap(single)).otherwise(wrap(multi)).alias("value"))
+    return df.select(*keep, F.when(F.size("geom") == 1, wrap(single)).otherwise(wrap(multi)).alias("value"))
 
 
 def write_lines(df: DataFrame, path: str, *properties: str, mode: str = "errorifexists", missing: float | None = None) -> None:

@@ -11,6 +11,7 @@ from rooflines.operators import rings
 from rooflines.plans import footprint_queries  # noqa: F401
 from rooflines.plans.fixtures import Tables
 from rooflines.plans.registry import QUERIES
+from rooflines.sources import files, geojson
 
 
 def test_magnitudes_of_a_thousand_millions_and_more(spark):
@@ -92,3 +93,14 @@ def test_pairs_of_shapes_are_worked_out_once_and_not_kept(spark, small):
     for name in ("shape_iou", "polygon_iou", "shape_quality"):
         p = plan(QUERIES[name](spark, small))
         assert p.count("ArrowEvalPython") == 1, (name, p)
+
+
+def test_coordinates_are_read_once(spark, tmp_path):
+    """A Polygon's text and a MultiPolygon's are one from_json, and mean what they did."""
+    ring = "[[[0, 0], [2, 0], [2, 2], [0, 0]]]"
+    parts = [("Polygon", ring), ("MultiPolygon", f"[{ring}, {ring}]"), ("Point", "[1, 2]")]
+    one = ", ".join(f'{{"type": "Feature", "geometry": {{"type": "{k}", "coordinates": {c}}}, "properties": {{"id": "{k}"}}}}' for k, c in parts)
+    (tmp_path / "a.geojson").write_text(f'{{"type": "FeatureCollection", "features": [{one}]}}')
+    got = geojson.read_collection(spark, str(tmp_path))
+    assert plan(got).count("from_json") == 1
+    assert {r.id: r.geom and [len(p) for p in r.geom] for r in got.collect()} == {"Polygon": [1], "MultiPolygon": [1, 1], "Point": None}
