@@ -264,7 +264,7 @@ def coco_scan(t: Tables) -> DataFrame:
         image = F.array(F.struct(F.col("image").alias("id"), F.lit(190).alias("width"), F.lit(190).alias("height"), F.concat(F.lit("p"), "image").alias("file_name")))
         kinds = F.array(*(F.struct(F.lit(i).cast("long").alias("id"), F.lit(n).alias("name")) for i, n in enumerate(names, 1)))
         whole = docs.select("image", F.to_json(F.struct(image.alias("images"), "annotations", F.when(F.col("image") == 0, kinds).alias("categories"))).alias("value"))
-        whole.repartition("image").write.partitionBy("image").text(folder)
+        files.write_files(whole.select(F.concat("image", F.lit(".json")).alias("name"), F.encode("value", "UTF-8").alias("data")), folder)
         found = files.read_coco(t.spark, folder, [i for i, n in enumerate(names, 1) if n != "LOW"])
         return found.groupBy("image_id", "category").agg(F.count("*").alias("n"), F.count_if("crowd").alias("crowds"), F.sum(geo.polygon_area(F.col("rings"))).alias("area"), F.sum("box.x2").alias("x2"))
 

@@ -101,10 +101,16 @@ def read_coco(spark: SparkSession, path: str, keep: list[int] | None = None) ->
     Ignored ones, boxes that don't overlap their image or are smaller than a pixel, and categories not in keep are left out.
     """
     doc = spark.read.schema(COCO).option("multiLine", True).json(path)
-    images = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.width", "i.height", "i.file_name")
-    a = doc.select(F.explode("annotations").alias("a")).select("a.*")
+    kinds = {c: doc.schema[c].dataType for c in ("images", "annotations")}
+    # images and annotations come from one reading of the files and meet by image: an annotation's image may be in another file
+    listed = lambda c: F.coalesce(c, F.array().cast(kinds[c]))
+    entry = lambda key, i, a: F.struct(key.alias("image_id"), i.cast(kinds["images"].elementType).alias("i"), a.cast(kinds["annotations"].elementType).alias("a"))
+    entries = F.concat(F.transform(listed("images"), lambda v: entry(v["id"], v, F.lit(None))), F.transform(listed("annotations"), lambda v: entry(v["image_id"], F.lit(None), v)))
+    rows = doc.select(F.explode(entries).alias("v")).select("v.*").where("image_id is not null")
+    met = rows.withColumn("i", F.collect_list("i").over(Window.partitionBy("image_id"))).where("a is not null")
+    a = met.select(F.explode("i").alias("i"), "a").select("a.*", "i.width", "i.height", "i.file_name")
     names = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("category"))
-    both = a.join(images, "image_id").join(F.broadcast(names), "category_id", "left")
+    both = a.join(F.broadcast(names), "category_id", "left")
     x, y, w, h = (F.col("bbox")[i] for i in range(4))
     inside = (F.least(x + w, F.col("width")) - F.greatest(x, F.lit(0))) * (F.least(y + h, F.col("height")) - F.greatest(y, F.lit(0)))
     fair = both.where((F.coalesce("ignore", F.lit(0)) == 0) & (inside != 0) & (F.coalesce("area", w * h) > 0) & (w >= 1) & (h >= 1))

@@ -104,3 +104,14 @@ def test_coordinates_are_read_once(spark, tmp_path):
     got = geojson.read_collection(spark, str(tmp_path))
     assert plan(got).count("from_json") == 1
     assert {r.id: r.geom and [len(p) for p in r.geom] for r in got.collect()} == {"Polygon": [1], "MultiPolygon": [1, 1], "Point": None}
+
+
+def test_annotations_and_images_are_read_in_one_pass(spark, tmp_path):
+    """An annotation's image may be in another file, or missing; the categories are a reading of their own."""
+    note = lambda i, image: f'{{"id": {i}, "image_id": {image}, "category_id": 1, "segmentation": [[0, 0, 4, 0, 4, 4]], "area": 8, "bbox": [0, 0, 4, 4]}}'
+    image = lambda i: f'{{"id": {i}, "width": 9, "height": 9, "file_name": "p{i}"}}'
+    (tmp_path / "a.json").write_text(f'{{"images": [{image(1)}, {image(2)}], "annotations": [{note(10, 1)}, {note(11, 3)}, {note(12, 7)}], "categories": [{{"id": 1, "name": "house"}}]}}')
+    (tmp_path / "b.json").write_text(f'{{"images": [{image(3)}], "annotations": [{note(13, 2)}]}}')
+    got = files.read_coco(spark, str(tmp_path))
+    assert plan(got).count("Scan json") == 2
+    assert sorted((r.id, r.image_id, r.file_name, r.category, len(r.rings[0])) for r in got.collect()) == [(10, 1, "p1", "house", 3), (11, 3, "p3", "house", 3), (13, 2, "p2", "house", 3)]
