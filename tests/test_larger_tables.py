@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rooflines.functions import geo, polygons
-from rooflines.operators import rings
-from rooflines.plans import footprint_queries  # noqa: F401
+from rooflines.operators import evaluation, rings
+from rooflines.plans import detail_queries, footprint_queries  # noqa: F401
 from rooflines.plans.fixtures import Tables
 from rooflines.plans.registry import QUERIES
 from rooflines.sources import files, geojson
@@ -115,3 +115,12 @@ def test_annotations_and_images_are_read_in_one_pass(spark, tmp_path):
     got = files.read_coco(spark, str(tmp_path))
     assert plan(got).count("Scan json") == 2
     assert sorted((r.id, r.image_id, r.file_name, r.category, len(r.rings[0])) for r in got.collect()) == [(10, 1, "p1", "house", 3), (11, 3, "p3", "house", 3), (13, 2, "p2", "house", 3)]
+
+
+def test_contours_are_neither_broadcast_nor_more_to_a_task_on_larger_tables(spark, small, monkeypatch):
+    one = plan(QUERIES["contour_angle"](spark, small))
+    assert "Broadcast" not in one and "hashpartitioning" in one
+    monkeypatch.setattr(evaluation, "PREDICTIONS_A_TASK", 50)
+    many = QUERIES["contour_angle"](spark, small)
+    n = -(-many.count() // 50)
+    assert n > 4 and f", {n})" in plan(many)
