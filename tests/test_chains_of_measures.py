@@ -141,3 +141,17 @@ def test_a_batch_that_breaks_off_is_not_there_twice(spark, tmp_path, monkeypatch
     assert intake.take_in(spark, source, "id long", check, status, double, output=out) == 0
     spark.range(100, 150).write.mode("append").parquet(source)
     assert intake.take_in(spark, source, "id long", check, status, double, output=out) == 50 and spark.read.parquet(out).count() == 150
+
+
+def test_point_clusters_across_zero_and_corners(spark):
+    """Points on both sides of 0, two whose cells only meet beyond a corner, and one without coordinates."""
+    rand = random.Random(8)
+    points = {i: (rand.randint(-16, 16) * 0.4, rand.randint(-16, 16) * 0.4) for i in range(150)}
+    side = 1 / 2**0.5 * (1 - 1e-12)
+    points |= {200: (50 * side - 1e-13, 50 * side - 1e-13), 201: (51 * side, 51 * side), 300: (-90 * side - 1e-13, -88 * side), 301: (-89 * side, -89 * side - 1e-13)}
+    df = spark.createDataFrame([(key, i, x, y) for key in range(2) for i, (x, y) in points.items()] + [(0, 400, None, 1.0)], "ring_id long, pos long, x double, y double").repartition(3)
+    for least in (2, 4):
+        want, alone = dbscan(points, 1.0, least)
+        got = rings.point_clusters(df, 1.0, least).collect()
+        assert {(r.ring_id, r.pos): (r.cluster, r.noise) for r in got} == {(key, i): (want[i], i in alone) for key in range(2) for i in points} | {(0, 400): (400, True)} and len(got) == 2 * len(points) + 1
+    assert (want, alone) != dbscan(points, 1.0, 2) and dbscan(points, 1.0, 2)[0][201] == 200

@@ -106,3 +106,26 @@ def test_rounds_of_labels_send_no_table_through_the_driver(spark, small, monkeyp
     found = QUERIES["size_clusters"](spark, small)
     found.collect()
     assert len(plans) > 5 and not [p for p in [*plans, plan(found)] if "Broadcast" in p]
+
+
+def shuffled_rows(spark, run) -> int:
+    """How many rows all stages of run send to others."""
+    sc = spark.sparkContext
+    gate, store = sc._gateway, sc._jsc.sc().statusStore()
+    stages = lambda: store.stageList(gate.jvm.java.util.ArrayList(), False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    found = stages()
+    return sum(s.shuffleWriteRecords() for i in range(found.size()) if (s := found.apply(i)).stageId() not in before)
+
+
+def test_points_go_only_to_cells_that_hold_any(spark, small):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        points = QUERIES["cluster_end_points"](spark, small).agg(F.sum("points")).first()[0]
+        rows = shuffled_rows(spark, lambda: QUERIES["cluster_end_points"](spark, small).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert points < rows < 20 * points
