@@ -20,6 +20,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rooflines.llm import automaton, components, decontaminate, jaccard, line_dedup, media, mixing, pii, queries, secrets, toxicity, url_filter, warc
+from rooflines.llm.common import cut as cut_off
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kind string, n string, score double, spans int"
@@ -653,6 +654,16 @@ def test_jaccard_join(spark, table, monkeypatch, block, blocks, frequent, ids):
     assert {r.doc_id for r in jaccard.keep_one(df).collect()} == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_what_is_shuffled_for_a_cut_is_removed(spark):
+    held = lambda: sum(f.startswith("shuffle_") for _, _, found in os.walk(spark.conf.get("spark.local.dir")) for f in found)
+    before = held()
+    got = cut_off(spark.range(5000).groupBy(F.col("id") % 700).count())
+    late = time.time() + 20
+    while held() > before and time.time() < late:
+        time.sleep(0.2)
+    assert held() <= before and got.count() == 700 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_frequencies_over_batches(monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
     h = [1, 2, 2, 3, 3, 3, 3, 3, 4, 5, 5]
