@@ -664,6 +664,60 @@ def test_what_is_shuffled_for_a_cut_is_removed(spark):
     assert held() <= before and got.count() == 700 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages up to now have written to shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_hash_travels_in_few_bytes(spark):
+    """Long documents, half of them near copies: the hashes of a prefix, and all of those that may link."""
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(50_000)}" for _ in range(n)]
+    texts = []
+    for i in range(60):
+        base = words(4000)
+        texts += [" ".join(base), " ".join(base[:2000] + ["x"] + base[2001:]), " ".join(words(4000)), " ".join(words(4000))]
+    df = docs(spark, list(enumerate(texts, 1))).repartition(4).cache()
+    df.count()
+    before = shuffled(spark)
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(df).collect()}
+    assert all(got[4 * i + 2] == got[4 * i + 1] == 4 * i + 1 and got[4 * i + 3] == 4 * i + 3 for i in range(60))
+    # arrays of the near copies' hashes (twice 120 * 4000 * 8 and their bands) are most of it
+    assert shuffled(spark) - before < 240 * 4000 * 22
+    df.unpersist()
+
+
+@pytest.mark.parametrize("chunk", [1, 700, 10**9])
+def test_packed_hashes_are_counted_as_plain_ones(monkeypatch, chunk):
+    """Chunks of any size, buckets few and many, hashes of one node that are alike as far as they are sent, one hash that all nodes have."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    texts = [t + " and so it ends here" for _, t in near_copies()] + ["", "one", "one"]
+    for bits, buckets in ((44, 5), (44, 300), (9, 5)):
+        monkeypatch.setattr(jaccard, "BITS", bits)
+        sets = {jaccard.node_of(h): h for t in texts if len(h := jaccard.shingle_hashes(t.encode()))}
+        sent = {k: (h.view("u8") * jaccard.MULTIPLIERS[0]) >> np.uint64(64 - bits) for k, h in sets.items()}
+        by_bucket, chunks = defaultdict(list), defaultdict(list)
+        for batch in jaccard._packed(True, buckets)(iter([pa.RecordBatch.from_pydict({"text": texts[:50]}), pa.RecordBatch.from_pydict({"text": texts[50:]})])):
+            for row in batch.to_pylist():
+                by_bucket[row["bucket"]].append(row)
+        assert set(by_bucket) <= set(range(buckets))
+        for found in by_bucket.values():
+            for batch in jaccard._answers(True)(iter([pa.RecordBatch.from_pylist(found, schema=jaccard.PACKED)])):
+                for row in batch.to_pylist():
+                    chunks[row["chunk"]].append(row)
+        many = Counter(x for h in sent.values() for x in set(h.tolist()))
+        want = set()
+        for (node, nx), h in sent.items():
+            mine = sorted({(min(many[x], jaccard.FREQUENT), x) for x in h.tolist() if many[x] > 1})
+            alone = len(set(h.tolist())) - len(mine)
+            want |= {(x, node, nx) for _, x in mine[: max(0, len(h) // 4 + 1 - alone)]}
+        ordered = [row for c in sorted(chunks) for row in chunks[c]]
+        got = [tuple(row.values()) for batch in jaccard._by_chunk(jaccard._rare)(iter([pa.RecordBatch.from_pylist(ordered, schema=jaccard.ANSWERS)])) for row in batch.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_frequencies_over_batches(monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
     h = [1, 2, 2, 3, 3, 3, 3, 3, 4, 5, 5]
