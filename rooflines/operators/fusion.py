@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, polygons
+from . import pairs
 from .raster import checkpointed
 from .spatial import cut_polygons, grid_join, polygon_join
 
@@ -62,6 +63,15 @@ def overlaps(cropped: DataFrame, main: str, side: float) -> DataFrame:
     return pairs.select("roi_id", "source", "fid", "main_fid", polygons.overlap(F.col("rings"), F.col("rrings")).alias("shared")).where("shared is not null")
 
 
+def met(cropped: DataFrame, main: str, side: float) -> DataFrame:
+    """As matched(overlaps(...)), with the number of pairs and of those that only touch, and without a row for each pair."""
+    shapes = ["rings"] if exact(cropped) else []
+    others = cropped.where(F.col("source") != main).select("roi_id", "source", "fid", "lbox", *shapes)
+    mains = cropped.where(F.col("source") == main).select("roi_id", "fid", F.col("lbox").alias("rbox"), *shapes)
+    sums = pairs.met_sums(others, mains, side, ["roi_id", "source", "fid"], "roi_id")
+    return sums.groupBy("roi_id", "source", "fid").agg(F.sum("shared").alias("overlap"), F.sum("pairs").alias("pairs"), F.sum("touching").alias("touching"))
+
+
 def matched(pairs: DataFrame) -> DataFrame:
     """A row for each feature of pairs: roi_id, source, fid and what it shares with main features (overlap)."""
     return pairs.groupBy("roi_id", "source", "fid").agg(F.sum("shared").alias("overlap"))
@@ -73,7 +83,7 @@ def source_quality(cropped: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def quality_of(cropped: DataFrame, matched: DataFrame) -> DataFrame:
     """By district and other source: features, area, matched features, overlap (pairs summed), added (area of what meets no main feature), quality."""
-    rows = cropped.select("roi_id", "source", "fid", area(cropped).alias("area")).join(matched, ["roi_id", "source", "fid"], "left")
+    rows = cropped.select("roi_id", "source", "fid", area(cropped).alias("area")).join(matched.select("roi_id", "source", "fid", "overlap"), ["roi_id", "source", "fid"], "left")
     return rows.groupBy("roi_id", "source").agg(
         F.count("*").alias("features"),
         F.sum("area").alias("area"),
@@ -99,10 +109,10 @@ def fuse(cropped: DataFrame, main: str, side: float, candidates: list[str] | Non
     """Main features, and of each district's best other source those that meet no main feature (all where there is none)."""
     # the crop and what its features share feed quality, choice and merge: each is worked out once. Pairs, of which there are many more than features, aren't kept
     cropped = checkpointed(cropped)
-    met = checkpointed(matched(overlaps(cropped, main, side)))
-    best = best_source(quality_of(cropped, met), main, candidates)
+    matches = checkpointed(met(cropped, main, side))
+    best = best_source(quality_of(cropped, matches), main, candidates)
     chosen = cropped.join(best.select("roi_id", F.col("best").alias("source")), ["roi_id", "source"], "left_semi")
-    rest = chosen.join(met, ["roi_id", "source", "fid"], "left_anti")
+    rest = chosen.join(matches, ["roi_id", "source", "fid"], "left_anti")
     return cropped.where(F.col("source") == main).unionByName(rest.select(*cropped.columns))
 
 
