@@ -129,5 +129,5 @@ def test_polygons_as_rectangles():
 
 def test_fusion_makes_no_row_for_each_pair(spark, small, monkeypatch):
     monkeypatch.setattr(fusion, "overlaps", lambda *a, **k: pytest.fail("a row for each pair"))
-    for name, rows in (("fuse_shapes", 50), ("fuse_districts", 50)):
+    for name, rows in (("fuse_shapes", 50), ("shape_quality", 100), ("fuse_districts", 50), ("source_quality", 100), ("best_source", 25), ("overlap_pairs", 100)):
         assert QUERIES[name](spark, small).count() == rows, name
