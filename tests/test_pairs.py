@@ -10,6 +10,8 @@ from rooflines.operators import fusion, pairs
 from rooflines.plans import footprint_queries  # noqa: F401
 from rooflines.plans.registry import QUERIES
 
+from .test_larger_tables import plan
+
 RING = "array<array<struct<x:double,y:double>>>"
 
 
@@ -131,3 +133,10 @@ def test_fusion_makes_no_row_for_each_pair(spark, small, monkeypatch):
     monkeypatch.setattr(fusion, "overlaps", lambda *a, **k: pytest.fail("a row for each pair"))
     for name, rows in (("fuse_shapes", 50), ("shape_quality", 100), ("fuse_districts", 50), ("source_quality", 100), ("best_source", 25), ("overlap_pairs", 100)):
         assert QUERIES[name](spark, small).count() == rows, name
+
+
+def test_pairs_of_houses_have_no_rows(spark, small):
+    """Neither a join of the two sides nor a function of each pair."""
+    for name in ("shape_iou",):
+        p = plan(QUERIES[name](spark, small))
+        assert "Join" not in p and "MapInArrow" in p, name
