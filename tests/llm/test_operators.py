@@ -689,6 +689,19 @@ def test_a_hash_travels_in_few_bytes(spark):
     df.unpersist()
 
 
+def test_texts_of_many_documents_are_not_shuffled(spark, monkeypatch):
+    """Of more ids than are broadcast, bits are; rows without an id and those that share one come too."""
+    monkeypatch.setattr(jaccard, "MOST_IDS", 3)
+    df = docs(spark, [(i if i % 50 else None, f"text {i}") for i in range(1, 401)] + [(7, "another"), (8, "not wanted")])
+    nodes = spark.createDataFrame([(i, i, i if i % 50 else None) for i in range(1, 401)], "node long, nx long, doc_id long")
+    got = jaccard._texts(df, nodes, nodes.where("node % 5 = 2 or node = 100").select("node"))
+    texts = Counter(r.text for r in got.collect())
+    want = {f"text {i}" for i in range(1, 401) if i % 5 == 2 or i % 50 == 0} | {"another"}
+    assert want <= set(texts) and set(texts.values()) == {1} and len(texts) < 150
+    p = got.sparkSession._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p and "ShuffledHashJoin" not in p
+
+
 @pytest.mark.parametrize("chunk", [1, 700, 10**9])
 def test_packed_hashes_are_counted_as_plain_ones(monkeypatch, chunk):
     """Chunks of any size, buckets few and many, hashes of one node that are alike as far as they are sent, one hash that all nodes have."""
